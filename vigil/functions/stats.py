@@ -84,9 +84,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         )
 
     brackets = sketch.select(*keys, "n", F.array(*[bracket(p) for p in probs]).alias("brackets"))
-    joined = data.join(brackets, keys) if keys else data.withColumn("k", F.lit(1)).join(
-        brackets.withColumn("k", F.lit(1)), "k"
-    ).drop("k")
+    if keys:
+        joined = data.join(brackets, keys)
+    else:
+        joined = data.withColumn("m", brackets.select(F.struct("n", "brackets")).scalar()).select("v", "m.*")
     # counts below each bracket and value counts inside, both combined before the shuffle
     below = joined.groupBy(*keys).agg(
         F.first("n").alias("n"),
