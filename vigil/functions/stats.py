@@ -62,7 +62,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     all rows does not survive. Here a mergeable sketch first brackets each wanted rank (its rank error
     is at most n/accuracy, by construction). A second pass counts what lies below each bracket and
     keeps, as value counts, only the rows inside it: about 4/accuracy of the key. Only those are
-    ordered. Result: keys, n, q (array in the order of `probs`).
+    ordered. In small groups the wanted rank may be the neighbour of the bracket, so the values next
+    to it are kept as well. Result: keys, n, q (array in the order of `probs`).
     """
     margin = 2.0 / accuracy
     data = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.abs(F.col("v")) < float("inf"))
@@ -92,6 +93,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     below = joined.groupBy(*keys).agg(
         F.first("n").alias("n"),
         *[F.count(F.when(F.col("v") < F.col("brackets")[i]["from"], 1)).alias(f"below{i}") for i in range(len(probs))],
+        *[F.max(F.when(F.col("v") < F.col("brackets")[i]["from"], F.col("v"))).alias(f"down{i}") for i in range(len(probs))],
+        *[F.min(F.when(F.col("v") > F.col("brackets")[i]["to"], F.col("v"))).alias(f"up{i}") for i in range(len(probs))],
     )
     inside = (
         joined.select(
@@ -108,7 +111,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         *keys,
         "n",
         F.explode(
-            F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col(f"below{i}").alias("below")) for i, p in enumerate(probs)])
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col(f"below{i}").alias("below"),
+                        F.col(f"down{i}").alias("down"), F.col(f"up{i}").alias("up"),
+                    )
+                    for i, p in enumerate(probs)
+                ]
+            )
         ).alias("m"),
     ).select(*keys, "n", "m.*")
     rank = F.col("p") * (F.col("n") - 1)
@@ -117,7 +128,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     )
 
     def at(r: Column) -> Column:
-        return F.max(F.when((F.col("first") <= r) & (r <= F.col("last")), F.col("v")))
+        held = F.max(F.when((F.col("first") <= r) & (r <= F.col("last")), F.col("v")))
+        return F.coalesce(held, F.max(F.when(r < F.col("below"), F.col("down"))), F.max("up"))
 
     picked = placed.groupBy(*keys, "n", "i").agg(
         at(F.floor("rank")).alias("lo"), at(F.ceil("rank")).alias("hi"), F.first("rank").alias("rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["detection", "slo"]
+AREAS = ["detection", "slo", "features", "classify"]
 
 
 def registry() -> dict:

@@ -255,6 +255,6 @@ def sql(body: str, *needs: str, blocks: dict | None = None) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n][1]})" for n in chosen) + "\n" + body
 
 
-def r6(*columns: str) -> str:
-    """SQL select items rounded to six digits under their own name."""
-    return ", ".join(f"round({c.split(' AS ')[0]}, 6) + 0.0 AS {c.split(' AS ')[-1]}" for c in columns)
+def r6(*columns: str, digits: int = 6) -> str:
+    """SQL select items rounded under their own name."""
+    return ", ".join(f"round({c.split(' AS ')[0]}, {digits}) + 0.0 AS {c.split(' AS ')[-1]}" for c in columns)
