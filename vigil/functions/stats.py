@@ -55,86 +55,69 @@ def finite(x: Column) -> Column:
     return F.when(F.abs(x) < float("inf"), x)
 
 
+def count_of(conditions: list[Column]) -> Column:
+    """How many of a fixed list of conditions hold (compiled, unlike a filter over an array)."""
+    out = F.lit(0)
+    for c in conditions:
+        out = out + F.when(c, 1).otherwise(0)
+    return out
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10_000) -> DataFrame:
     """Linear-interpolated quantiles per key, exact, without sending a key's values to one task.
 
     `percentile` keeps every distinct value of a group in one buffer, which a key holding a third of
     all rows does not survive. Here a mergeable sketch first brackets each wanted rank (its rank error
-    is at most n/accuracy, by construction). A second pass counts what lies below each bracket and
-    keeps, as value counts, only the rows inside it: about 4/accuracy of the key. Only those are
-    ordered. In small groups the wanted rank may be the neighbour of the bracket, so the values next
-    to it are kept as well. Result: keys, n, q (array in the order of `probs`).
+    is at most n/accuracy, by construction). One more pass counts the rows: those between brackets
+    fall into a few groups per key, those inside one (about 4/accuracy of the key) are counted by
+    value. Only the latter are ordered, each bracket on its own. In a small group the wanted rank may
+    be the neighbour of its bracket; that is the least or greatest value of the group next to it.
+    Result: keys, n, q (array in the order of `probs`).
     """
+    probs_up = sorted(probs)
     margin = 2.0 / accuracy
     data = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.abs(F.col("v")) < float("inf"))
-    wanted = sorted({0.0, 1.0} | {min(1.0, max(0.0, p + s)) for p in probs for s in (-margin, margin)})
+    low = [F.lit(max(0.0, p - margin)) for p in probs_up]
+    high = [F.lit(min(1.0, p + margin)) for p in probs_up]
     sketch = data.groupBy(*keys).agg(
-        F.percentile_approx("v", F.array(*[F.lit(p) for p in wanted]), F.lit(accuracy)).alias("b"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
+        F.percentile_approx("v", F.array(*low, *high), F.lit(accuracy)).alias("b"), F.count(F.lit(1)).alias("n")
     )
-
-    def bracket(p: float) -> Column:
-        low = wanted.index(max(0.0, p - margin)) + 1
-        high = wanted.index(min(1.0, p + margin)) + 1
-        return F.struct(
-            F.lit(p).alias("p"),
-            (F.col("lo") if p - margin <= 0 else F.element_at("b", low)).alias("from"),
-            (F.col("hi") if p + margin >= 1 else F.element_at("b", high)).alias("to"),
-        )
-
-    brackets = sketch.select(*keys, "n", F.array(*[bracket(p) for p in probs]).alias("brackets"))
+    size = len(probs_up)
+    brackets = sketch.select(*keys, "n", F.slice("b", 1, size).alias("froms"), F.slice("b", size + 1, size).alias("tos"))
     if keys:
         joined = data.join(brackets, keys)
     else:
-        joined = data.withColumn("m", brackets.select(F.struct("n", "brackets")).scalar()).select("v", "m.*")
-    # counts below each bracket and value counts inside, both combined before the shuffle
-    below = joined.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.count(F.when(F.col("v") < F.col("brackets")[i]["from"], 1)).alias(f"below{i}") for i in range(len(probs))],
-        *[F.max(F.when(F.col("v") < F.col("brackets")[i]["from"], F.col("v"))).alias(f"down{i}") for i in range(len(probs))],
-        *[F.min(F.when(F.col("v") > F.col("brackets")[i]["to"], F.col("v"))).alias(f"up{i}") for i in range(len(probs))],
+        joined = data.withColumn("m", brackets.select(F.struct("n", "froms", "tos")).scalar()).select("v", "m.*")
+    entered = count_of([F.col("froms")[i] <= F.col("v") for i in range(size)])  # brackets begun at or below v
+    left = count_of([F.col("tos")[i] < F.col("v") for i in range(size)])  # brackets ended below v
+    groups = (
+        joined.select(*keys, "n", "v", entered.alias("entered"), left.alias("left"))
+        .withColumn("inside", F.when(F.col("entered") > F.col("left"), F.col("v")))
+        .groupBy(*keys, "n", "entered", "left", "inside")
+        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
     )
-    inside = (
-        joined.select(
-            *keys, "v",
-            F.explode(F.filter(F.transform("brackets", lambda b, i: F.struct(i.alias("i"), b["from"].alias("f"), b["to"].alias("t"))),
-                               lambda b: (F.col("v") >= b["f"]) & (F.col("v") <= b["t"]))).alias("b"),
-        )
-        .groupBy(*keys, F.col("b.i").alias("i"), "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    ordered = Window.partitionBy(*keys, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = inside.withColumn("upto", F.sum("c").over(ordered))
-    meta = below.select(
-        *keys,
-        "n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col(f"below{i}").alias("below"),
-                        F.col(f"down{i}").alias("down"), F.col(f"up{i}").alias("up"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ).alias("m"),
-    ).select(*keys, "n", "m.*")
-    rank = F.col("p") * (F.col("n") - 1)
-    placed = running.join(meta, [*keys, "i"]).withColumns(
-        {"first": F.col("below") + F.col("upto") - F.col("c"), "last": F.col("below") + F.col("upto") - 1, "rank": rank}
-    )
-
-    def at(r: Column) -> Column:
-        held = F.max(F.when((F.col("first") <= r) & (r <= F.col("last")), F.col("v")))
-        return F.coalesce(held, F.max(F.when(r < F.col("below"), F.col("down"))), F.max("up"))
-
-    picked = placed.groupBy(*keys, "n", "i").agg(
-        at(F.floor("rank")).alias("lo"), at(F.ceil("rank")).alias("hi"), F.first("rank").alias("rank")
+    # rank = rows in earlier groups (a few totals per key) + rows before it in its own group
+    totals = groups.groupBy(*keys, "entered", "left").agg(F.sum("c").alias("total"))
+    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = by_key.orderBy("entered", "left").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("offset", F.coalesce(F.sum("total").over(earlier), F.lit(0))).drop("total")
+    within = Window.partitionBy(*keys, "entered", "left").orderBy("v_min").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = groups.withColumn("upto", F.sum("c").over(within)).join(offsets, [*keys, "entered", "left"])
+    first = F.col("offset") + F.col("upto") - F.col("c")
+    last = F.col("offset") + F.col("upto") - 1
+    wanted = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), side(F.lit(float(p)) * (F.col("n") - 1)).alias("r"))
+            for i, p in enumerate(probs)
+            for side in (F.floor, F.ceil)
+        ]
     )
-    q = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("rank") - F.floor("rank"))
-    return picked.groupBy(*keys, "n").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", q.alias("q")))), lambda s: s["q"]).alias("q")
+    hits = (
+        ranked.select(*keys, "n", "v_min", "v_max", first.alias("first"), last.alias("last"), wanted.alias("w"))
+        .withColumn("w", F.explode(F.filter("w", lambda w: (w["r"] >= F.col("first")) & (w["r"] <= F.col("last")))))
+        .select(*keys, "n", "w.*", F.when(F.col("w.r") == F.col("first"), F.col("v_min")).otherwise(F.col("v_max")).alias("v"))
     )
+    rank = F.first("p") * (F.col("n") - 1)
+    each = hits.groupBy(*keys, "n", "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), (rank - F.floor(rank)).alias("part"))
+    q = F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q"))
+    return each.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(q)), lambda s: s["q"]).alias("q"))
