@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["detection", "slo", "features", "classify", "drift"]
+AREAS = ["detection", "slo", "features", "classify", "drift", "text"]
 
 
 def registry() -> dict:
