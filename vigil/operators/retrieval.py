@@ -74,9 +74,12 @@ def query_vectors(index: TextIndex, queries: DataFrame, text: str = "question")
     return normalise(weigh(term_counts(queries, ["id"], F.col(text)), index.idf, ["id"]), ["id"])
 
 
-def topk(index: TextIndex, query_terms: DataFrame, k: int) -> DataFrame:
+def topk(index: TextIndex, query_terms: DataFrame, k: int, latent: tuple[DataFrame, DataFrame] | None = None, blend: float = 0.5) -> DataFrame:
     """k best texts per question: query_id, item_id, score, rank (texts sharing no term are left out).
 
+    With `latent`, the (id, vec) tables of texts and questions, the score is
+    blend * lexical + (1 - blend) * dot(vec, vec) and every text takes part.
+
     Postings of terms nobody asks for only add to the norm. The others stay with their text as one
     small array, and blocks of texts are scored against blocks of questions inside a task through an
     inverted index: (question, text) pairs never become rows, only k per question and batch do.
@@ -87,10 +90,14 @@ def topk(index: TextIndex, query_terms: DataFrame, k: int) -> DataFrame:
     items = asked.groupBy("id").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
         F.collect_list(F.when(F.col("tid").isNotNull(), F.struct("tid", "w"))).alias("p"),
-    ).filter(F.size("p") > 0)
+    )
     items = items.select("id", F.col("p.tid").alias("tids"), F.transform("p", lambda x: x["w"] / F.col("norm")).alias("ws"))
     rows = queries.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("tid"), "w")).alias("p"))
     rows = rows.select("id", F.col("p.tid").alias("tids"), F.col("p.w").alias("ws"))
+    if latent is None:
+        items, share = items.filter(F.size("tids") > 0), 1.0
+    else:
+        items, rows, share = items.join(latent[0], "id"), rows.join(latent[1], "id"), blend
     qtype, itype = dict(queries.dtypes)["id"], dict(index.postings.dtypes)["id"]
     schema = f"query_id {qtype}, item_id {itype}, score double"
     n = rows.count()
@@ -100,7 +107,7 @@ def topk(index: TextIndex, query_terms: DataFrame, k: int) -> DataFrame:
 
         def batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield _score_block(shared.value, pdf, k)
+                yield _score_block(shared.value, pdf, k, share)
 
         found = items.mapInPandas(batch, schema)
     else:
@@ -116,7 +123,7 @@ def topk(index: TextIndex, query_terms: DataFrame, k: int) -> DataFrame:
         q = q.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
         keys = ["qb", "xb", "sub"]
         found = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(
-            lambda left, right: _score_block(_inverted(left), right, k), schema
+            lambda left, right: _score_block(_inverted(left), right, k, share), schema
         )
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k)
@@ -125,17 +132,18 @@ def topk(index: TextIndex, query_terms: DataFrame, k: int) -> DataFrame:
 def _inverted(side: pd.DataFrame) -> tuple:
     """Question ids and, sorted by term, (term, question position, weight)."""
     if not len(side):
-        return np.array([]), np.array([], dtype=np.int64), np.array([], dtype=int), np.array([])
+        return np.array([]), np.array([], dtype=np.int64), np.array([], dtype=int), np.array([]), None
     sizes = [len(t) for t in side["tids"]]
     tids, ws = np.concatenate(side["tids"].to_list()), np.concatenate(side["ws"].to_list())
     pos = np.repeat(np.arange(len(side)), sizes)
     order = np.argsort(tids, kind="stable")
-    return side["id"].to_numpy(), tids[order], pos[order], ws[order]
+    dense = np.stack(side["vec"].to_list()) if "vec" in side else None
+    return side["id"].to_numpy(), tids[order], pos[order], ws[order], dense
 
 
-def _score_block(inverted: tuple, pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+def _score_block(inverted: tuple, pdf: pd.DataFrame, k: int, share: float) -> pd.DataFrame:
     """Scores of a batch of texts against the questions, k best texts per question."""
-    ids, terms, pos, weights = inverted
+    ids, terms, pos, weights, dense = inverted
     out = []
     for start in range(0, len(pdf) if len(ids) else 0, 2048):
         part = pdf.iloc[start : start + 2048].sort_values("id")
@@ -151,6 +159,8 @@ def _score_block(inverted: tuple, pdf: pd.DataFrame, k: int) -> pd.DataFrame:
         for a, b, c, d in zip(first, last, lo, hi):
             if d > c:
                 scores[pos[c:d][:, None], item[a:b][None, :]] += weights[c:d][:, None] * ws[a:b][None, :]
+        if dense is not None:
+            scores = share * scores + (1 - share) * (dense @ np.stack(part["vec"].to_list()).T)
         scores = np.round(scores, 9)
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         best = np.take_along_axis(scores, top, axis=1)
