@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vigil import constants as K
 from vigil.operators import classify as C
-from vigil.plans.common import Fixture, r6, rounded, sql
+from vigil.plans.common import Fixture, fixture, r6, rounded, sql
 
 CUT, LIMIT = 0.4, 1.5
 CAND_CUT, CAND_LIMIT = 0.3, 2.0
@@ -117,26 +117,26 @@ def _novelty(fx: Fixture):
 
 
 def class_report(spark, d):
-    return rounded(C.class_report(_both(Fixture(spark, d))))
+    return rounded(C.class_report(_both(fixture(spark, d))))
 
 
 def macro_f1(spark, d):
-    return rounded(C.macro_f1(_both(Fixture(spark, d))))
+    return rounded(C.macro_f1(_both(fixture(spark, d))))
 
 
 def confusion_matrix(spark, d):
-    return C.confusion_matrix(_both(Fixture(spark, d)).filter("model = 'production'").drop("model"))
+    return C.confusion_matrix(_both(fixture(spark, d)).filter("model = 'production'").drop("model"))
 
 
 def held_out_routing(spark, d):
-    r = C.held_out_routing(_both(Fixture(spark, d)).filter("model = 'production'"))
+    r = C.held_out_routing(_both(fixture(spark, d)).filter("model = 'production'"))
     text = F.transform(F.map_entries("predicted_as"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return rounded(r.withColumn("predicted_as", F.array_join(text, " ")))
 
 
 def compare_models(spark, d):
     """Candidate against production on identical rows: F1, unknown share and false alarms on noise."""
-    both = _both(Fixture(spark, d))
+    both = _both(fixture(spark, d))
     shares = both.groupBy("model").agg(
         F.avg((F.col("y_pred") == K.UNKNOWN).cast("double")).alias("unknown_share"),
         F.avg(F.when(F.col("y_true") == K.UNKNOWN, (F.col("y_pred") != K.UNKNOWN).cast("double"))).alias("false_alarm_rate"),
@@ -146,58 +146,58 @@ def compare_models(spark, d):
 
 def quality_report(spark, d):
     """Two-class report over labelled documents: quality as truth, not toxic as prediction."""
-    lab = Fixture(spark, d).table("labels")
+    lab = fixture(spark, d).table("labels")
     name = lambda c: F.when(c, K.KNOWN[0]).otherwise(K.UNKNOWN)
     return rounded(C.class_report(lab.select(name(F.col("quality") == 1).alias("y_true"), name(F.col("toxic") == 0).alias("y_pred"))))
 
 
 def open_set_predict(spark, d):
-    return rounded(scored(Fixture(spark, d)).select("id", "confidence", "top_label", "predicted"))
+    return rounded(scored(fixture(spark, d)).select("id", "confidence", "top_label", "predicted"))
 
 
 def explain(spark, d):
-    rows = scored(Fixture(spark, d))
+    rows = scored(fixture(spark, d))
     ranked = F.array_join(F.transform(F.map_entries("explanation.probabilities"), lambda e: F.concat_ws("=", e["key"], F.format_string("%.4f", e["value"]))), " ")
     return rounded(rows.select("id", ranked.alias("probabilities"), "explanation.confidence", "explanation.novelty", "explanation.unknown_reason"))
 
 
 def tune_cutoff(spark, d):
-    return rounded(C.tune_cutoff(scored(Fixture(spark, d)), LIMIT))
+    return rounded(C.tune_cutoff(scored(fixture(spark, d)), LIMIT))
 
 
 def best_cutoff(spark, d):
-    return rounded(C.best_cutoff(C.tune_cutoff(scored(Fixture(spark, d)), LIMIT)))
+    return rounded(C.best_cutoff(C.tune_cutoff(scored(fixture(spark, d)), LIMIT)))
 
 
 def best_config(spark, d):
     """Best of four open-set settings by F1, then fewer false alarms, then the stricter cut-off."""
-    both = _both(Fixture(spark, d))
+    both = _both(fixture(spark, d))
     table = C.macro_f1(both).join(both.groupBy("model").agg(F.avg((F.col("y_pred") == K.UNKNOWN).cast("double")).alias("unknown_share")), "model")
     return rounded(C.best_config(table, F.round("macro_f1", 9), F.round("unknown_share", 9), F.col("model")))
 
 
 def robust_scale(spark, d):
-    v = _vectors(Fixture(spark, d))
+    v = _vectors(fixture(spark, d))
     return rounded(v.select("id", F.posexplode("vec").alias("dim", "value")))
 
 
 def knn_novelty(spark, d):
-    return rounded(_novelty(Fixture(spark, d)))
+    return rounded(_novelty(fixture(spark, d)))
 
 
 def novelty_calibrate(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     known = fx.table("embeddings").filter("label <> 9").select(F.col("vec_id").alias("id"))
     return rounded(C.calibrate_novelty(_novelty(fx).join(known, "id", "left_semi")))
 
 
 def model_health(spark, d):
-    rows = scored(Fixture(spark, d)).withColumn("period", F.when(F.col("label") < 5, "before").otherwise("after"))
+    rows = scored(fixture(spark, d)).withColumn("period", F.when(F.col("label") < 5, "before").otherwise("after"))
     return rounded(C.model_health(rows, "period"))
 
 
 def false_alarm_rate(spark, d):
-    return rounded(C.false_alarm_rate(scored(Fixture(spark, d)).filter(F.col("y_true") == K.UNKNOWN)))
+    return rounded(C.false_alarm_rate(scored(fixture(spark, d)).filter(F.col("y_true") == K.UNKNOWN)))
 
 
 MODELS = [
@@ -224,7 +224,7 @@ def _halves(fx: Fixture):
 
 
 def classifier_fit_predict(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     train, later = _halves(fx)
     model = C.fit_classifier(train, *MODELS[0], K.KNOWN)
     out = C.score(model, later).withColumn("novelty", F.lit(0.0))
@@ -232,13 +232,13 @@ def classifier_fit_predict(spark, d):
 
 
 def model_selection(spark, d):
-    train, later = _halves(Fixture(spark, d))
+    train, later = _halves(fixture(spark, d))
     ranked = C.select_model(train, later.withColumn("novelty", F.lit(0.0)), MODELS, K.KNOWN)
     return rounded(C.best_config(ranked, F.col("macro_f1"), -F.col("candidate")))
 
 
 def importance(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     train, later = _halves(fx)
     model = C.fit_classifier(train, *MODELS[0], K.KNOWN)
     impurity = C.impurity_importance(model, [str(i) for i in range(64)], spark)

@@ -93,6 +93,22 @@ class Fixture:
         return X.logs(self.spark, self.dir)
 
 
+STORED: dict = {}
+
+
+def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
+    """The fixture of a folder, kept for the application: stored rollups are written once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in STORED:
+        STORED[key] = Fixture(spark, sf_dir)
+    return STORED[key]
+
+
+def forget() -> None:
+    """Start over, so that the next query pays for everything it needs."""
+    STORED.clear()
+
+
 def _values(rows: list[tuple]) -> str:
     def lit(v):
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)

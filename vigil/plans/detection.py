@@ -10,7 +10,7 @@ from vigil.operators import baseline as B
 from vigil.operators import matching as M
 from vigil.operators import rollup as R
 from vigil.plans.common import (
-    CONSECUTIVE, DAYS, STEP, SWEEP_N, SWEEP_T, THRESHOLD, Fixture, r6, rounded, sql,
+    CONSECUTIVE, DAYS, STEP, SWEEP_N, SWEEP_T, THRESHOLD, Fixture, fixture, r6, rounded, sql,
 )
 
 SIGNALS = list(K.SIGNALS)
@@ -29,89 +29,89 @@ def _wide_sql() -> str:
 
 
 def scan_unpivot(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(R.unpivot_wide(R.widen(fx.rollup, WIDE)).filter(F.col("value").isNotNull()))
 
 
 def minute_rollup(spark, d):
-    return rounded(Fixture(spark, d).rollup)
+    return rounded(fixture(spark, d).rollup)
 
 
 def pivot_signal(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(R.pivot_signal(fx.rollup, "error_rate"))
 
 
 def z_matrix(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(B.z_matrix(fx.z, fx.timeline))
 
 
 def ewma_z(spark, d):
-    return rounded(B.long_z(Fixture(spark, d).z))
+    return rounded(B.long_z(fixture(spark, d).z))
 
 
 def minute_score(spark, d):
-    return rounded(Fixture(spark, d).scores)
+    return rounded(fixture(spark, d).scores)
 
 
 def alert_runs(spark, d):
-    return rounded(Fixture(spark, d).sweep_alerts)
+    return rounded(fixture(spark, d).sweep_alerts)
 
 
 def ewma_alerts(spark, d):
-    return rounded(Fixture(spark, d).alerts)
+    return rounded(fixture(spark, d).alerts)
 
 
 def resample_max(spark, d):
-    return rounded(R.resample(Fixture(spark, d).raw, 1800, ["error_rate", "latency_p99"], "max"))
+    return rounded(R.resample(fixture(spark, d).raw, 1800, ["error_rate", "latency_p99"], "max"))
 
 
 def resample_mean(spark, d):
-    return rounded(R.resample(Fixture(spark, d).rollup, 21600, ["request_rate", "cpu_utilization"], "avg"))
+    return rounded(R.resample(fixture(spark, d).rollup, 21600, ["request_rate", "cpu_utilization"], "avg"))
 
 
 def service_overview(spark, d):
-    return rounded(R.service_overview(Fixture(spark, d).minutes, 24, 10800, ["request_rate", "latency_p95", "db_connections_in_use"]))
+    return rounded(R.service_overview(fixture(spark, d).minutes, 24, 10800, ["request_rate", "latency_p95", "db_connections_in_use"]))
 
 
 def match_first_alert(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(M.first_alerts(fx.alerts, fx.faults, step=STEP).select("fault_id", "fired_at", M.time_to_detect().alias("ttd_min")))
 
 
 def true_alerts(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(M.true_alerts(fx.alerts, fx.faults, ["fired_at"], step=STEP))
 
 
 def false_alerts(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(M.false_alerts(fx.alerts, fx.faults, ["fired_at"], step=STEP))
 
 
 def alert_owner(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return fx.alerts.select("fired_at").join(M.owners(fx.alerts, fx.faults, ["fired_at"], step=STEP), "fired_at", "left")
 
 
 def label_alerts(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return M.label_alerts(fx.alerts, fx.faults, step=STEP).select("fired_at", "service", "is_true", "owner", "label")
 
 
 def normal_minutes(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return M.normal_minutes(fx.timeline, fx.faults, step=STEP).select("ts")
 
 
 def detection_report(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(M.scorecard(fx.alerts, fx.faults, DAYS, STEP))
 
 
 def detection_by_category(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(M.scorecard_by_category(fx.alerts, fx.faults, STEP))
 
 
@@ -120,15 +120,15 @@ def _curve(fx):
 
 
 def detector_sweep(spark, d):
-    return rounded(_curve(Fixture(spark, d)))
+    return rounded(_curve(fixture(spark, d)))
 
 
 def operating_point(spark, d):
-    return rounded(A.operating_point(_curve(Fixture(spark, d)), 0.5).select(*A.SETTING, *CARD))
+    return rounded(A.operating_point(_curve(fixture(spark, d)), 0.5).select(*A.SETTING, *CARD))
 
 
 def score_quantiles(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     probs = [0.95, 0.97, 0.98, 0.99, 0.995, 0.998, 0.999]
     q = fx.scores.agg(F.percentile("score", F.array(*[F.lit(p) for p in probs])).alias("q"))
     return rounded(q.select(F.posexplode("q").alias("i", "value")).select(F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1).alias("quantile"), "value"))

@@ -12,7 +12,7 @@ from vigil.operators import slo as S
 from vigil.plans import classify as PC
 from vigil.plans import features as PF
 from vigil.plans import slo as PS
-from vigil.plans.common import STEP, Fixture, r6, rounded, sql
+from vigil.plans.common import STEP, Fixture, fixture, r6, rounded, sql
 from vigil.sources import fixtures as X
 
 QUIET_ROWS = 12
@@ -89,7 +89,7 @@ def _sql(body: str, *needs: str) -> str:
 
 def psi(spark, d):
     """Early against late shipments, per numeric column and return flag."""
-    items = Fixture(spark, d).table("lineitem")
+    items = fixture(spark, d).table("lineitem")
     span = items.agg(((F.max(F.unix_micros("l_shipdate")) + F.min(F.unix_micros("l_shipdate"))) / 2).alias("m")).scalar()
     long = items.withColumn("ref", F.unix_micros("l_shipdate") < span).unpivot(["l_returnflag", "ref"], COLUMNS, "name", "v")
     ref, cur = long.filter("ref").drop("ref"), long.filter("NOT ref").drop("ref")
@@ -102,7 +102,7 @@ def _signal_drift(fx):
 
 
 def signal_drift(spark, d):
-    return _signal_drift(Fixture(spark, d))
+    return _signal_drift(fixture(spark, d))
 
 
 def _feature_drift(fx):
@@ -114,20 +114,20 @@ def _feature_drift(fx):
 
 
 def feature_drift(spark, d):
-    return _feature_drift(Fixture(spark, d))
+    return _feature_drift(fixture(spark, d))
 
 
 def drift_summary(spark, d):
-    return rounded(R.drift_summary(_signal_drift(Fixture(spark, d))))
+    return rounded(R.drift_summary(_signal_drift(fixture(spark, d))))
 
 
 def promotion_decision(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(R.promotion_decision(R.drift_summary(_signal_drift(fx)), PC.compare_models(spark, d)))
 
 
 def quiet_window(spark, d):
-    return rounded(G.quiet_window(Fixture(spark, d).rollup, rows=QUIET_ROWS), 9)
+    return rounded(G.quiet_window(fixture(spark, d).rollup, rows=QUIET_ROWS), 9)
 
 
 def _canary(fx):
@@ -137,7 +137,7 @@ def _canary(fx):
 
 def canary_compare(spark, d):
     """Recorded minutes against a second table: the same minutes one percent worse."""
-    return rounded(_canary(Fixture(spark, d)))
+    return rounded(_canary(fixture(spark, d)))
 
 
 def _candidates(fx):
@@ -165,11 +165,11 @@ def _checks(fx):
 
 
 def gate_checks(spark, d):
-    return rounded(_checks(Fixture(spark, d)))
+    return rounded(_checks(fixture(spark, d)))
 
 
 def gate_verdict(spark, d):
-    v = G.gate_verdict(_checks(Fixture(spark, d)))
+    v = G.gate_verdict(_checks(fixture(spark, d)))
     return v.withColumn("failed_checks", F.array_join(F.col("failed_checks").cast("array<string>"), ","))
 
 
@@ -178,21 +178,21 @@ def _requests(fx):
 
 
 def counter_increase(spark, d):
-    return rounded(D.counter_increase(_requests(Fixture(spark, d)), "route", 3600, 900))
+    return rounded(D.counter_increase(_requests(fixture(spark, d)), "route", 3600, 900))
 
 
 def cumulative_histogram(spark, d):
-    rows = PC.scored(Fixture(spark, d)).select("top_label", "confidence")
+    rows = PC.scored(fixture(spark, d)).select("top_label", "confidence")
     return D.cumulative_histogram(rows, ["top_label"], "confidence", K.CONFIDENCE_BUCKETS)
 
 
 def latency_quantile(spark, d):
-    hist = D.cumulative_histogram(_requests(Fixture(spark, d)), ["route"], "seconds", K.LATENCY_BUCKETS_S)
+    hist = D.cumulative_histogram(_requests(fixture(spark, d)), ["route"], "seconds", K.LATENCY_BUCKETS_S)
     return rounded(D.histogram_quantile(hist, ["route"], 0.95))
 
 
 def gauges(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     sli = S.sli_minutes(fx.minutes, PS.LATENCY_MS, STEP)
     burns = S.burn_alerts(sli, "bad_availability", PS.TARGET, PS.RULES, STEP)
     return rounded(D.gauges(PC.scored(fx), _signal_drift(fx), burns, fx.minutes.agg(F.max("ts"))))

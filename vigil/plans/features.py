@@ -11,7 +11,7 @@ from vigil.operators import features as FE
 from vigil.operators import graph as G
 from vigil.operators import incidents as I
 from vigil.operators import matching as M
-from vigil.plans.common import STEP, Fixture, r6, rounded, sql
+from vigil.plans.common import STEP, Fixture, fixture, r6, rounded, sql
 from vigil.settings import cut
 
 SPLIT_DAY = 22
@@ -167,7 +167,7 @@ def _services(fx: Fixture):
 
 def call_closure(spark, d):
     """Everything each service depends on, with the errors seen there."""
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     errors = fx.raw.groupBy("service").agg(F.sum("log_error").alias("callee_errors"))
     calls = G.calls_table(spark)
     direct = calls.select("caller", "callee", F.lit(True).alias("direct"))
@@ -180,50 +180,50 @@ def call_closure(spark, d):
 
 
 def fault_windows(spark, d):
-    return FE.fault_windows(Fixture(spark, d).faults, step=STEP)
+    return FE.fault_windows(fixture(spark, d).faults, step=STEP)
 
 
 def window_features(spark, d):
     cols = [f"{s}_delta" for s in K.DELTA_EPS] + ["span_delta", "conn_delta", "mem_slope", "conn_peak"]
-    return rounded(_stats(Fixture(spark, d)).select("at", "service", *cols), 9)
+    return rounded(_stats(fixture(spark, d)).select("at", "service", *cols), 9)
 
 
 def asof_deploy(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     keys = _probes(fx).select("at").distinct().withColumn("service", F.explode(F.array(*[F.lit(s) for s in K.SERVICE_NAMES])))
     return rounded(FE.asof_deploy(fx.deploys, keys))
 
 
 def error_topology(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return FE.error_topology(_stats(fx), _services(fx))
 
 
 def slowest_span(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(FE.slowest_span(_stats(fx), _services(fx)))
 
 
 def feature_rows(spark, d):
-    return rounded(_features(Fixture(spark, d)), 9)
+    return rounded(_features(fixture(spark, d)), 9)
 
 
 def baseline_deltas(spark, d):
-    return rounded(FE.baseline_deltas(Fixture(spark, d).rollup, ["latency_p95", "error_rate", "request_rate"], step=STEP))
+    return rounded(FE.baseline_deltas(fixture(spark, d).rollup, ["latency_p95", "error_rate", "request_rate"], step=STEP))
 
 
 def memory_slope(spark, d):
-    return rounded(FE.dense_memory_slope(Fixture(spark, d).rollup, STEP))
+    return rounded(FE.dense_memory_slope(fixture(spark, d).rollup, STEP))
 
 
 def rules_classify(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return I.rules_classify(_features(fx)).select("probe_id", "rules_prediction")
 
 
 def neutral_fill(spark, d):
     """Rows that name only some features: traffic and culprit depth of each alert's probe."""
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     given = _stats(fx).filter(F.col("service") == "web-frontend").select(
         F.unix_seconds("at").cast("string").alias("probe_id"),
         F.col("request_rate_delta").alias("edge_traffic_delta"),
@@ -234,7 +234,7 @@ def neutral_fill(spark, d):
 
 
 def time_split(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     w = FE.fault_windows(fx.faults, step=STEP)
     first = fx.timeline.agg(F.min("ts")).scalar()
     split = FE.time_split(w.withColumn("t0", first), F.col("start"), F.col("t0"), SPLIT_DAY, "train", "validation")
@@ -243,7 +243,7 @@ def time_split(spark, d):
 
 def training_union(spark, d):
     """Onset windows and the windows of false alerts, the latter labelled unknown."""
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     onset = FE.floor_probes(FE.fault_windows(fx.faults, step=STEP), STEP).select("probe_id", "at", F.col("category").alias("label"))
     noise = M.false_alerts(fx.alerts, fx.faults, ["fired_at"], step=STEP).select(
         F.concat(F.lit("A"), F.unix_seconds("fired_at").cast("string")).alias("probe_id"), F.col("fired_at").alias("at"), F.lit(K.UNKNOWN).alias("label")
@@ -256,13 +256,13 @@ def class_counts(spark, d):
 
 
 def evidence(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     rows = _features(fx).select("probe_id", F.posexplode(I.evidence()).alias("position", "e"))
     return rows.select("probe_id", "position", "e.signal", "e.value", "e.notable")
 
 
 def incident_text(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     ruled = I.rules_classify(_features(fx))
     return ruled.select("probe_id", I.incident_text(F.col("culprit"), F.col("rules_prediction"), I.evidence()).alias("context"))
 
@@ -272,7 +272,7 @@ def _numbered(fx: Fixture):
 
 
 def incident_context(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     return rounded(I.incident_context(_numbered(fx), fx.minutes, fx.logs, fx.deploys, CONTEXT_SIGNALS, BEFORE, AFTER, STEP), 5)
 
 
@@ -288,7 +288,7 @@ def _incidents(fx: Fixture):
 
 
 def incidents(spark, d):
-    rows = _incidents(Fixture(spark, d))
+    rows = _incidents(fixture(spark, d))
     noted = F.transform(F.filter("evidence", lambda e: e["notable"]), lambda e: F.concat(e["signal"], F.lit(" "), e["value"], F.lit(".")))
     return rounded(rows.select(
         "incident_id", "fired_at", "started_at", "ended_at", "service", "signal", "peak_z", "predicted", "confidence", "rules_prediction",
@@ -298,11 +298,11 @@ def incidents(spark, d):
 
 
 def incident_summary(spark, d):
-    return rounded(I.incident_summary(_incidents(Fixture(spark, d))))
+    return rounded(I.incident_summary(_incidents(fixture(spark, d))))
 
 
 def correct_predictions(spark, d):
-    return I.correct_predictions(I.incident_summary(_incidents(Fixture(spark, d))))
+    return I.correct_predictions(I.incident_summary(_incidents(fixture(spark, d))))
 
 
 _F = K.feature_names()

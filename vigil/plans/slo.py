@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import stats
 from vigil.operators import slo as S
-from vigil.plans.common import STEP, Fixture, r6, rounded, sql
+from vigil.plans.common import STEP, Fixture, fixture, r6, rounded, sql
 
 TARGET = 0.8  # a fifth of the test events are errors
 LATENCY_TARGET, LATENCY_MS = 0.9, 150.0
@@ -77,13 +77,13 @@ def _sli(fx: Fixture):
 
 
 def latency_good_share(spark, d):
-    m = Fixture(spark, d).rollup
+    m = fixture(spark, d).rollup
     return rounded(m.select("ts", "service", stats.latency_good_share(F.col("latency_p50"), F.col("latency_p95"), LATENCY_MS).alias("good")))
 
 
 def budget_rules(spark, d):
     """Rules against the traffic at hand: bad requests each rule tolerates over its long window."""
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     traffic = _sli(fx).groupBy("service").agg(F.avg("total").alias("mean_total"))
     rules = S.budget_rules(spark, slos={"availability": 0.999, "latency": 0.99})
     listed = rules.agg(F.collect_list(F.struct(*rules.columns))).scalar()
@@ -93,15 +93,15 @@ def budget_rules(spark, d):
 
 
 def sli_minutes(spark, d):
-    return rounded(_sli(Fixture(spark, d)))
+    return rounded(_sli(fixture(spark, d)))
 
 
 def rolling_burn(spark, d):
-    return rounded(S.rolling_burn(_sli(Fixture(spark, d)), "bad_availability", TARGET, WINDOWS))
+    return rounded(S.rolling_burn(_sli(fixture(spark, d)), "bad_availability", TARGET, WINDOWS))
 
 
 def burn_alerts(spark, d):
-    return rounded(S.burn_alerts(_sli(Fixture(spark, d)), "bad_availability", TARGET, RULES, STEP))
+    return rounded(S.burn_alerts(_sli(fixture(spark, d)), "bad_availability", TARGET, RULES, STEP))
 
 
 def _status(fx):
@@ -109,28 +109,28 @@ def _status(fx):
 
 
 def slo_status(spark, d):
-    return rounded(_status(Fixture(spark, d)))
+    return rounded(_status(fixture(spark, d)))
 
 
 def burn_now(spark, d):
-    return rounded(S.burn_now(S.sli_minutes(Fixture(spark, d).minutes, LATENCY_MS, STEP), "bad_availability", TARGET, WINDOWS))
+    return rounded(S.burn_now(S.sli_minutes(fixture(spark, d).minutes, LATENCY_MS, STEP), "bad_availability", TARGET, WINDOWS))
 
 
 def cumulative_budget(spark, d):
-    return rounded(S.cumulative_budget(S.sli_minutes(Fixture(spark, d).minutes, LATENCY_MS, STEP), "bad_availability", TARGET, 21600))
+    return rounded(S.cumulative_budget(S.sli_minutes(fixture(spark, d).minutes, LATENCY_MS, STEP), "bad_availability", TARGET, 21600))
 
 
 def rolling_budget(spark, d):
-    return rounded(S.rolling_budget(_sli(Fixture(spark, d)), "bad_latency", LATENCY_TARGET, 240))
+    return rounded(S.rolling_budget(_sli(fixture(spark, d)), "bad_latency", LATENCY_TARGET, 240))
 
 
 def sustained_alert(spark, d):
-    burn = S.rolling_burn(_sli(Fixture(spark, d)), "bad_availability", TARGET, [21600])
+    burn = S.rolling_burn(_sli(fixture(spark, d)), "bad_availability", TARGET, [21600])
     return S.sustained(burn, F.col("burn_21600") > 1.2, 7200)
 
 
 def worst_budget(spark, d):
-    return rounded(S.worst_budget(_status(Fixture(spark, d))))
+    return rounded(S.worst_budget(_status(fixture(spark, d))))
 
 
 _ALLOW = f"{1 - TARGET!r}::DOUBLE"

@@ -14,7 +14,7 @@ from vigil.plans import detection as PD
 from vigil.plans import drift as PR
 from vigil.plans import features as PF
 from vigil.plans import slo as PS
-from vigil.plans.common import CONSECUTIVE, DAYS, STEP, THRESHOLD, Fixture, r6, rounded, sql
+from vigil.plans.common import CONSECUTIVE, DAYS, STEP, THRESHOLD, Fixture, fixture, r6, rounded, sql
 from vigil.settings import cut, scratch_path
 from vigil.sources import fixtures as X
 from vigil.sources import tables as TB
@@ -86,11 +86,11 @@ def _z(fx: Fixture):
 
 
 def stream_ewma(spark, d):
-    return rounded(B.long_z(_z(Fixture(spark, d))))
+    return rounded(B.long_z(_z(fixture(spark, d))))
 
 
 def stream_ewma_alerts(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     scores = B.minute_score(_z(fx), fx.timeline, B.first_key(fx.minutes, fx.timeline))
     path = scratch_path(spark, "scores")
     scores.write.parquet(path)
@@ -99,42 +99,42 @@ def stream_ewma_alerts(spark, d):
 
 
 def stream_burn(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     sli = S.sli_minutes(_minute_stream(fx), PS.LATENCY_MS, STEP)
     return rounded(J.drain(J.burn_stream(sli, "bad_availability", PS.TARGET, PS.WINDOWS), "burn"))
 
 
 def csv_roundtrip(spark, d):
     path = scratch_path(spark, "logs")
-    TB.write_csv(Fixture(spark, d).logs, path)
+    TB.write_csv(fixture(spark, d).logs, path)
     return TB.read_csv(spark, path, TB.LOG_SCHEMA)
 
 
 def minutes_sink(spark, d):
     path = scratch_path(spark, "minutes-by-day")
-    TB.write_minutes(Fixture(spark, d).rollup, path)
+    TB.write_minutes(fixture(spark, d).rollup, path)
     return spark.read.parquet(path).select("ts", "service", *[F.round(F.col(s).cast("double"), 3).alias(s) for s in ("request_rate", "error_rate", "latency_p99")], "log_error")
 
 
 def minutes_wide(spark, d):
     path = scratch_path(spark, "minutes-wide")
-    TB.write_minutes_wide(Fixture(spark, d).rollup, path, ["error_rate", "latency_p95"])
+    TB.write_minutes_wide(fixture(spark, d).rollup, path, ["error_rate", "latency_p95"])
     return rounded(TB.read_minutes_wide(spark, path).filter(F.col("value").isNotNull()), 3)
 
 
 def report_json(spark, d):
-    report = PS._status(Fixture(spark, d))
+    report = PS._status(fixture(spark, d))
     path = scratch_path(spark, "report")
     TB.write_report(report, path)
     return rounded(TB.read_report(spark, path, report.schema).select("service", "slo", "sli", "budget_remaining", "window_days"))
 
 
 def ground_truth(spark, d):
-    return TB.ground_truth(Fixture(spark, d).faults)
+    return TB.ground_truth(fixture(spark, d).faults)
 
 
 def incident_windows(spark, d):
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     keyed = I.number_incidents(fx.alerts).select("incident_id", F.concat(F.lit("A"), F.unix_seconds("fired_at").cast("string")).alias("probe_id"))
     feats = PF._features(fx).join(keyed, "probe_id")
     table = cut(TB.incident_windows(PF._incidents(fx), feats, K.feature_names()), "incident-windows")
@@ -147,7 +147,7 @@ def incident_windows(spark, d):
 
 def summary(spark, d):
     """One row per headline number."""
-    fx = Fixture(spark, d)
+    fx = fixture(spark, d)
     card = M.scorecard(fx.alerts, fx.faults, DAYS, STEP).unpivot([], ["recall", "median_ttd_min", "false_alerts_per_day", "precision"], "metric", "value")
     worst = S.worst_budget(PS._status(fx)).select(F.lit("worst_budget_remaining").alias("metric"), F.col("budget_remaining").alias("value"))
     psi = PR._signal_drift(fx).agg(F.max("psi").alias("value")).select(F.lit("max_psi").alias("metric"), "value")

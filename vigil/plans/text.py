@@ -12,7 +12,7 @@ from vigil import constants as K
 from vigil.functions import text as X
 from vigil.operators import nearest as N
 from vigil.operators import retrieval as R
-from vigil.plans.common import Fixture, r6, rounded, sql
+from vigil.plans.common import STORED, Fixture, fixture, r6, rounded, sql
 from vigil.settings import cut
 from vigil.sources import corpus as C
 
@@ -155,7 +155,7 @@ class Text:
     """Stored index, questions and hits of one test folder."""
 
     def __init__(self, spark, d, k: int = 5):
-        self.fx = Fixture(spark, d)
+        self.fx = fixture(spark, d)
         self.chunks = cut(_chunks(self.fx), "chunks")
         self.index = R.build_index(self.chunks.withColumnRenamed("chunk_id", "id"), C.embed_text())
         self.expected = cut(_passages(self.fx), "expected")
@@ -176,9 +176,17 @@ class Text:
         return R.answer(self.facts(), R.select_sentences(self.candidates(), MIN_OVERLAP), MIN_SCORE, MIN_COVERAGE)
 
 
+def text(spark, d) -> Text:
+    """The index of a folder is built once per application and serves every query after that."""
+    key = (spark.sparkContext.applicationId, d, "text")
+    if key not in STORED:
+        STORED[key] = Text(spark, d)
+    return STORED[key]
+
+
 def load_documents(spark, d):
     """Documents written out with front matter and parsed back."""
-    docs = Fixture(spark, d).table("documents")
+    docs = fixture(spark, d).table("documents")
     front = F.concat(
         F.lit("---\ntitle: Document "), "doc_id", F.lit("\ndoc_type: "), "lang", F.lit("\ncategory: "), "source",
         F.lit("\nservices: [svc-"), F.col("doc_id") % 5, F.lit(", all]\nlast_reviewed: 2026-01-01\n---\n"), "text",
@@ -188,68 +196,68 @@ def load_documents(spark, d):
 
 
 def chunk_documents(spark, d):
-    return _chunks(Fixture(spark, d)).select("chunk_id", "doc_id", "section_no", "section", "text")
+    return _chunks(fixture(spark, d)).select("chunk_id", "doc_id", "section_no", "section", "text")
 
 
 def chunk_overlap(spark, d):
     prefix = F.regexp_extract("text", r"(?s)^\(Context: (.*?)\)\n", 1)
-    return _chunks(Fixture(spark, d)).filter(F.col("text").startswith("(Context: ")).select("chunk_id", F.length(prefix).alias("chars"), F.md5(prefix).alias("context"))
+    return _chunks(fixture(spark, d)).filter(F.col("text").startswith("(Context: ")).select("chunk_id", F.length(prefix).alias("chars"), F.md5(prefix).alias("context"))
 
 
 def slugify(spark, d):
-    return Fixture(spark, d).table("documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
+    return fixture(spark, d).table("documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 def sentence_split(spark, d):
-    docs = Fixture(spark, d).table("documents")
+    docs = fixture(spark, d).table("documents")
     return docs.select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("position", "sentence"))
 
 
 def content_words(spark, d):
-    docs = Fixture(spark, d).table("documents")
+    docs = fixture(spark, d).table("documents")
     return docs.select("doc_id", F.array_join(F.array_sort(X.content_words(F.col("text"))), " ").alias("words"))
 
 
 def tfidf(spark, d):
-    t = _chunks(Fixture(spark, d))
+    t = _chunks(fixture(spark, d))
     index = R.build_index(t.withColumnRenamed("chunk_id", "id"), C.embed_text())
     return rounded(R.tfidf(index).withColumnRenamed("id", "chunk_id"))
 
 
 def topk_retrieval(spark, d):
-    return rounded(Text(spark, d).hits.select(F.col("query_id").alias("id"), F.col("item_id").alias("chunk_id"), "score", "rank"))
+    return rounded(text(spark, d).hits.select(F.col("query_id").alias("id"), F.col("item_id").alias("chunk_id"), "score", "rank"))
 
 
 def topk_embeddings(spark, d):
-    e = Fixture(spark, d).table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    e = fixture(spark, d).table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return rounded(N.nearest(e, e, 5, "dot", exclude_self=True))
 
 
 def retrieval_metrics(spark, d):
-    t = Text(spark, d)
+    t = text(spark, d)
     docs = t.hits.join(t.chunks.select(F.col("chunk_id").alias("item_id"), "doc_id"), "item_id")
     return rounded(R.retrieval_metrics(docs, t.questions, t.expected), 7)
 
 
 def coverage_gate(spark, d):
-    f = Text(spark, d).facts()
+    f = text(spark, d).facts()
     low = F.when(F.col("top_score") < MIN_SCORE, "score").when(F.col("coverage") < MIN_COVERAGE, "coverage").otherwise("pass")
     return rounded(f.select("id", "top_score", "coverage", low.alias("gate")))
 
 
 def extractive_answers(spark, d):
-    return Text(spark, d).answers().select("id", "refused", "answer", F.array_join(F.array_sort("cited_docs"), ",").alias("cited_docs"), "note")
+    return text(spark, d).answers().select("id", "refused", "answer", F.array_join(F.array_sort("cited_docs"), ",").alias("cited_docs"), "note")
 
 
 def answer_metrics(spark, d):
-    t = Text(spark, d)
+    t = text(spark, d)
     return rounded(R.answer_metrics(t.answers(), t.questions, t.expected))
 
 
 def verify_citations(spark, d):
     """Answers of one question checked against the chunks retrieved for another: the top chunk of a
     question is cited by an answer that only saw its chunks 2 to 5."""
-    t = Text(spark, d)
+    t = text(spark, d)
     per = t.hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("h"))
     ids = F.transform("h", lambda x: x["item_id"])
     sentence = F.array(F.struct(F.lit("claim").alias("text"), F.filter(F.slice(ids, 1, 2), lambda x: F.col("query_id") != "").alias("citations")))
@@ -257,7 +265,7 @@ def verify_citations(spark, d):
 
 
 def _tuning(spark, d):
-    t = Text(spark, d)
+    t = text(spark, d)
     dev = R.alternate_halves(t.questions).filter("half = 'dev'")
     return R.tune_refusal(t.facts().join(dev.select("id"), "id", "left_semi"), t.candidates(), dev)
 
