@@ -208,6 +208,9 @@ def _indexed(train: DataFrame, classes: list[str]) -> DataFrame:
 def fit_classifier(train: DataFrame, kind: str, params: dict, classes: list[str], seed: int = 0) -> Model:
     """Fit on rows (features array, label). `random_forest` is class-balanced; boosting is one-vs-rest."""
     rows = _indexed(train, classes).withColumn("x", array_to_vector(F.col("features").cast("array<double>")))
+    # sampling inside the estimators follows row order, so the order is fixed by content
+    n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("h", F.xxhash64("features", "label")).repartition(n, "h").sortWithinPartitions("h").drop("h")
     if kind == "random_forest":
         return RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", seed=seed, **params).fit(rows)
     if kind == "gradient_boosting":

@@ -26,6 +26,16 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(np.maximum(squares, 0.0))
 
 
+def hit_frame(parts: list[tuple], keep) -> pd.DataFrame:
+    """query_id, item_id, score of the parts' rows whose score passes `keep`."""
+    names = ("query_id", "item_id", "score")
+    if not parts:
+        return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+    columns = [np.concatenate([p[i] for p in parts]) for i in range(3)]
+    held = keep(columns[2])
+    return pd.DataFrame({n: pd.Series(c[held], dtype=c.dtype) for n, c in zip(names, columns)})
+
+
 def _top(qid: np.ndarray, iid: np.ndarray, scores: np.ndarray, k: int, metric: str, exclude_self: bool) -> pd.DataFrame:
     """k best per query; equal scores (9 digits) go to the smaller item id."""
     order = np.argsort(iid, kind="stable")
@@ -34,9 +44,8 @@ def _top(qid: np.ndarray, iid: np.ndarray, scores: np.ndarray, k: int, metric: s
         scores = np.where(qid[:, None] == iid[None, :], -np.inf, scores)
     pick = np.argsort(-scores, axis=1, kind="stable")[:, :k]
     best = np.take_along_axis(scores, pick, axis=1)
-    out = pd.DataFrame({"query_id": np.repeat(qid, pick.shape[1]), "item_id": iid[pick].ravel(), "score": best.ravel()})
-    out = out[np.isfinite(out["score"])]
-    return out if metric == "dot" else out.assign(score=-out["score"])
+    hits = hit_frame([(np.repeat(qid, pick.shape[1]), iid[pick].ravel(), best.ravel())], np.isfinite)
+    return hits if metric == "dot" else hits.assign(score=-hits["score"])
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -85,7 +94,7 @@ def nearest(
 
         def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+                return hit_frame([], np.isfinite)
             scores = _scores(_matrix(left["vec"]), _matrix(right["vec"]), metric)
             return _top(left["id"].to_numpy(), right["id"].to_numpy(), scores, k, metric, exclude_self)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vigil import constants as K
 from vigil.functions import text as X
+from vigil.operators.nearest import hit_frame
 from vigil.settings import cut
 from vigil.sources.corpus import embed_text
 
@@ -138,7 +139,7 @@ def _inverted(side: pd.DataFrame) -> tuple:
     pos = np.repeat(np.arange(len(side)), sizes)
     order = np.argsort(tids, kind="stable")
     dense = np.stack(side["vec"].to_list()) if "vec" in side else None
-    return side["id"].to_numpy(), tids[order], pos[order], ws[order], dense
+    return side["id"].to_numpy(dtype=object), tids[order], pos[order], ws[order], dense
 
 
 def _score_block(inverted: tuple, pdf: pd.DataFrame, k: int, share: float) -> pd.DataFrame:
@@ -164,9 +165,8 @@ def _score_block(inverted: tuple, pdf: pd.DataFrame, k: int, share: float) -> pd
         scores = np.round(scores, 9)
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         best = np.take_along_axis(scores, top, axis=1)
-        frame = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "item_id": part["id"].to_numpy()[top].ravel(), "score": best.ravel()})
-        out.append(frame[frame["score"] > 0])
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        out.append((np.repeat(ids, top.shape[1]), part["id"].to_numpy(dtype=object)[top].ravel(), best.ravel()))
+    return hit_frame(out, lambda s: s > 0)
 
 
 # ------------------------------------------------------------------ evaluation of retrieval
