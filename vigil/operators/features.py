@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vigil import constants as K
 from vigil.operators.graph import call_closure
 from vigil.operators.rollup import floor_time
+from vigil.settings import cut
 
 NOW, BASE_FROM, BASE_TO, RECENT, EARLIER = 4, 10, 70, 9, 60  # window bounds in steps before the probe
 
@@ -137,7 +138,7 @@ def feature_rows(
 ) -> DataFrame:
     """The full feature row per probe: probe_id, at, culprit and 48 doubles in fixed order."""
     probes = floor_probes(probes, step).select("probe_id", "at", "culprit")
-    stats = window_features(minutes, probes, step)
+    stats = cut(window_features(minutes, probes, step), "window-stats")  # read four times below
     cells = [
         F.max(F.when(F.col("service") == s, F.col(f"{g}_delta"))).alias(f"{K.short_name(s)}_{g}_delta")
         for s in names

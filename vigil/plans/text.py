@@ -13,7 +13,7 @@ from vigil.functions import text as X
 from vigil.operators import nearest as N
 from vigil.operators import retrieval as R
 from vigil.plans.common import STORED, Fixture, fixture, r6, rounded, sql
-from vigil.settings import cut
+from vigil.settings import cut, spread
 from vigil.sources import corpus as C
 
 STOP = "(" + ", ".join(f"'{w}'" for w in K.STOP_WORDS) + ")"
@@ -119,10 +119,14 @@ def _sql(body: str, *needs: str) -> str:
     return sql(body, *needs, blocks=BLOCKS)
 
 
+def _docs(fx: Fixture):
+    return spread(fx.table("documents"), "doc_id")
+
+
 def _documents(fx: Fixture):
     """Documents in corpus form: every line becomes a section."""
     parts = F.transform(F.split("text", "\n", -1), lambda s, i: F.concat(F.lit("## Part "), (i + 1).cast("string"), F.lit("\n"), s))
-    return fx.table("documents").select(
+    return _docs(fx).select(
         F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.array_join(parts, "\n").alias("body")
     )
 
@@ -144,7 +148,7 @@ def _passages(fx: Fixture):
         return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 
     bench = fx.table("benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), F.col("text").alias("passage"), words(F.col("text")).alias("w"))
-    docs = fx.table("documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", words(F.col("text")).alias("w"))
+    docs = _docs(fx).select(F.col("doc_id").cast("string").alias("doc_id"), "text", words(F.col("text")).alias("w"))
     anchors = bench.select("id", "passage", F.array_join(F.slice("w", 2, 5), " ").alias("anchor"))
     spots = docs.select("doc_id", F.explode(F.array_distinct(five(F.col("w")))).alias("anchor"))
     near = spots.join(anchors, "anchor").select("id", "passage", "doc_id").distinct()
@@ -186,7 +190,7 @@ def text(spark, d) -> Text:
 
 def load_documents(spark, d):
     """Documents written out with front matter and parsed back."""
-    docs = fixture(spark, d).table("documents")
+    docs = _docs(fixture(spark, d))
     front = F.concat(
         F.lit("---\ntitle: Document "), "doc_id", F.lit("\ndoc_type: "), "lang", F.lit("\ncategory: "), "source",
         F.lit("\nservices: [svc-"), F.col("doc_id") % 5, F.lit(", all]\nlast_reviewed: 2026-01-01\n---\n"), "text",
@@ -205,16 +209,16 @@ def chunk_overlap(spark, d):
 
 
 def slugify(spark, d):
-    return fixture(spark, d).table("documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
+    return _docs(fixture(spark, d)).select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 def sentence_split(spark, d):
-    docs = fixture(spark, d).table("documents")
+    docs = _docs(fixture(spark, d))
     return docs.select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("position", "sentence"))
 
 
 def content_words(spark, d):
-    docs = fixture(spark, d).table("documents")
+    docs = _docs(fixture(spark, d))
     return docs.select("doc_id", F.array_join(F.array_sort(X.content_words(F.col("text"))), " ").alias("words"))
 
 
