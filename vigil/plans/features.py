@@ -51,7 +51,7 @@ _PER_SERVICE = {
 
 
 def _signed(x: str, digits: int, plus: str = "") -> str:
-    return f"CASE WHEN {x} < 0 THEN '-' ELSE '{plus}' END || printf('%.{digits}f', abs({x})::DOUBLE)"
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '{plus}' END || printf('%.{digits}f', abs(round({x}, 9))::DOUBLE)"
 
 
 _EVIDENCE = [
