@@ -31,7 +31,7 @@ def test_stateful_streams_equal_batch(spark, tmp_path):
     path = str(tmp_path / "minutes")
     write_in_files(table, path)
     schema = table.drop("rn").schema
-    z = J.drain(J.ewma_stream(J.read_table(spark, path, schema, files_per_batch=1), F.lit(T0)), "z")
+    z = J.drain(J.ewma_stream(J.read_table(spark, path, schema, files_per_batch=1), J.grid_row(F.lit(T0))), "z")
     key = lambda r: (r.service, r.rn)
     assert sorted((r.asDict() for r in z.collect()), key=lambda r: (r["service"], r["rn"])) == [
         r.asDict() for r in sorted(B.ewma_z(table.drop("rn")).collect(), key=key)

@@ -84,15 +84,21 @@ def rollup_stream(raw: DataFrame, grain: str = "1 minute", delay: str = "2 minut
 # ------------------------------------------------------------------ baseline
 
 
-def ewma_stream(minutes: DataFrame, origin: Column, grain: int = 60, floors: dict[str, tuple] = K.STD_FLOOR, alpha: float = K.EWMA_ALPHA,
+def grid_row(origin: Column, grain: int = 60) -> Column:
+    """Row number of a minute on a grid without holes: steps since `origin`."""
+    return ((F.unix_seconds("ts") - F.unix_seconds(origin)) / grain).cast("long")
+
+
+def ewma_stream(minutes: DataFrame, row: Column, floors: dict[str, tuple] = K.STD_FLOOR, alpha: float = K.EWMA_ALPHA,
                 warm: int = K.EWMA_WARM_ROWS, clip: float = K.EWMA_CLIP) -> DataFrame:
     """z of closed minutes, one state per service: (mean, variance, last row) of each signal.
 
-    Row numbers count grid steps since `origin`. Minutes of a service must arrive in order, which is
-    how the rollup emits them; rows of one batch are sorted here.
+    `row` numbers the minutes: `grid_row`, or a column joined from the stored timeline where whole
+    minutes may be absent. Minutes of a service must arrive in order, which is how the rollup emits
+    them; rows of one batch are sorted here.
     """
     signals = list(floors)
-    rows = minutes.select("service", "ts", ((F.unix_seconds("ts") - F.unix_seconds(origin)) / grain).cast("long").alias("rn"), *signals)
+    rows = minutes.select("service", "ts", row.alias("rn"), *signals)
     out = T.StructType(
         [T.StructField("service", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("rn", T.LongType())]
         + [T.StructField(s, T.DoubleType()) for s in signals]
