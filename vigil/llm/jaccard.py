@@ -32,12 +32,14 @@ from vigil.llm.words import mix, shingle_sets, texts_of
 from vigil.settings import cut
 
 #: Counters of the sketch: 2 ** BITS, whatever the input; every worker holds one copy.
-BITS = 20
+BITS = 21
 _SLICES = 64
 #: Bits of the sieve for documents whose sets are wanted.
 _SIEVE = 1 << 23
 #: A cell whose shingle the sketch counts up to so often is streamed through one task; others are split.
 HOT = 20_000
+#: A document goes to so large a share of its shingles more than it must; each link then shows in as many more cells.
+SPARE = 0.05
 #: Shingles in one block of a region.
 BLOCK = 1 << 18
 
@@ -104,7 +106,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, sha
                     hot.append(np.empty(0, np.int64))
                     continue
                 often = sketch[_bucket(s)]
-                first = len(s) - int(np.ceil(share * len(s) - 1e-9)) + 1
+                first = len(s) - int(np.ceil(share * len(s) - 1e-9)) + 1 + int(SPARE * len(s))
                 pick = np.lexsort((s, often))[:first]
                 common = often[pick] > HOT
                 cold.append(s[pick[~common]].astype(np.int64))
@@ -134,6 +136,18 @@ def _shared_hot_cells(rows: DataFrame) -> DataFrame:
     return rows.join(ends, "cell").select("cell", "pivot", "fp").distinct()
 
 
+def _with_enough(cells: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Cells without the sets that meet other sets too seldom to be linked.
+
+    Of two linked sets, let a be the one whose cells end first in the order. Its shingles placed there are
+    either cells of the other too or none of its elements, so the two share 1 + SPARE * |a| cells at least,
+    and |a| is at least percent / 100 of the other's size.
+    """
+    seen = cells.groupBy("fp").agg(F.count("*").alias("met")).join(sizes, "fp")
+    good = seen.where(f"met >= 1 + floor({SPARE} * floor({percent} * n / 100))").select("fp")
+    return cut(_shared_hot_cells(cells.join(good, "fp").select("cell", "fp")), "cells")
+
+
 def _sets(docs: DataFrame, doc_id: str, text: str, signed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, n, items): the shingle sets of the wanted fingerprints, made anew from one text of each.
 
@@ -241,6 +255,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     cold = _shared_cells(signed.select(F.explode("cold").alias("cell"), "fp"))
     hot = _shared_hot_cells(signed.select(F.explode("hot").alias("cell"), "fp"))
     cells = cut(cold.unionByName(hot), "cells")
+    sizes = signed.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.max("n").alias("n"))
+    for _ in range(2):
+        cells = _with_enough(cells, sizes, percent)
     edges = []
     if not _empty(cells):
         sets = _sets(docs, doc_id, text, signed, cells.select("fp").distinct())
