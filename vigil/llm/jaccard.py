@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm.links import components
 from vigil.llm.words import mix, shingle_sets, texts_of
-from vigil.settings import cut
+from vigil.settings import cut, scratch_path
 
 #: Counters of the sketch: 2 ** BITS, whatever the input; every worker holds one copy.
 BITS = 21
@@ -180,7 +180,18 @@ def _sets(docs: DataFrame, doc_id: str, text: str, signed: DataFrame, wanted: Da
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     rows = rows.withColumn("bit", F.expr(f"pmod(xxhash64(doc_id), {_SIEVE})")).mapInArrow(sieve, "doc_id long, text string, bit long")
-    return cut(rows.join(at.select("doc_id", "fp"), "doc_id").select("fp", "text").mapInArrow(build, "fp long, n long, items array<long>"), "sets")
+    made = rows.join(at.select("doc_id", "fp"), "doc_id").select("fp", "text").mapInArrow(build, "fp long, n long, items array<long>")
+    return _bucketed(made, "fp")
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """`df` as a table in the shared folder, dealt by `key` once and for all joins to come."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "sets")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def _find(parent: list[int], k: int) -> int:
