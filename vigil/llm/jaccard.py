@@ -53,6 +53,18 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(mix(s + np.uint64(len(s))).sum(dtype=np.uint64).astype(np.int64))
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(p) for p in parts])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that keep what is made from them small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def shingle_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Document frequencies of all shingles of all texts, summed into 2 ** BITS counters."""
 
@@ -62,7 +74,7 @@ def shingle_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
             for s in shingle_sets(texts_of(batch.column(0))):
                 pending.append(s)
                 size += len(s)
-                if size > 1 << 20:
+                if size > 1 << 19:
                     total += np.bincount(_bucket(np.concatenate(pending)), minlength=1 << BITS)
                     pending, size = [], 0
         if pending:
@@ -95,7 +107,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, sha
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = held.value
-        for batch in batches:
+        for batch in _small(batches):
             ids = batch.column(0)
             n, fp, cold, hot = [], [], [], []
             for known, s in zip(ids.is_valid().to_pylist(), shingle_sets(texts_of(batch.column(1))), strict=True):
@@ -111,13 +123,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, sha
                 common = often[pick] > HOT
                 cold.append(s[pick[~common]].astype(np.int64))
                 hot.append(s[pick[common]].astype(np.int64))
-
-            def lists(parts: list[np.ndarray]) -> pa.Array:
-                offsets = np.cumsum([0] + [len(p) for p in parts])
-                return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
-
-            if n:
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), lists(cold), lists(hot)], ["doc_id", "n", "fp", "cold", "hot"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), _lists(cold), _lists(hot)], ["doc_id", "n", "fp", "cold", "hot"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(sign, "doc_id long, n long, fp long, cold array<long>, hot array<long>")
@@ -170,13 +176,12 @@ def _sets(docs: DataFrame, doc_id: str, text: str, signed: DataFrame, wanted: Da
                 yield batch.filter(pa.array(keep))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             fp, parts = batch.column(0).to_pylist(), list(shingle_sets(texts_of(batch.column(1))))
             good = [k for k, s in enumerate(parts) if _fingerprint(s) == fp[k]]
             if good:
-                offsets = np.cumsum([0] + [len(parts[k]) for k in good])
-                items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([parts[k] for k in good]).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([fp[k] for k in good]), pa.array(np.diff(offsets)), items], ["fp", "n", "items"])
+                found = [parts[k].astype(np.int64) for k in good]
+                yield pa.RecordBatch.from_arrays([pa.array([fp[k] for k in good]), pa.array([len(p) for p in found]), _lists(found)], ["fp", "n", "items"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     rows = rows.withColumn("bit", F.expr(f"pmod(xxhash64(doc_id), {_SIEVE})")).mapInArrow(sieve, "doc_id long, text string, bit long")

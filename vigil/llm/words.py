@@ -13,7 +13,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text that one numpy pass works on.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
