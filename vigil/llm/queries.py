@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,17 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.language import language_samples, predict_languages, training_split
+
+    docs = read(spark, sf_dir, "documents")
+    samples = language_samples(docs.where(training_split()))
+    held_out = F.expr(f"not ({training_split()})").alias("held_out")
+    return predict_languages(docs.select("doc_id", held_out, "text"), samples).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op9_language_id": op9_language_id,
 }
 ORACLES: dict[str, str] = {}
