@@ -32,7 +32,7 @@ from vigil.llm.words import mix, shingle_sets, texts_of
 from vigil.settings import cut, scratch_path
 
 #: Counters of the sketch: 2 ** BITS, whatever the input; every worker holds one copy.
-BITS = 21
+BITS = 22
 _SLICES = 64
 #: Bits of the sieve for documents whose sets are wanted.
 _SIEVE = 1 << 23
@@ -272,8 +272,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     hot = _shared_hot_cells(signed.select(F.explode("hot").alias("cell"), "fp"))
     cells = cut(cold.unionByName(hot), "cells")
     sizes = signed.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.max("n").alias("n"))
-    for _ in range(2):
-        cells = _with_enough(cells, sizes, percent)
+    cells = _with_enough(cells, sizes, percent)
     edges = []
     if not _empty(cells):
         sets = _sets(docs, doc_id, text, signed, cells.select("fp").distinct())
