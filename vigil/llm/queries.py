@@ -18,6 +18,26 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from vigil.llm.pieces import encode
+
+    coded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path("piece_bpe_32k.model"))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n.alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "round_trip", "parity")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from vigil.llm.packing import pack_documents
+
+    pieces = pack_documents(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+    length = (F.octet_length("ids") / 4).cast("long")
+    return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.language import language_samples, predict_languages, training_split
 
@@ -27,8 +47,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs.select("doc_id", held_out, "text"), samples).drop("text")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from vigil.llm.transducer import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_packing": op6_packing,
     "op9_language_id": op9_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
