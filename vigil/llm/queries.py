@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.llm.lines import ORACLE as LINES_SQL
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,6 +20,14 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm import urls
+
+    rules = {"org/": urls.ALLOW, "example.org/es/": urls.BLOCK, "example.org/en/1": urls.BLOCK, "com/fr/": urls.ALLOW, "com/de/": urls.BLOCK}
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, rules, urls.fit(urls.labelled_urls(spark))).drop("url")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -38,6 +48,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.lines import drop_repeated_lines
+
+    return drop_repeated_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.language import language_samples, predict_languages, training_split
 
@@ -57,9 +73,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_url_filter": op2_url_filter,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_packing": op6_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": LINES_SQL}
