@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.lines import ORACLE as LINES_SQL
+from vigil.llm.topk import ORACLE as TOPK_SQL
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, rules, urls.fit(urls.labelled_urls(spark))).drop("url")
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -38,6 +45,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n.alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "round_trip", "parity")
 
 
+def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.topk import top_inner_products
+
+    return top_inner_products(read(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -74,10 +87,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filter": op2_url_filter,
+    "op3_near_vectors": op3_near_vectors,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_top_products": op5_top_products,
     "op6_packing": op6_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": LINES_SQL}
+ORACLES: dict[str, str] = {"op5_top_products": TOPK_SQL, "op8_line_dedup": LINES_SQL}
