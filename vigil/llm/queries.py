@@ -61,6 +61,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm import toxicity
+    from vigil.llm.language import training_split
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    trigrams = toxicity.letter_trigrams(docs)
+    lexicon = toxicity.learn(toxicity.training_rows(docs, read(spark, sf_dir, "labels"), training_split()), trigrams)
+    scored = toxicity.score_texts(docs, lexicon, trigrams)
+    return scored.select("doc_id", F.expr(f"not ({training_split()})").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.lines import drop_repeated_lines
 
@@ -91,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_top_products": op5_top_products,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
