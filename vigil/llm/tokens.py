@@ -38,31 +38,55 @@ class Units:
         return values
 
 
-#: Byte-level BPE: a word takes the one space before it; a longer run of white space leaves its last character.
-BYTE_LEVEL = rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-#: White space beyond ASCII and the separators 0x1C-0x1F, where the pattern above may differ from the library's.
-ODD_SPACE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+#: The stretches that byte-level BPE never joins, for texts whose letters beyond ASCII are Latin-1 letters: contractions,
+#: letters, digits and others with the one space before them; a longer run of white space leaves its last character.
+BYTE_LEVEL = rb"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9\x80-\xff]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+#: Bytes of such texts: ASCII without the separators 0x1C-0x1F, and UTF-8 that begins with 0xC3.
+_PLAIN = bytes(k for k in range(256) if not 28 <= k <= 31 and (k < 192 or k == 195))
+_SIGNS = re.compile(rb"\xc3[\x97\xb7]")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [k for k in range(256) if k not in set(kept)]
+    return {k: k for k in kept} | {k: 256 + i for i, k in enumerate(others)}
+
+
+class _Known(dict):
+    """unit -> its ids; a unit that is not known is encoded and, up to LIMIT, remembered."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+
+    def __missing__(self, unit: bytes) -> bytes:
+        ids = array("I", [t.id for t in self.tokenize(unit.decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self) < LIMIT:
+            self[unit] = ids
+        return ids
 
 
 class ByteLevelIds:
-    """uint32 ids, as bytes, of whole texts under a byte-level BPE file of the tokenizers library."""
+    """uint32 ids, as bytes, of whole texts under a byte-level BPE file of the tokenizers library.
+
+    Texts with other letters, odd white space or special strings are encoded whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile(b"|".join([ODD_SPACE, *special]))
-        self.units = Units(BYTE_LEVEL, self._encode)
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or rb"(?!)")
+        self.units = _Known(self.tokenizer.model)
+        self.find = re.compile(BYTE_LEVEL).findall
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        whole = [bool(self.odd.search(t)) for t in texts]
-        parts = self.units([t for t, w in zip(texts, whole, strict=True) if not w])
-        joined = iter(b"".join(p) for p in parts)
-        direct = iter(self._encode([t.decode("utf-8", "replace") for t, w in zip(texts, whole, strict=True) if w]))
-        return [next(direct) if w else next(joined) for w in whole]
+        get = self.units.__getitem__
+        odd = [bool(t.translate(None, _PLAIN) or _SIGNS.search(t) or self.special.search(t)) for t in texts]
+        return [self._whole(t) if o else b"".join(map(get, self.find(t))) for t, o in zip(texts, odd, strict=True)]
 
 
 _loaded: dict[tuple, object] = {}
