@@ -122,19 +122,24 @@ class SentencePieces:
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         line = not any("\n" in p for p, _, kind in self.model.pieces if kind == NORMAL)
         self.units = Units(rb" *[^ \n]+| +|\n" if line else rb" *[^ ]+| +", self._encode)
-        self.marks = re.compile(MARK.encode()).search
+        self.lost: set[bytes] = set()
+        self.odd: set[bytes] = set()
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
-    def _encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """ids of each word; words that do not come back, or that the library splits otherwise, are noted."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        back = [a == b for a, b in zip(self.tokenizer.decode_batch(found, skip_special_tokens=False), texts, strict=True)]
-        same = [True] * len(found)
+        table = self.bytes
+        for t, ids in zip(texts, found, strict=True):
+            if b"".join([table[k] for k in ids]) != t.encode():
+                self.lost.add(t.encode())
         if self.reference is not None:  # the library adds a space of its own in front
-            want = self.reference.encode([t.removeprefix(" ") if t.startswith(" ") else "\n" + t for t in texts], num_threads=1)
-            lead = self.reference.encode("\n")
-            for k, (t, ids, w) in enumerate(zip(texts, found, want, strict=True)):
-                if t != " ":  # alone, the library's own space has nothing to stand before
-                    same[k] = ids == (w if t.startswith(" ") else w[len(lead) :])
-        return [(array("I", ids).tobytes(), b, s) for ids, b, s in zip(found, back, same, strict=True)]
+            want = self.reference.encode([t[1:] if t[0] == " " else "\n" + t for t in texts], num_threads=1)
+            lead = len(self.reference.encode("\n"))
+            for t, ids, w in zip(texts, found, want, strict=True):
+                if ids != (w if t[0] == " " else w[lead:]) and t != " ":  # alone, the library's own space has nothing to stand before
+                    self.odd.add(t.encode())
+        return [array("I", ids).tobytes() for ids in found]
 
     def __call__(self, texts: list[bytes]) -> list[tuple[bytes, bool, bool]]:
         """(ids, decoding gives the text back, the library agrees on each word) of each text."""
@@ -142,9 +147,11 @@ class SentencePieces:
         marked = [t.replace(MARK.encode(), b" ") for t in texts]
         if self.model.remove_extra_spaces:
             marked = [re.sub(rb" +", b" ", t).strip(b" ") for t in marked]
+        spaced = [front + t if t else t for t in marked]
         out = []
-        for raw, text, parts in zip(texts, marked, self.units([front + t if t else t for t in marked]), strict=True):
-            out.append((b"".join(p[0] for p in parts), raw == text and all(p[1] for p in parts), all(p[2] for p in parts)))
+        for raw, text, full, parts in zip(texts, marked, spaced, self.units(spaced), strict=True):
+            words = set(self.units.find(full)) if self.lost or self.odd else set()
+            out.append((b"".join(parts), raw == text and self.lost.isdisjoint(words), self.odd.isdisjoint(words)))
         return out
 
 
