@@ -39,7 +39,7 @@ _EDGE = 26
 _ALIKE = re.escape("".join(ALIKE) + ANY)
 #: Mixed, spelled out, and stretched spans.
 SPANS = re.compile(
-    rf"(?<![\w{_ALIKE}])(?=[a-z{_ALIKE}]*[a-z])(?=[a-z{_ALIKE}]*[{_ALIKE}][{_ALIKE}]{{0,2}}[a-z]|[a-z]+[{_ALIKE}])[a-z{_ALIKE}]{{3,24}}(?![\w{_ALIKE}])"
+    rf"(?<![\w{_ALIKE}])(?=[a-z{_ALIKE}]*[a-z])(?=[a-z{_ALIKE}]*?[{_ALIKE}]{{1,3}}[a-z]|[a-z]+[0-9@$€£](?![{_ALIKE}]))[a-z{_ALIKE}]{{3,24}}(?![\w{_ALIKE}])"
     rf"|(?<![\w.\-])(?:[a-z{_ALIKE}][.\-_ ·*]{{1,2}}){{3,14}}[a-z](?![\w])"
     rf"|(?<!\w)(?=[a-z]*([a-z])\1\1)[a-z]{{4,40}}(?!\w)"
     rf"|(?<!\w)[a-z]+(?:[​‌‍­][a-z]*)+(?!\w)"
@@ -114,9 +114,51 @@ class Decoder:
         return best
 
 
+#: Kinds of bytes: 1 letter, 2 look-alike, 3 separator, 4 the lead of a multibyte character that may be one of the latter.
+_KIND = np.zeros(256, np.uint8)
+_KIND[97:123] = 1
+_KIND[[ord(c) for c in [*ALIKE, ANY] if ord(c) < 128]] = 2
+_KIND[[ord(c) for c in SEPARATORS if ord(c) < 128 and c != ANY]] = 3
+_KIND[[0xC2, 0xE2, 0xEF]] = 4
+#: Bytes around a suspicious place that are searched for spans.
+REACH = 64
+
+
+def suspicious(lowered: bytes) -> list[bytes]:
+    """The stretches of a text that may hold a span: near a letter beside a look-alike, three single letters in a row, or a letter three times."""
+    b = np.frombuffer(lowered, np.uint8)
+    if len(b) < 3:
+        return []
+    kind = _KIND[b]
+    letter, alike = kind == 1, (kind == 2) | (kind == 4)
+    found = np.zeros(len(b), bool)
+    found[:-1] |= (letter[:-1] & alike[1:]) | (alike[:-1] & letter[1:])
+    found[:-2] |= letter[:-2] & (b[:-2] == b[1:-1]) & (b[1:-1] == b[2:])
+    single = letter | (kind == 2)
+    single[1:] &= ~letter[:-1]
+    single[:-1] &= ~letter[1:]
+    for step in (2, 3):
+        if len(b) > 2 * step:
+            found[: -2 * step] |= single[: -2 * step] & single[step:-step] & single[2 * step :]
+    at = np.flatnonzero(found)
+    if not len(at):
+        return []
+    split = np.flatnonzero(np.diff(at) > REACH)
+    out = []
+    for lo, hi in zip(at[np.append(0, split + 1)].tolist(), at[np.append(split, len(at) - 1)].tolist(), strict=True):
+        lo, hi = max(0, lo - REACH), min(len(b), hi + REACH)
+        while lo > 0 and lowered[lo - 1] not in b" \n\t":
+            lo -= 1
+        while hi < len(b) and lowered[hi] not in b" \n\t":
+            hi += 1
+        out.append(lowered[lo:hi])
+    return out
+
+
 def restored_spans(lowered: str, decoder: Decoder) -> Iterator[str]:
-    for found in SPANS.finditer(lowered):
-        yield decoder(found.group())
+    for part in suspicious(lowered.encode("utf-8", "replace")):
+        for found in SPANS.finditer(part.decode("utf-8", "replace")):
+            yield decoder(found.group().rstrip("!|+(#*"))  # punctuation after a word
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
