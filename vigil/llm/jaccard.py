@@ -32,7 +32,7 @@ from vigil.llm.words import mix, shingle_sets, texts_of
 from vigil.settings import cut, scratch_path
 
 #: Counters of the sketch: 2 ** BITS, whatever the input; every worker holds one copy.
-BITS = 22
+BITS = 21
 _SLICES = 64
 #: Bits of the sieve for documents whose sets are wanted.
 _SIEVE = 1 << 23
