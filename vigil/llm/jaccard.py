@@ -32,14 +32,14 @@ from vigil.llm.words import mix, shingle_sets, texts_of
 from vigil.settings import cut, scratch_path
 
 #: Counters of the sketch: 2 ** BITS, whatever the input; every worker holds one copy.
-BITS = 21
+BITS = 22
 _SLICES = 64
 #: Bits of the sieve for documents whose sets are wanted.
 _SIEVE = 1 << 23
 #: A cell whose shingle the sketch counts up to so often is streamed through one task; others are split.
 HOT = 20_000
 #: A document goes to so large a share of its shingles more than it must; each link then shows in as many more cells.
-SPARE = 0.05
+SPARE = 0.1
 #: Shingles in one block of a region.
 BLOCK = 1 << 18
 
@@ -69,18 +69,18 @@ def shingle_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Document frequencies of all shingles of all texts, summed into 2 ** BITS counters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, pending, size = np.zeros(1 << BITS, np.int64), [], 0
-        for batch in batches:
+        total, pending, size = np.zeros(1 << BITS, np.uint32), [], 0
+        for batch in _small(batches):
             for s in shingle_sets(texts_of(batch.column(0))):
                 pending.append(s)
                 size += len(s)
                 if size > 1 << 19:
-                    total += np.bincount(_bucket(np.concatenate(pending)), minlength=1 << BITS)
+                    np.add(total, np.bincount(_bucket(np.concatenate(pending)), minlength=1 << BITS), out=total, casting="unsafe")
                     pending, size = [], 0
         if pending:
-            total += np.bincount(_bucket(np.concatenate(pending)), minlength=1 << BITS)
+            np.add(total, np.bincount(_bucket(np.concatenate(pending)), minlength=1 << BITS), out=total, casting="unsafe")
         if total.any():
-            parts = [zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in np.split(total, _SLICES)]
+            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(total, _SLICES)]
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "part": pa.array(parts, pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
