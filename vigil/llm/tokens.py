@@ -13,8 +13,10 @@ from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
-#: Units that a cache holds at most; those met first stay.
-LIMIT = 1_000_000
+#: Units that a cache holds at most (about 200 bytes each); those met first stay.
+LIMIT = 700_000
+#: The same for byte-level stretches, whose workers also serve other stages.
+STRETCHES = 250_000
 
 
 class Units:
@@ -54,7 +56,7 @@ def byte_letters() -> dict[int, int]:
 
 
 class _Known(dict):
-    """unit -> its ids; a unit that is not known is encoded and, up to LIMIT, remembered."""
+    """unit -> its ids; a unit that is not known is encoded and, up to STRETCHES, remembered."""
 
     def __init__(self, model):
         super().__init__()
@@ -62,7 +64,7 @@ class _Known(dict):
 
     def __missing__(self, unit: bytes) -> bytes:
         ids = array("I", [t.id for t in self.tokenize(unit.decode("latin-1").translate(self.letters))]).tobytes()
-        if len(self) < LIMIT:
+        if len(self) < STRETCHES:
             self[unit] = ids
         return ids
 
