@@ -70,13 +70,34 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
     return out
 
 
+def laid_out(items: list[tuple], capacity: int, slack: float = 1 / 16) -> list[tuple[tuple, int, int]]:
+    """(piece, sequence from 0, offset) of the items (doc_id, start, ids, doc_tokens) chosen for one sequence.
+
+    If more than `slack` of it would be padding, the items are cut into sequences whose lengths are powers
+    of two, which need none.
+    """
+    total = sum(len(i[2]) // 4 for i in items)
+    sizes = [total] if total >= capacity * (1 - slack) else [1 << b for b in reversed(range(total.bit_length())) if total >> b & 1]
+    out, number, offset = [], 0, 0
+    for name, start, ids, n in items:
+        at, length = 0, len(ids) // 4
+        while at < length:
+            take = min(length - at, sizes[number] - offset)
+            out.append(((name, start + at, ids[4 * at : 4 * (at + take)], n), number, offset))
+            at, offset = at + take, offset + take
+            if offset == sizes[number]:
+                number, offset = number + 1, 0
+    return out
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, window: int = WINDOW, end: int = END) -> DataFrame:
     """Pieces of documents with their place: doc_id, start, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     A document is its ids under the tokenizer file and `end`; a null or empty text is `end` alone. Pieces of
     a document cover it once, in order; pieces of a sequence follow each other from offset 0 and never
     exceed `capacity`. Rows without doc_id are packed too; rows that repeat are packed as often as they
-    come. Only the last sequences of a window are padded. An empty table gives no rows; other columns are
+    come. Where a sixteenth or more of a sequence (the last of a
+    window) would be padding, its items are cut into sequences of powers of two instead. An empty table gives no rows; other columns are
     not read. Sequence ids depend on the input's splits, which a retried task sees unchanged.
     """
 
@@ -94,11 +115,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
             nonlocal last
             rows = []
             for chosen in pack_lengths([len(i[2]) // 4 for i in items], capacity):
-                offset = 0
-                for k in chosen:
-                    rows.append((*items[k], last, offset))
-                    offset += len(items[k][2]) // 4
-                last += 1
+                for piece, number, offset in laid_out([items[k] for k in chosen], capacity):
+                    rows.append((*piece, last + number, offset))
+                last = rows[-1][4] + 1
             return rows
 
         for batch in batches:
