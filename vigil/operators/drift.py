@@ -39,19 +39,20 @@ def psi(expected: DataFrame, actual: DataFrame, keys: list[str], value: str, bin
     )  # at most `bins` entries
 
     def share(c: Column, n: Column) -> Column:
-        return F.greatest(c / n, F.lit(FLOOR))
+        return F.greatest(F.try_divide(c, n), F.lit(FLOOR))
 
     def term(b: Column) -> Column:
         e, a = share(b["e"], F.col("ne")), share(b["a"], F.col("na"))
         return (a - e) * F.log(a / e)
 
     total = F.aggregate("b", F.lit(0.0), lambda acc, b: acc + term(b))
-    return per_key.select(*keys, F.when(F.col("n_edges") < 3, 0.0).otherwise(total).alias("psi"))
+    missing = (F.col("ne") == 0) | (F.col("na") == 0)  # a key that one side lacks has no PSI
+    return per_key.select(*keys, F.when(missing, None).when(F.col("n_edges") < 3, 0.0).otherwise(total).alias("psi"))
 
 
 def with_level(values: DataFrame, digits: int = 4) -> DataFrame:
-    """psi rounded as reported, with its level."""
-    return values.withColumn("level", drift_level(F.col("psi"))).withColumn("psi", F.round("psi", digits))
+    """psi rounded as reported, with its level (`no data` without a psi)."""
+    return values.withColumn("level", F.when(F.col("psi").isNull(), "no data").otherwise(drift_level(F.col("psi")))).withColumn("psi", F.round("psi", digits))
 
 
 def signal_drift(reference: DataFrame, current: DataFrame, signals: list[str] = K.DRIFT_SIGNALS) -> DataFrame:

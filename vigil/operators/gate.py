@@ -76,5 +76,7 @@ def gate_checks(candidates: DataFrame, production_f1: DataFrame, worst: DataFram
 
 
 def gate_verdict(checks: DataFrame) -> DataFrame:
-    failed = F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("check_no"))))
-    return checks.groupBy("candidate_id").agg(F.bool_and("passed").alias("passed"), failed.alias("failed_checks"))
+    """A check without a measurement counts as failed."""
+    passed = F.coalesce("passed", F.lit(False))
+    failed = F.sort_array(F.collect_list(F.when(~passed, F.col("check_no"))))
+    return checks.groupBy("candidate_id").agg(F.bool_and(passed).alias("passed"), failed.alias("failed_checks"))
