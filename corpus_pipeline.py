@@ -22,14 +22,25 @@ from vigil.settings import cut
 ORACLE_SQL = None
 
 
+#: Texts in a batch that goes to Python; a worker and the executor each hold a few such batches.
+BATCH = 500
+
+
+def _short_batches(spark: SparkSession) -> None:
+    """Texts are long and all stages share their workers, so batches of the default 10,000 rows would fill them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told: null texts and texts without a letter."""
+    _short_batches(spark)
     judged = predict_languages(docs, language_samples(docs.where(training_split())))
     return judged.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic; learns from the labels of the documents still there."""
+    _short_batches(spark)
     trigrams = toxicity.letter_trigrams(docs)
     lexicon = toxicity.learn(toxicity.training_rows(docs, read(spark, sf_dir, "labels"), training_split()), trigrams)
     return toxicity.score_texts(docs, lexicon, trigrams).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
@@ -43,6 +54,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of each group that has the smallest id; documents without words or id stay."""
+    _short_batches(spark)
     groups = jaccard_components(docs)
     others = cut(groups.where("component_id < doc_id").select("doc_id").distinct(), "duplicates")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
@@ -50,6 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in training sequences; see `pack_documents`."""
+    _short_batches(spark)
     from public_tokenizers import path
 
     pieces = pack_documents(docs, path("byte_bpe_50k.json"))
