@@ -39,27 +39,14 @@ def test_peak_before_firing(spark):
 
 
 def by_hand(values, threshold, need, cooldown):
-    """Alerts as (fired, start, end, peak) row numbers, one row at a time."""
-    found, run, quiet, current = [], 0, 0, None
-    for i, v in enumerate(values):
-        if v > threshold:
-            run, quiet = run + 1, 0
-            if current is None and run >= need:
-                begin = i - need + 1
-                current = [i, begin, None, max(values[begin : i + 1])]
-            elif current is not None:
-                current[3] = max(current[3], v)
-        else:
-            run = 0
-            if current is not None:
-                quiet += 1
-                if quiet >= cooldown:
-                    current[2] = i
-                    found.append(tuple(current))
-                    current = None
-    if current is not None:
-        current[2] = len(values) - 1
-        found.append(tuple(current))
+    """Alerts as (fired, start, end, peak) rows: `need` hot rows in a line, up to `cooldown` cold ones in a line."""
+    hot = "".join("X" if v > threshold else "." for v in values)
+    found, free = [], 0
+    while (start := hot.find("X" * need, free)) >= 0:
+        gap = hot.find("." * cooldown, start)
+        end = len(hot) - 1 if gap < 0 else gap + cooldown - 1
+        found.append((start + need - 1, start, end, max(values[start : end + 1])))
+        free = end + 1
     return found
 
 
@@ -151,6 +138,22 @@ def test_matching_against_all_pairs(spark):
     assert {r.fired_at: r.owner for r in M.owners(a, f, ["fired_at"]).collect()} == owner
 
 
+def test_alerts_off_the_grid_match_by_their_time(spark):
+    rng = np.random.default_rng(11)
+    moment = lambda: T0 + timedelta(microseconds=int(rng.integers(0, 7_200_000_000)))
+    alerts = [(t, t + timedelta(seconds=float(rng.uniform(0, 400)))) for t in (moment() for _ in range(60))]
+    faults = [(f"F{i}", i, "c", t, t + timedelta(seconds=float(rng.uniform(0, 300)))) for i, t in enumerate(moment() for _ in range(15))]
+    faults.append(("F15", 15, "c", T0 + timedelta(hours=3), T0 + timedelta(hours=3, minutes=2)))
+    alerts.append((T0 + timedelta(hours=3, seconds=30), T0 + timedelta(hours=3, seconds=31)))
+    a = spark.createDataFrame(alerts, "fired_at timestamp, ended_at timestamp")
+    f = spark.createDataFrame(faults, "fault_id string, fault_order long, category string, start timestamp, end timestamp")
+    fits = lambda al, fa: fa[3] <= al[0] <= fa[4] + timedelta(seconds=20) or al[0] < fa[3] <= al[1]
+    owner = {al[0]: next(fa[0] for fa in faults if fits(al, fa)) for al in alerts if any(fits(al, fa) for fa in faults)}
+    assert {r.fired_at: r.owner for r in M.owners(a, f, ["fired_at"], 0, 20).collect()} == owner
+    first = {fa[0]: min(al[0] for al in alerts if fits(al, fa)) for fa in faults if any(fits(al, fa) for al in alerts)}
+    assert {r.fault_id: r.fired_at for r in M.first_alerts(a, f, None, 20).collect()} == first and "F15" in first
+
+
 def test_scorecard_without_alerts(spark):
     a = spark.createDataFrame([], "fired_at timestamp, ended_at timestamp")
     f = spark.createDataFrame([("F1", 1, "c", T0, T0 + timedelta(hours=1))], "fault_id string, fault_order long, category string, start timestamp, end timestamp")

@@ -104,3 +104,31 @@ def test_isolation_forest_finds_the_outlier(spark):
     scored = [(r.score, r.ts) for r in FO.score_forest(df, forest).collect()]
     assert max(scored)[1] == T0 + timedelta(minutes=400) and all(0 < s < 1 for s, _ in scored)
     assert sorted(scored) == sorted((r.score, r.ts) for r in FO.score_forest(df, FO.fit_forest(df, trees=50, sample=64)).collect())
+
+
+def test_call_graph_with_a_cycle_and_a_diamond(spark):
+    calls = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("d", "c"), ("c", "e")], "caller string, callee string")
+    ring = {(x, y) for x in "abcd" for y in "abce"}
+    assert sorted(tuple(r) for r in G.call_closure(calls).collect()) == sorted(ring)
+
+
+def test_alerts_of_one_minute_have_their_own_numbers(spark):
+    rows = [(T0, "b", "x"), (T0, "a", "x"), (T0 + timedelta(days=2), "a", "y"), (T0, "a", "w")]
+    got = I.number_incidents(spark.createDataFrame(rows, "fired_at timestamp, service string, signal string")).collect()
+    assert {(r.service, r.signal): r.incident_id for r in got} == {("a", "w"): "INC-001", ("a", "x"): "INC-002", ("b", "x"): "INC-003", ("a", "y"): "INC-004"}
+
+
+@pytest.mark.parametrize("around", [0, 45, 600])
+def test_log_tail_of_a_probe_off_the_minute(spark, around):
+    fired = T0 + timedelta(minutes=30, seconds=20)
+    lines = [(i, T0 + timedelta(seconds=7 * i), "s", "ERROR", f"m{i}") for i in range(600)] + [(600 + i, fired + timedelta(seconds=around + 1 + i), "s", "INFO", "late") for i in range(20)]
+    logs = spark.createDataFrame(lines, "log_id long, ts timestamp, service string, level string, message string")
+    got = I.incident_logs(spark.createDataFrame([("INC-001", fired)], "incident_id string, fired_at timestamp"), logs, around, 4).collect()
+    inside = sorted((r for r in lines if abs((r[1] - fired).total_seconds()) <= around), key=lambda r: (r[1], r[0]))
+    assert sorted(r.message for r in got) == sorted(r[4] for r in inside[-4:])
+
+
+def test_cut_offs_in_any_order(spark):
+    df = spark.createDataFrame([(K.KNOWN[i % 3], K.KNOWN[i % 2], i / 40, 0.0) for i in range(40)], "y_true string, top_label string, confidence double, novelty double")
+    up, down = (C.tune_cutoff(df, 1.0, c).orderBy("cutoff").collect() for c in ([0.2, 0.5, 0.8], [0.8, 0.2, 0.5]))
+    assert up == down and len(up) == 3

@@ -102,3 +102,23 @@ def test_questions_round_trip(spark, tmp_path):
     path = str(tmp_path / "questions")
     spark.createDataFrame([("q1", "How?", ["d"], True)], C.QUESTION_SCHEMA).write.json(path)
     assert C.read_questions(spark, path).collect()[0].expected_docs == ["d"]
+
+
+def test_passages_of_any_length_are_found(spark):
+    from vigil.plans.text import contained
+
+    texts = ["the quick brown fox jumps over it.", "un prequick brown foxes", "a b c d e f g h, i", "", None, "x"]
+    wanted = ["quick brown fox", "fox jumps", "brown fox jumps over it", "quick", "a b c d e f g h", "x", "h,", "e  f", "", None, "re", "quick brown fox jumps over it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = contained(docs, spark.createDataFrame(list(enumerate(wanted)), "id long, passage string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, d) for i, p in enumerate(wanted) if p for d, t in enumerate(texts) if t and p in t)
+
+
+def test_nested_numbers_without_a_value_are_null_in_json(spark):
+    import json
+
+    from vigil.sources.tables import json_value
+
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, {"x": nan, "y": [1.0, nan]}, {"k": float("inf")}, None)], "a double, s struct<x: double, y: array<double>>, m map<string, double>, z struct<x: double>")
+    assert json.loads(df.select(json_value(df).alias("v")).collect()[0].v) == {"a": None, "s": {"x": None, "y": [1.0, None]}, "m": {"k": None}, "z": None}

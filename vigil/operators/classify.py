@@ -133,7 +133,7 @@ def tune_cutoff(df: DataFrame, novelty_limit: float, cuts: list[float] | None =
     Rows are first counted by truth, label, novelty and the number of cut-offs they pass, a table of
     a few hundred rows; the grid is applied to that, so the data is not copied 66 times.
     """
-    cuts = cuts or [round(0.30 + 0.01 * i, 2) for i in range(66)]
+    cuts = sorted(set(cuts or [round(0.30 + 0.01 * i, 2) for i in range(66)]))
     grid = F.array(*[F.lit(c) for c in cuts])
     passed = F.size(F.filter(grid, lambda c: c <= F.col("confidence")))
     counts = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import constants as K
+from vigil.settings import cut
 
 
 def services_table(spark: SparkSession, services=K.SERVICES) -> DataFrame:
@@ -19,15 +20,19 @@ def calls_table(spark: SparkSession, calls=K.CALLS) -> DataFrame:
 
 
 def call_closure(calls: DataFrame) -> DataFrame:
-    """caller, callee for every service reachable from the caller (acyclic graph)."""
-    return calls.sparkSession.sql(
-        """WITH RECURSIVE reach(caller, callee) AS (
-             SELECT caller, callee FROM {calls}
-             UNION ALL
-             SELECT r.caller, c.callee FROM reach r JOIN {calls} c ON c.caller = r.callee)
-           SELECT DISTINCT caller, callee FROM reach""",
-        calls=calls.select("caller", "callee"),
-    )
+    """caller, callee for every service reachable from the caller, cycles included.
+
+    Known paths are joined with themselves, which doubles their length, until no new pair appears;
+    pairs stay distinct, so parallel paths do not multiply.
+    """
+    reach = cut(calls.select("caller", "callee").distinct(), "reach")
+    known, size = 0, reach.count()
+    while size > known:
+        onward = reach.select(F.col("caller").alias("callee"), F.col("callee").alias("target"))
+        longer = reach.join(onward, "callee").select("caller", F.col("target").alias("callee"))
+        reach = cut(reach.unionByName(longer).distinct(), "reach")
+        known, size = size, reach.count()
+    return reach
 
 
 def callers_of(calls: DataFrame, service: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Alerts against labelled incidents, on grid cells instead of theta joins.
 
-Alerts fire on the time grid. An interval therefore covers a known set of grid cells, and "inside",
-"still open when it begins" and "owner" become equi-joins on the cell. Both sides are reduced to one
-row per cell before they meet, so a busy hour full of alerts and incidents yields no pairs.
+An interval covers whole grid cells and at most two in part. "Inside", "still open when it begins" and
+"owner" become equi-joins on the cell. For whole cells one side is reduced to one row per cell before
+the two meet, so a busy hour full of alerts and incidents yields no pairs; only in the two cells at an
+interval's ends are times compared, which is what makes alerts off the grid come out right.
 """
 
 from __future__ import annotations
@@ -26,34 +27,52 @@ def _us(name: str) -> Column:
     return F.unix_micros(name)
 
 
-def alert_cells(alerts: DataFrame, keys: list[str], step: int) -> DataFrame:
+def _points(df: DataFrame, columns: list, kind: int, at: Column, step: int) -> DataFrame:
+    """The cell (its first microsecond) a moment lies in."""
+    width = F.lit(step * 1_000_000)
+    return df.select(*columns, F.lit(kind).alias("kind"), at.alias("lo"), at.alias("hi"), (at - F.pmod(at, width)).alias("cell")).filter("lo IS NOT NULL")
+
+
+def _covered(df: DataFrame, columns: list, kind: int, lo: Column, hi: Column, step: int, ends: bool) -> DataFrame:
+    """Cells wholly inside [lo, hi], or with `ends` those it covers only in part."""
+    width = F.lit(step * 1_000_000)
+    rows = df.select(*columns, F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi")).filter("lo <= hi")
+    a, b = F.col("lo"), F.col("hi")
+    if ends:
+        head, tail = a - F.pmod(a, width), b - F.pmod(b, width)
+        partial = [F.when((c < a) | (c + width - 1 > b), c) for c in (head, tail)]
+        return rows.withColumn("cell", F.explode(F.array_distinct(F.array(*partial)))).filter("cell IS NOT NULL")
+    first, last = a + F.pmod(-a, width), b + 1 - F.pmod(b + 1, width) - width
+    return rows.withColumn("cell", F.explode(F.when(first <= last, F.sequence(first, last, width))))
+
+
+def alert_cells(alerts: DataFrame, keys: list, step: int, ends: bool = False) -> DataFrame:
     """Probe cells of an alert: where it fired, and every later cell until it ended."""
-    fired = F.unix_seconds("fired_at")
-    later = cells(_us("fired_at") + 1, _us("ended_at"), step)
-    inside = alerts.select(*keys, F.lit(INSIDE).alias("kind"), fired.alias("cell"))
-    still_open = alerts.select(*keys, F.lit(OPEN).alias("kind"), F.explode(later).alias("cell"))
-    return inside.unionByName(still_open)
+    inside = _points(alerts, keys, INSIDE, _us("fired_at"), step)
+    return inside.unionByName(_covered(alerts, keys, OPEN, _us("fired_at") + 1, _us("ended_at"), step, ends))
 
 
-def fault_cells(faults: DataFrame, columns: list, before: int, grace: int, step: int) -> DataFrame:
-    span = cells(_us("start") - before * 1_000_000, _us("end") + grace * 1_000_000, step)
-    begin = (F.ceil(_us("start") / (step * 1_000_000)) * step).cast("long")
-    inside = faults.select(*columns, F.lit(INSIDE).alias("kind"), F.explode(span).alias("cell"))
-    began = faults.select(*columns, F.lit(OPEN).alias("kind"), begin.alias("cell"))
-    return inside.unionByName(began)
+def fault_cells(faults: DataFrame, columns: list, before: int, grace: int, step: int, ends: bool = False) -> DataFrame:
+    """Cells of an incident with its lead and grace, and the one in which it began."""
+    lo, hi = _us("start") - before * 1_000_000, _us("end") + grace * 1_000_000
+    return _covered(faults, columns, INSIDE, lo, hi, step, ends).unionByName(_points(faults, columns, OPEN, _us("start"), step))
+
+
+def _at_ends(alerts: DataFrame, faults: DataFrame, keys: list, columns: list, before: int, grace: int, step: int) -> DataFrame:
+    """Matches in cells that an interval covers in part: keys and columns."""
+    right = fault_cells(faults, columns, before, grace, step, True).withColumnsRenamed({"lo": "f_lo", "hi": "f_hi"})
+    return alert_cells(alerts, keys, step, True).join(right, ["kind", "cell"]).filter("lo <= f_hi AND f_lo <= hi").drop("kind", "cell", "lo", "hi", "f_lo", "f_hi")
 
 
 def owners(
     alerts: DataFrame, faults: DataFrame, keys: list[str], before: int = 60, grace: int = K.GRACE_SECONDS, step: int = 60
 ) -> DataFrame:
     """First incident in list order that explains each alert: keys, owner (absent alerts have none)."""
-    listed = F.struct("fault_order", "fault_id", "category")
-    per_cell = (
-        fault_cells(faults, [listed.alias("f")], before, grace, step).groupBy("kind", "cell").agg(F.min("f").alias("f"))
-    )
+    listed = F.struct("fault_order", "fault_id", "category").alias("f")
+    per_cell = fault_cells(faults, [listed], before, grace, step).groupBy("kind", "cell").agg(F.min("f").alias("f"))
+    whole = alert_cells(alerts, keys, step).join(per_cell, ["kind", "cell"]).select(*keys, "f")
     return (
-        alert_cells(alerts, keys, step)
-        .join(per_cell, ["kind", "cell"])
+        whole.unionByName(_at_ends(alerts, faults, keys, [listed], before, grace, step))
         .groupBy(*keys)
         .agg(F.min("f").alias("f"))
         .select(*keys, F.col("f.fault_id").alias("owner"), F.col("f.category").alias("owner_category"))
@@ -75,10 +94,11 @@ def first_alerts(
 ) -> DataFrame:
     """Earliest alert of every detected incident (per setting `by`): fault columns, fired_at."""
     by = by or []
-    per_cell = alert_cells(alerts, [*by, "fired_at"], step).groupBy(*by, "kind", "cell").agg(F.min("fired_at").alias("fired_at"))
+    keys, columns = [*by, "fired_at"], ["fault_id", "category", "start"]
+    per_cell = alert_cells(alerts, keys, step).groupBy(*by, "kind", "cell").agg(F.min("fired_at").alias("fired_at"))
+    whole = fault_cells(faults, columns, 0, grace, step).join(per_cell, ["kind", "cell"]).select(*keys, *columns)
     return (
-        fault_cells(faults, ["fault_id", "category", "start"], 0, grace, step)
-        .join(per_cell, ["kind", "cell"])
+        whole.unionByName(_at_ends(alerts, faults, keys, columns, 0, grace, step))
         .groupBy(*by, "fault_id", "category", "start")
         .agg(F.min("fired_at").alias("fired_at"))
     )

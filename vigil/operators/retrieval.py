@@ -166,7 +166,7 @@ def _score_block(inverted: tuple, pdf: pd.DataFrame, k: int, share: float) -> pd
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         best = np.take_along_axis(scores, top, axis=1)
         out.append((np.repeat(ids, top.shape[1]), part["id"].to_numpy(dtype=object)[top].ravel(), best.ravel()))
-    return hit_frame(out, lambda s: s > 0)
+    return hit_frame(out, (lambda s: s > 0) if dense is None else np.isfinite)
 
 
 # ------------------------------------------------------------------ evaluation of retrieval

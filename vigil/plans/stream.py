@@ -95,7 +95,7 @@ def stream_ewma_alerts(spark, d):
     path = scratch_path(spark, "scores")
     scores.write.parquet(path)
     found = J.drain(J.alert_stream(J.read_table(spark, path, scores.schema), THRESHOLD, CONSECUTIVE), "alerts")
-    return rounded(found.drop("series"))
+    return rounded(J.latest_alerts(found).drop("series", "closed"))
 
 
 def stream_burn(spark, d):
@@ -180,7 +180,7 @@ QUERIES = {
         _sql(
             f"""SELECT f.ts AS fired_at, b.ts AS started_at, e.ts AS ended_at, p.service, p.signal, round(m.apeak, 6) AS peak
             FROM machine m JOIN scores f ON f.rn = m.fired JOIN scores b ON b.rn = m.astart JOIN scores e ON e.rn = m.rn JOIN scores p ON p.rn = m.apeak_rn
-            WHERE m.closed AND m.threshold = {THRESHOLD} AND m.consecutive = {CONSECUTIVE}""",
+            WHERE (m.closed OR (m.open AND m.rn = (SELECT max(rn) FROM scores))) AND m.threshold = {THRESHOLD} AND m.consecutive = {CONSECUTIVE}""",
             "machine", "scores",
         ),
     ),

@@ -135,24 +135,44 @@ def _chunks(fx: Fixture):
     return C.chunk_documents(_documents(fx))
 
 
-def _passages(fx: Fixture):
-    """(id, doc_id) of documents that contain a benchmark passage: its first five words locate it."""
-    def five(w):
-        shifted = [F.slice(w, i, F.greatest(F.size(w) - 4, F.lit(0))) for i in range(1, 6)]
-        out = shifted[0]
-        for s in shifted[1:]:
-            out = F.zip_with(out, s, lambda a, b: F.concat_ws(" ", a, b))
-        return out
+def contained(docs, passages):
+    """(id, doc_id) for every text that contains a passage; docs(doc_id, text), passages(id, passage).
 
+    The first and last word of a passage may be parts of words in the text, those between are whole: up
+    to five of them locate it. Without any (one or two words) its first three characters do. Empty and
+    null passages are in no text. A text gives only runs of the lengths that some passage needs.
+    """
     def words(c):
         return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 
-    bench = fx.table("benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), F.col("text").alias("passage"), words(F.col("text")).alias("w"))
-    docs = _docs(fx).select(F.col("doc_id").cast("string").alias("doc_id"), "text", words(F.col("text")).alias("w"))
-    anchors = bench.select("id", "passage", F.array_join(F.slice("w", 2, 5), " ").alias("anchor"))
-    spots = docs.select("doc_id", F.explode(F.array_distinct(five(F.col("w")))).alias("anchor"))
-    near = spots.join(anchors, "anchor").select("id", "passage", "doc_id").distinct()
-    return near.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("id", "doc_id")
+    def runs(length):
+        starts = F.sequence(F.lit(1), F.size("w") - length + 1)
+        return F.when(F.size("w") >= length, F.transform(starts, lambda i: F.array_join(F.slice("w", i, length), " ")))
+
+    def grams(length):
+        starts = F.sequence(F.lit(1), F.char_length("text") - length + 1)
+        return F.when(F.char_length("text") >= length, F.transform(starts, lambda i: F.substring("text", i, F.lit(length))))
+
+    def marked(k):
+        pieces = F.coalesce(F.array_distinct(runs(k) if k > 0 else grams(-k)), F.array().cast("array<string>"))
+        return F.transform(pieces, lambda a: F.struct(F.lit(k).alias("kind"), a.alias("anchor")))
+
+    inner = F.least(F.size("w") - 2, F.lit(5))
+    kind = F.when(inner > 0, inner).otherwise(-F.least(F.char_length("passage"), F.lit(3)))
+    anchor = F.when(inner > 0, F.array_join(F.slice("w", F.lit(2), F.greatest(inner, F.lit(0))), " ")).otherwise(F.substring("passage", 1, 3))
+    wanted = passages.filter("passage <> ''").withColumn("w", words(F.col("passage"))).select("id", "passage", kind.alias("kind"), anchor.alias("anchor"))
+    kinds = sorted(r["kind"] for r in wanted.select("kind").distinct().collect())  # 1..5 words, -1..-3 characters
+    texts = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
+    spots = F.concat(*[marked(k) for k in kinds or [5]])
+    near = texts.select("doc_id", F.explode(spots).alias("s")).select("doc_id", "s.kind", "s.anchor").join(wanted, ["kind", "anchor"])
+    found = near.select("id", "passage", "doc_id").distinct().join(docs.select("doc_id", "text"), "doc_id")
+    return found.filter(F.contains("text", "passage")).select("id", "doc_id")
+
+
+def _passages(fx: Fixture):
+    """(id, doc_id) of documents that contain a benchmark passage."""
+    bench = fx.table("benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), F.col("text").alias("passage"))
+    return contained(_docs(fx).select(F.col("doc_id").cast("string").alias("doc_id"), "text"), bench)
 
 
 class Text:

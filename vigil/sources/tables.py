@@ -44,12 +44,23 @@ def read_minutes_wide(spark: SparkSession, path: str) -> DataFrame:
     return unpivot_wide(spark.read.parquet(path))
 
 
+def _finite(value: Column, kind: T.DataType) -> Column:
+    """NaN and infinities as null, at any depth."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.abs(value) < float("inf"), value)
+    if isinstance(kind, T.StructType):
+        fields = [_finite(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _finite(x, kind.valueType))
+    return value
+
+
 def json_value(df: DataFrame) -> Column:
     """A row as JSON text: ISO times, non-finite numbers as null."""
-    safe = [
-        (F.when(F.abs(f.name) < float("inf"), F.col(f.name)) if f.dataType.typeName() in ("double", "float") else F.col(f.name)).alias(f.name)
-        for f in df.schema.fields
-    ]
+    safe = [_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     return F.to_json(F.struct(*safe), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "ignoreNullFields": "false"})
 
 

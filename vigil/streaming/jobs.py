@@ -133,48 +133,85 @@ def ewma_stream(minutes: DataFrame, row: Column, floors: dict[str, tuple] = K.ST
 
 # ------------------------------------------------------------------ alerts
 
-ALERT_STATE = "run long, run_start long, run_peak double, run_who string, quiet long, open boolean, fired long, started long, peak double, who string"
+#: `fired` is null while no alert is open; since, peak and who then describe the stretch that may become one.
+ALERT_STATE = "hot long, cold long, since long, fired long, peak double, who string"
+ALERT_ROW = ["fired_at", "started_at", "ended_at", "service", "signal", "peak", "closed"]
+
+
+class AlertTracker:
+    """One series between two batches, moved on a stretch (rows on one side of the threshold) at a time."""
+
+    def __init__(self, consecutive: int, cooldown: int, kept: tuple | None):
+        self.consecutive, self.cooldown = consecutive, cooldown
+        self.hot, self.cold, self.since, self.fired, self.peak, self.who = kept or (0, 0, 0, None, 0.0, "")
+
+    def kept(self) -> tuple:
+        return self.hot, self.cold, self.since, self.fired, float(self.peak), self.who
+
+    def row(self, ended: int, closed: bool) -> tuple:
+        signal, service = self.who.split("|", 1)
+        return self.fired, self.since, ended, service, signal, self.peak, closed
+
+    def above(self, times: np.ndarray, values: np.ndarray, names: np.ndarray) -> None:
+        """A stretch above the threshold: fires at its `consecutive`-th row, raises the peak."""
+        if self.fired is None and self.hot == 0:
+            self.since, self.peak, self.who = int(times[0]), -math.inf, ""
+        best = int(values.argmax())
+        if values[best] > self.peak:
+            self.peak, self.who = float(values[best]), str(names[best])
+        if self.fired is None and self.hot + len(times) >= self.consecutive:
+            self.fired = int(times[max(self.consecutive - self.hot, 1) - 1])
+        self.hot, self.cold = self.hot + len(times), 0
+
+    def below(self, times: np.ndarray) -> tuple | None:
+        """A stretch at or below it: the `cooldown`-th row closes an open alert."""
+        before, self.hot, self.cold = self.cold, 0, self.cold + len(times)
+        if self.fired is None or self.cold < self.cooldown:
+            return None
+        done = self.row(int(times[self.cooldown - before - 1]), True)
+        self.fired = None
+        return done
 
 
 def alert_stream(scores: DataFrame, threshold: float, consecutive: int, cooldown: int = K.COOLDOWN_ROWS, series: Column | None = None) -> DataFrame:
-    """Alerts as they close, one small state per series; rows (ts, score, signal, service) in time order."""
+    """Alerts as they fire, go on and close; rows (ts, score, signal, service) come in time order.
+
+    Every batch writes the alerts it closes, and the open one as it stands at the batch's last row, so
+    an outage is known in the batch in which it fires; `latest_alerts` keeps the newest row of each.
+    The state is six values per series.
+    """
     rows = scores.select((series if series is not None else F.lit("all")).alias("series"), "ts", "score", "signal", "service")
-    out = "series string, fired_at timestamp, started_at timestamp, ended_at timestamp, service string, signal string, peak double"
+    out = "series string, fired_at timestamp, started_at timestamp, ended_at timestamp, service string, signal string, peak double, closed boolean"
 
     def step(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches)).sort_values("ts")
-        run, run_start, run_peak, run_who, quiet, is_open, fired, started, peak, who = (
-            state.get if state.exists else (0, 0, 0.0, "", 0, False, 0, 0, 0.0, "")
-        )
-        closed = []
-        times = pdf["ts"].astype("int64").tolist() if pdf["ts"].dtype.kind != "M" else pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
-        for t, value, signal, service in zip(times, pdf["score"].tolist(), pdf["signal"].tolist(), pdf["service"].tolist()):
-            if value > threshold:
-                name = f"{signal}|{service}"
-                if run == 0:
-                    run_start, run_peak, run_who = t, value, name
-                elif value > run_peak:
-                    run_peak, run_who = value, name
-                run, quiet = run + 1, 0
-                if not is_open and run >= consecutive:
-                    is_open, fired, started, peak, who = True, t, run_start, run_peak, run_who
-                elif is_open and value > peak:
-                    peak, who = value, name
-            else:
-                run = 0
-                quiet = quiet + 1 if is_open else 0
-                if is_open and quiet >= cooldown:
-                    closed.append((key[0], fired, started, t, *reversed(who.split("|")), peak))
-                    is_open, quiet = False, 0
-        state.update((run, run_start, float(run_peak), run_who, quiet, is_open, fired, started, float(peak), who))
-        frame = pd.DataFrame(closed, columns=["series", "fired_at", "started_at", "ended_at", "service", "signal", "peak"])
-        for c in ("fired_at", "started_at", "ended_at"):
+        times = pdf["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        values, names = pdf["score"].to_numpy(dtype=float), (pdf["signal"].fillna("") + "|" + pdf["service"].fillna("")).to_numpy()
+        tracker = AlertTracker(consecutive, cooldown, state.get if state.exists else None)
+        hot, found = values > threshold, []
+        turns = np.flatnonzero(np.diff(hot)) + 1
+        for part in np.split(np.arange(len(times)), turns):
+            if hot[part[0]]:
+                tracker.above(times[part], values[part], names[part])
+            elif (done := tracker.below(times[part])) is not None:
+                found.append(done)
+        if tracker.fired is not None:
+            found.append(tracker.row(int(times[-1]), False))
+        state.update(tracker.kept())
+        frame = pd.DataFrame(found, columns=ALERT_ROW)
+        for c in ALERT_ROW[:3]:
             frame[c] = pd.to_datetime(frame[c], unit="us")
-        yield frame
+        yield frame.assign(series=key[0])[["series", *ALERT_ROW]]
 
     return rows.groupBy("series").applyInPandasWithState(step, out, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def latest_alerts(events: DataFrame) -> DataFrame:
+    """Newest row of every alert the stream has written, open ones included."""
+    newest = F.max_by(F.struct("started_at", "ended_at", "service", "signal", "peak", "closed"), F.struct("ended_at", "closed")).alias("a")
+    return events.groupBy("series", "fired_at").agg(newest).select("series", "fired_at", "a.*")
+
+
 # ------------------------------------------------------------------ burn rate
 
 
