@@ -122,11 +122,12 @@ MODEL_TOLERANCE = 0.02
 BUDGET_FREEZE = 0.25
 
 # ---- fixed values: words that carry no content in questions and passages
-STOP_WORDS = (
-    "a an the and or of to in on for with is are was were be been what which who how when where why do does "
-    "should i we our my it its this that these those if than then there from by at as can could would "
-    "service services"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were", "be", "been",
+    "what", "which", "who", "how", "when", "where", "why", "do", "does", "should", "i", "we", "our", "my", "it",
+    "its", "this", "that", "these", "those", "if", "than", "then", "there", "from", "by", "at", "as", "can", "could",
+    "would", "service", "services",
+]
 REFUSAL = "I couldn't find this in the approved runbooks or postmortems."
 
 # ---- fixed values: histogram bucket bounds of the served-prediction and request dashboards

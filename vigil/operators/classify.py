@@ -115,6 +115,7 @@ def explain(df: DataFrame, classes: list[str], cutoff: float, novelty_limit: flo
     named = F.transform(pairs, lambda x: F.struct(x["p"].alias("p"), x["c"].alias("c")))
     order = F.reverse(F.array_sort(named))
     ranked = F.map_from_arrays(F.transform(order, lambda x: x["c"]), F.transform(order, lambda x: x["p"]))
+    # ---- fixed values: the reasons for an unknown
     reason = F.when(F.col("novelty") > novelty_limit, "far from every training example").when(
         F.col("confidence") < cutoff, "low confidence"
     )

@@ -14,7 +14,6 @@ from vigil import constants as K
 from vigil.functions import text as X
 from vigil.operators.nearest import hit_frame
 from vigil.settings import cut
-from vigil.sources.corpus import embed_text
 
 QUERY_BLOCK = 512
 
@@ -201,7 +200,7 @@ def retrieval_metrics(hits: DataFrame, questions: DataFrame, expected: DataFrame
 # ------------------------------------------------------------------ answering
 
 
-def question_facts(index: TextIndex, chunks: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
+def question_facts(chunks: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Per question: words, retrieved chunks, top score and coverage of its words by their text."""
     words = questions.select("id", "question", X.content_words(F.col("question")).alias("words"))
     texts = chunks.select(F.col("chunk_id").alias("item_id"), "doc_id", "title", "section", "text")
@@ -271,6 +270,7 @@ def answer(facts: DataFrame, selected: DataFrame, min_score: float, min_coverage
     rows = facts.join(selected, facts["id"] == selected["query_id"], "left").drop("query_id")
     problem = X.verify_citations(F.col("sentences"), F.col("retrieved"))
     percent = F.format_string("%.0f%%", F.bround(F.col("coverage") * 100, 0))
+    # ---- fixed values: the notes of a refusal
     note = (
         F.when((F.size("retrieved") == 0) | (F.col("top_score") < min_score), "retrieval score below threshold")
         .when(F.col("coverage") < min_coverage, F.concat(F.lit("only "), percent, F.lit(" of the question's key terms appear in the retrieved text")))

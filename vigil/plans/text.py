@@ -191,7 +191,7 @@ class Text:
         self.hits = cut(R.topk(self.index, self.qvec, k), "hits")
 
     def facts(self):
-        return R.question_facts(self.index, self.chunks, self.questions, self.hits.filter("rank <= 4"))
+        return R.question_facts(self.chunks, self.questions, self.hits.filter("rank <= 4"))
 
     def candidates(self):
         return cut(R.candidate_sentences(self.index, self.chunks, self.questions, self.hits.filter("rank <= 4"), self.qvec), "candidates")
