@@ -62,3 +62,17 @@ def test_alert_stream_equals_batch(spark, tmp_path):
     assert got.filter("NOT closed").count() == 1
     want = A.runs_to_alerts(table, [2.0], [2]).drop(*A.SETTING)
     assert sorted(tuple(r) for r in got.drop("series", "closed").select(want.columns).collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_dead_letters_carry_their_reason(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("service", T.StringType(), False), T.StructField("value", T.DoubleType())])
+    path = str(tmp_path / "in")
+    lines = ['{"service": "a", "value": 1.5}', '{"service": "b"}', '{"value": 2.0}', "no json", '{"service": "a", "value": "x"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema("value string").parquet(path)
+    J.ingest(stream, schema, f"{path}-good", f"{path}-dead", f"{path}-state")
+    assert sorted((r.service, r.value) for r in spark.read.parquet(f"{path}-good/*").collect()) == [("a", 1.5), ("b", None)]
+    dead = {r.message: r.reason for r in spark.read.parquet(f"{path}-dead/*").collect()}
+    assert dead == {lines[2]: "no service", lines[3]: "cannot be parsed", lines[4]: "cannot be parsed"}

@@ -21,8 +21,6 @@ from vigil import constants as K
 from vigil.operators.baseline import ewma_step
 from vigil.settings import scratch_path
 
-MAX_ATTEMPTS = 5
-
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, files_per_batch: int = 64) -> DataFrame:
     """A folder of parquet files as a stream, a bounded number of files per batch."""
@@ -51,21 +49,28 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
 
 
 def ingest(messages: DataFrame, schema: T.StructType, good_path: str, dead_path: str, checkpoint: str) -> None:
-    """Messages (column `value`) to rows of `schema`; what cannot be parsed goes to the dead letters.
+    """Messages (column `value`) to rows of `schema`; the rest goes to the dead letters with its reason.
+
+    A message is rejected if it is no JSON of that schema or lacks a field the schema says is not null.
 
     A batch writes to folders named after its number and replaces them when it is repeated, so a
     restart neither loses nor doubles rows.
     """
+    required = [f.name for f in schema.fields if not f.nullable]
     parse = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
     def write(batch: DataFrame, number: int) -> None:
         parsed = batch.select("value", F.from_json("value", parse, options).alias("r"))
-        broken = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
-        parsed.filter(~broken).select(*[F.col(f"r.{f.name}") for f in schema.fields]).write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-        parsed.filter(broken).select(F.col("value").alias("message"), F.lit(MAX_ATTEMPTS).alias("attempts")).write.mode("overwrite").parquet(
+        reason = F.when(F.col("r").isNull() | F.col("r._corrupt_record").isNotNull(), "cannot be parsed")
+        for name in required:
+            reason = reason.when(F.col(f"r.{name}").isNull(), f"no {name}")
+        parsed = parsed.withColumn("reason", reason).persist()  # parsed once for both tables
+        parsed.filter("reason IS NULL").select(*[F.col(f"r.{f.name}") for f in schema.fields]).write.mode("overwrite").parquet(f"{good_path}/batch={number}")
+        parsed.filter("reason IS NOT NULL").select(F.col("value").alias("message"), "reason").write.mode("overwrite").parquet(
             f"{dead_path}/batch={number}"
         )
+        parsed.unpersist()
 
     query = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
