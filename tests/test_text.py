@@ -1,6 +1,7 @@
 """Corpus, sentences, retrieval paths and citation checks."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vigil.functions import text as X
@@ -69,15 +70,36 @@ def corpus(spark, n=120):
     return spark.createDataFrame(texts, "id string, text string"), texts, words, rng
 
 
-def test_blocked_retrieval_equals_one_block(spark, monkeypatch):
+def test_blocked_retrieval_equals_one_block(spark):
     df, texts, words, rng = corpus(spark)
     index = R.build_index(df, F.col("text"))
     questions = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(words, 4))) for i in range(30)], "id string, question string")
     vectors = R.query_vectors(index, questions)
     rows = lambda h: sorted((r.query_id, r["rank"], r.item_id, r.score) for r in h.collect())
     one = rows(R.topk(index, vectors, 5))
-    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
-    assert rows(R.topk(index, vectors, 5)) == one and len(one) == 150
+    assert rows(R.topk(index, vectors, 5, questions=7, texts=11)) == one and len(one) == 150
+
+
+def test_term_counts_equal_a_counter(spark):
+    texts = {"a": "red fox red fox red", "b": "", "c": "solo", "d": None, "e": "x1 x1 x1"}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string")
+    got = {(r.id, r.term): r.tf for r in R.term_counts(df, ["id"], F.col("text")).collect()}
+    want = {}
+    for key, text in texts.items():
+        words = (text or "").split()
+        for term in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            want[key, term] = want.get((key, term), 0) + 1
+    assert got == want
+
+
+def test_latent_search_keeps_negative_scores_and_rows_without_vectors(spark):
+    df = spark.createDataFrame([("t1", "red fox"), ("t2", "blue bird"), ("t3", "green tree")], "id string, text string")
+    index = R.build_index(df, F.col("text"))
+    asked = R.query_vectors(index, spark.createDataFrame([("q1", "red fox"), ("q2", "blue")], "id string, question string"))
+    vec = lambda rows: spark.createDataFrame(rows, "id string, vec array<double>")
+    latent = (vec([("t1", [1.0, 0.0]), ("t2", [-1.0, 0.0])]), vec([("q1", [1.0, 0.0])]))
+    got = {(r.query_id, r.item_id): r.score for r in R.topk(index, asked, 3, latent, 0.5, questions=1, texts=2).collect()}
+    assert got == {("q1", "t1"): 1.0, ("q1", "t2"): -0.5, ("q1", "t3"): 0.0, ("q2", "t1"): 0.0, ("q2", "t2"): pytest.approx(0.288675135), ("q2", "t3"): 0.0}
 
 
 def test_latent_space_matches_a_dense_svd(spark):

@@ -1,8 +1,8 @@
 """Exact top-k search between two vector tables, in blocks.
 
 Every query must see every item, as in any exact search, but pairs never become rows: a task
-multiplies a block of queries with a block of items and keeps k per query. The blocks have a fixed
-size, so neither side has to fit anywhere as a whole.
+multiplies a block of queries with a block of items, piece by piece, and keeps k per query. The blocks
+have a fixed size, so neither side has to fit anywhere as a whole, and the plan is the same at any size.
 """
 
 from __future__ import annotations
@@ -14,7 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 4096  # a side with at most this many rows travels to the other in one piece
+BLOCK = 32_768  # rows of a block on average: a row travels once per block of the other side
+PIECE = 1024  # rows of either side in one product
+
+
+def in_blocks(df: DataFrame, own: int, other: int, mine: str, theirs: str) -> DataFrame:
+    """Each row in its block `mine`, by its id, once for every block `theirs` of the other side."""
+    others = F.sequence(F.lit(0).cast("long"), F.lit(max(other, 1) - 1).cast("long"))
+    return df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(max(own, 1)))).withColumn(theirs, F.explode(others))
 
 
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -48,58 +55,41 @@ def _top(qid: np.ndarray, iid: np.ndarray, scores: np.ndarray, k: int, metric: s
     return hits if metric == "dot" else hits.assign(score=-hits["score"])
 
 
+def _merge(parts: list[pd.DataFrame], k: int, metric: str) -> pd.DataFrame:
+    """k best per query of the hits of several pieces."""
+    hits = pd.concat(parts).sort_values(["query_id", "score", "item_id"], ascending=[True, metric != "dot", True])
+    return hits.groupby("query_id", sort=False).head(k)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
 def nearest(
-    queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", exclude_self: bool = False, block: int = SMALL_ROWS
+    queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", exclude_self: bool = False, block: int = BLOCK
 ) -> DataFrame:
     """(id, vec) twice in; query_id, item_id, score, rank out. `l2` scores are distances, least first."""
-    spark = queries.sparkSession
-    qtype = dict(queries.dtypes)["id"]
-    schema = f"query_id {qtype}, item_id {dict(items.dtypes)['id']}, score double"
+    schema = f"query_id {dict(queries.dtypes)['id']}, item_id {dict(items.dtypes)['id']}, score double"
     q, x = queries.select("id", "vec"), items.select("id", "vec")
-    few_items = x.limit(block + 1).count() <= block
-    few_queries = not few_items and q.limit(block + 1).count() <= block
-    if few_items:
-        side = x.toPandas()  # at most `block` rows, just checked
-        shared = spark.sparkContext.broadcast((side["id"].to_numpy(), _matrix(side["vec"]) if len(side) else np.empty((0, 0))))
-
-        def by_query(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, mat = shared.value
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    yield _top(pdf["id"].to_numpy(), ids, _scores(_matrix(pdf["vec"]), mat, metric), k, metric, exclude_self)
-
-        found = q.mapInPandas(by_query, schema)
-    elif few_queries:
-        side = q.toPandas()  # at most `block` rows, just checked
-        shared = spark.sparkContext.broadcast((side["id"].to_numpy(), _matrix(side["vec"]) if len(side) else np.empty((0, 0))))
-
-        def by_item(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, mat = shared.value
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    yield _top(ids, pdf["id"].to_numpy(), _scores(mat, _matrix(pdf["vec"]), metric), k, metric, exclude_self)
-
-        found = x.mapInPandas(by_item, schema)
-    else:
-        n_q, n_x = -(-q.count() // block), -(-x.count() // block)
-
-        def spread(df: DataFrame, own: int, other: int, mine: str, theirs: str) -> DataFrame:
-            return df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(own))).withColumn(
-                theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))
-            )
-
-        def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return hit_frame([], np.isfinite)
-            scores = _scores(_matrix(left["vec"]), _matrix(right["vec"]), metric)
-            return _top(left["id"].to_numpy(), right["id"].to_numpy(), scores, k, metric, exclude_self)
-
-        grid_q, grid_x = spread(q, n_q, n_x, "qb", "xb"), spread(x, n_x, n_q, "xb", "qb")
-        found = grid_q.groupBy("qb", "xb").cogroup(grid_x.groupBy("qb", "xb")).applyInPandas(cell, schema)
+    n_q, n_x = -(-q.count() // block), -(-x.count() // block)
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        best = []
+        for i in range(0, len(left), PIECE):
+            ql, kept = left.iloc[i : i + PIECE], []
+            qm = _matrix(ql["vec"])
+            for j in range(0, len(right), PIECE):
+                part = right.iloc[j : j + PIECE]
+                scores = _scores(qm, _matrix(part["vec"]), metric)
+                kept.append(_top(ql["id"].to_numpy(), part["id"].to_numpy(), scores, k, metric, exclude_self))
+                if len(kept) == 8:
+                    kept = [_merge(kept, k, metric)]
+            if kept:
+                best.append(_merge(kept, k, metric))
+        return pd.concat(best) if best else hit_frame([], np.isfinite)
+
+    grid_q, grid_x = in_blocks(q, n_q, n_x, "qb", "xb"), in_blocks(x, n_x, n_q, "xb", "qb")
+    found = grid_q.groupBy("qb", "xb").cogroup(grid_x.groupBy("qb", "xb")).applyInPandas(cell, schema)
     best = F.col("score").desc() if metric == "dot" else F.col("score").asc()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(best, "item_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

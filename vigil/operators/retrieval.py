@@ -12,37 +12,41 @@ from pyspark.sql import functions as F
 
 from vigil import constants as K
 from vigil.functions import text as X
-from vigil.operators.nearest import hit_frame
+from vigil.operators.nearest import hit_frame, in_blocks
 from vigil.settings import cut
 
-QUERY_BLOCK = 512
+QUESTIONS, TEXTS = 2048, 8192  # rows in a block of either side of a search
 
 
 @dataclass
 class TextIndex:
-    """Stored postings (id, term, tf), idf (term, idf, common)."""
+    """Stored postings (id, term, tf), idf (term, idf, common) and unit vectors (id, p array<struct<term, w>>)."""
 
     postings: DataFrame
     idf: DataFrame
+    vectors: DataFrame
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: Column, stop_words: list[str] = K.STOP_WORDS) -> DataFrame:
-    """keys, term, tf. Texts are spread by their key first: shuffling them is cheaper than shuffling
-    their terms, and the count per text then needs no further exchange."""
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = texts.repartition(n, *keys).select(*keys, X.tokens(text, stop_words).alias("words"))
-    grams = words.select(*keys, F.explode(X.ngrams(F.col("words"))).alias("term"))
-    return grams.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """keys, term, tf, counted inside each row: its terms are sorted and runs of equal ones measured, so
+    neither texts nor terms are shuffled."""
+    words = texts.select(*keys, X.tokens(text, stop_words).alias("words"))
+    terms = words.select(*keys, F.array_sort(X.ngrams(F.col("words"))).alias("g")).filter(F.size("g") > 0)
+    new = lambda i: (i == 0) | (F.get("g", i) != F.get("g", i - 1))
+    runs = terms.withColumn("s", F.filter(F.sequence(F.lit(0), F.size("g") - 1), new))
+    run = lambda i, j: F.struct(F.get("g", i).alias("term"), (F.coalesce(F.get("s", j + 1), F.size("g")) - i).cast("long").alias("tf"))
+    return runs.select(*keys, F.inline(F.transform("s", run)))
 
 
 def build_index(texts: DataFrame, text: Column, stop_words: list[str] = K.STOP_WORDS) -> TextIndex:
-    """texts(id, ...) -> index. The text is tokenised once; what follows reads the stored postings."""
+    """texts(id, ...) -> index. The text is tokenised once; what follows reads the stored postings, and a
+    search reads the stored vectors."""
     postings = cut(term_counts(texts, ["id"], text, stop_words), "postings")
     n = texts.agg(F.count(F.lit(1))).scalar()
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1.0
-    idf = df.withColumn("n", n).select("term", weight.alias("idf"), (F.col("df") * 100 >= F.col("n")).alias("common"))
-    return TextIndex(postings, cut(idf, "idf"))
+    idf = cut(df.withColumn("n", n).select("term", weight.alias("idf"), (F.col("df") * 100 >= F.col("n")).alias("common")), "idf")
+    return TextIndex(postings, idf, cut(unit_rows(weigh(postings, idf, ["id"]), ["id"]), "vectors"))
 
 
 def weigh(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,14 +63,21 @@ def weigh(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
+def unit_rows(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, p: the L2-normalised terms of one text as an array in the order of the terms."""
+    rows = weights.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("p"))
+    norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    scaled = F.transform("p", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w")))
+    return rows.withColumn("norm", norm).select(*keys, scaled.alias("p"))
+
+
 def normalise(weights: DataFrame, keys: list[str]) -> DataFrame:
-    """L2-normalised weights; a window holds the terms of one text."""
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
-    return weights.select(*keys, "term", (F.col("w") / norm).alias("w"))
+    """keys, term, w at unit length per text."""
+    return unit_rows(weights, keys).select(*keys, F.inline("p"))
 
 
 def tfidf(index: TextIndex) -> DataFrame:
-    return normalise(weigh(index.postings, index.idf, ["id"]), ["id"])
+    return index.vectors.select("id", F.inline("p"))
 
 
 def query_vectors(index: TextIndex, queries: DataFrame, text: str = "question") -> DataFrame:
@@ -74,57 +85,36 @@ def query_vectors(index: TextIndex, queries: DataFrame, text: str = "question")
     return normalise(weigh(term_counts(queries, ["id"], F.col(text)), index.idf, ["id"]), ["id"])
 
 
-def topk(index: TextIndex, query_terms: DataFrame, k: int, latent: tuple[DataFrame, DataFrame] | None = None, blend: float = 0.5) -> DataFrame:
+def topk(
+    index: TextIndex, query_terms: DataFrame, k: int, latent: tuple[DataFrame, DataFrame] | None = None, blend: float = 0.5,
+    questions: int = QUESTIONS, texts: int = TEXTS,
+) -> DataFrame:
     """k best texts per question: query_id, item_id, score, rank (texts sharing no term are left out).
 
     With `latent`, the (id, vec) tables of texts and questions, the score is
-    blend * lexical + (1 - blend) * dot(vec, vec) and every text takes part.
+    blend * lexical + (1 - blend) * dot(vec, vec) and every text takes part; a row without a vector
+    counts as 0 there.
 
-    Postings of terms nobody asks for only add to the norm. The others stay with their text as one
-    small array, and blocks of texts are scored against blocks of questions inside a task through an
-    inverted index: (question, text) pairs never become rows, only k per question and batch do.
+    Both sides are dealt into blocks by their id, `questions` and `texts` rows on average, and every pair
+    of blocks is scored in one task through an inverted index: no join on a term, so a common term is no
+    hot key, and (question, text) pairs never become rows, only k per question and block do. A text
+    travels once per block of questions, a question once per block of texts.
     """
-    queries = cut(query_terms, "queries")
-    vocabulary = queries.select("term").distinct().withColumn("tid", F.xxhash64("term"))
-    asked = weigh(index.postings, index.idf, ["id"]).join(vocabulary, "term", "left")
-    items = asked.groupBy("id").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.collect_list(F.when(F.col("tid").isNotNull(), F.struct("tid", "w"))).alias("p"),
+    tids = F.transform("p", lambda x: F.xxhash64(x["term"])).alias("tids")
+    ws = F.transform("p", lambda x: x["w"]).alias("ws")
+    items = index.vectors.select("id", tids, ws)
+    grouped = query_terms.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("p"))
+    rows = cut(grouped.select("id", tids, ws), "queries")
+    share = 1.0 if latent is None else blend
+    if latent is not None:
+        items, rows = items.join(latent[0], "id", "left"), rows.join(latent[1], "id", "left")
+    schema = f"query_id {dict(rows.dtypes)['id']}, item_id {dict(items.dtypes)['id']}, score double"
+    # sizes of stored tables, read from their footers
+    n_q, n_x = -(-rows.count() // questions), -(-index.vectors.count() // texts)
+    q, x = in_blocks(rows, n_q, n_x, "qb", "xb"), in_blocks(items, n_x, n_q, "xb", "qb")
+    found = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(
+        lambda left, right: _score_block(_inverted(left), right, k, share), schema
     )
-    items = items.select("id", F.col("p.tid").alias("tids"), F.transform("p", lambda x: x["w"] / F.col("norm")).alias("ws"))
-    rows = queries.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("tid"), "w")).alias("p"))
-    rows = rows.select("id", F.col("p.tid").alias("tids"), F.col("p.w").alias("ws"))
-    if latent is None:
-        items, share = items.filter(F.size("tids") > 0), 1.0
-    else:
-        items, rows, share = items.join(latent[0], "id"), rows.join(latent[1], "id"), blend
-    qtype, itype = dict(queries.dtypes)["id"], dict(index.postings.dtypes)["id"]
-    schema = f"query_id {qtype}, item_id {itype}, score double"
-    n = rows.count()
-    if n <= QUERY_BLOCK:
-        side = rows.toPandas()  # at most QUERY_BLOCK rows, just checked
-        shared = rows.sparkSession.sparkContext.broadcast(_inverted(side))
-
-        def batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield _score_block(shared.value, pdf, k, share)
-
-        found = items.mapInPandas(batch, schema)
-    else:
-        blocks = -(-n // QUERY_BLOCK)
-        spread = max(1, items.sparkSession.sparkContext.defaultParallelism)
-        q = rows.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(
-            "xb", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-        )
-        x = items.withColumn("xb", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int"))
-        x = x.withColumn("sub", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(spread)).cast("int")).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        )
-        q = q.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-        keys = ["qb", "xb", "sub"]
-        found = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(
-            lambda left, right: _score_block(_inverted(left), right, k, share), schema
-        )
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k)
 
@@ -137,10 +127,19 @@ def _inverted(side: pd.DataFrame) -> tuple:
     tids, ws = np.concatenate(side["tids"].to_list()), np.concatenate(side["ws"].to_list())
     pos = np.repeat(np.arange(len(side)), sizes)
     order = np.argsort(tids, kind="stable")
-    dense = np.stack(side["vec"].to_list()) if "vec" in side else None
+    dense = side["vec"].to_numpy() if "vec" in side else None
     return side["id"].to_numpy(dtype=object), tids[order], pos[order], ws[order], dense
 
 
+def _dots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Dot products of two columns of vectors, 0 where either is missing."""
+    out = np.zeros((len(left), len(right)))
+    a, b = (np.flatnonzero([v is not None for v in side]) for side in (left, right))
+    if len(a) and len(b):
+        out[np.ix_(a, b)] = np.stack(left[a]) @ np.stack(right[b]).T
+    return out
+
+
 def _score_block(inverted: tuple, pdf: pd.DataFrame, k: int, share: float) -> pd.DataFrame:
     """Scores of a batch of texts against the questions, k best texts per question."""
     ids, terms, pos, weights, dense = inverted
@@ -156,11 +155,11 @@ def _score_block(inverted: tuple, pdf: pd.DataFrame, k: int, share: float) -> pd
         found, first = np.unique(tids, return_index=True)
         last = np.append(first[1:], len(tids))
         lo, hi = np.searchsorted(terms, found, "left"), np.searchsorted(terms, found, "right")
-        for a, b, c, d in zip(first, last, lo, hi):
-            if d > c:
-                scores[pos[c:d][:, None], item[a:b][None, :]] += weights[c:d][:, None] * ws[a:b][None, :]
+        asked = hi > lo
+        for a, b, c, d in zip(first[asked], last[asked], lo[asked], hi[asked]):
+            scores[pos[c:d][:, None], item[a:b][None, :]] += weights[c:d][:, None] * ws[a:b][None, :]
         if dense is not None:
-            scores = share * scores + (1 - share) * (dense @ np.stack(part["vec"].to_list()).T)
+            scores = share * scores + (1 - share) * _dots(dense, part["vec"].to_numpy())
         scores = np.round(scores, 9)
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         best = np.take_along_axis(scores, top, axis=1)

@@ -45,12 +45,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores when the input came in fewer splits than there are; large inputs stay put."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write `df` once as a table in the shared folder and go on from there.
 
