@@ -20,18 +20,18 @@ QUESTIONS, TEXTS = 2048, 8192  # rows in a block of either side of a search
 
 @dataclass
 class TextIndex:
-    """Stored postings (id, term, tf), idf (term, idf, common) and unit vectors (id, p array<struct<term, w>>)."""
+    """Stored idf (term, idf, common), weights (id, term, w, common) and their norms (id, norm)."""
 
-    postings: DataFrame
     idf: DataFrame
-    vectors: DataFrame
+    weights: DataFrame
+    norms: DataFrame
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: Column, stop_words: list[str] = K.STOP_WORDS) -> DataFrame:
     """keys, term, tf, counted inside each row: its terms are sorted and runs of equal ones measured, so
     neither texts nor terms are shuffled."""
     words = texts.select(*keys, X.tokens(text, stop_words).alias("words"))
-    terms = words.select(*keys, F.array_sort(X.ngrams(F.col("words"))).alias("g")).filter(F.size("g") > 0)
+    terms = words.select(*keys, F.sort_array(X.ngrams(F.col("words"))).alias("g")).filter(F.size("g") > 0)
     new = lambda i: (i == 0) | (F.get("g", i) != F.get("g", i - 1))
     runs = terms.withColumn("s", F.filter(F.sequence(F.lit(0), F.size("g") - 1), new))
     run = lambda i, j: F.struct(F.get("g", i).alias("term"), (F.coalesce(F.get("s", j + 1), F.size("g")) - i).cast("long").alias("tf"))
@@ -39,18 +39,19 @@ def term_counts(texts: DataFrame, keys: list[str], text: Column, stop_words: lis
 
 
 def build_index(texts: DataFrame, text: Column, stop_words: list[str] = K.STOP_WORDS) -> TextIndex:
-    """texts(id, ...) -> index. The text is tokenised once; what follows reads the stored postings, and a
-    search reads the stored vectors."""
+    """texts(id, ...) -> index. The text is tokenised once and its terms meet the vocabulary once; a search
+    reads the stored weights and norms."""
     postings = cut(term_counts(texts, ["id"], text, stop_words), "postings")
     n = texts.agg(F.count(F.lit(1))).scalar()
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1.0
     idf = cut(df.withColumn("n", n).select("term", weight.alias("idf"), (F.col("df") * 100 >= F.col("n")).alias("common")), "idf")
-    return TextIndex(postings, idf, cut(unit_rows(weigh(postings, idf, ["id"]), ["id"]), "vectors"))
+    weights = cut(weigh(postings, idf, ["id"]), "weights")
+    return TextIndex(idf, weights, cut(weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms"))
 
 
 def weigh(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term, w with w = (1 + ln tf) * idf; terms outside the vocabulary drop out.
+    """keys, term, w, common with w = (1 + ln tf) * idf; terms outside the vocabulary drop out.
 
     A term found in a hundredth of all texts would bring its postings to one task. There are at most
     100 such terms per term of an average text, whatever the corpus, so they are broadcast; the rest
@@ -59,25 +60,18 @@ def weigh(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
     common = F.broadcast(idf.filter("common").select("term", "idf"))
     marked = counts.join(common, "term", "left")
     rare = marked.filter("idf IS NULL").drop("idf").join(idf.filter("NOT common").select("term", "idf"), "term")
-    both = marked.filter("idf IS NOT NULL").unionByName(rare)
-    return both.select(*keys, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
-
-
-def unit_rows(weights: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, p: the L2-normalised terms of one text as an array in the order of the terms."""
-    rows = weights.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("p"))
-    norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    scaled = F.transform("p", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w")))
-    return rows.withColumn("norm", norm).select(*keys, scaled.alias("p"))
+    both = marked.filter("idf IS NOT NULL").withColumn("common", F.lit(True)).unionByName(rare.withColumn("common", F.lit(False)))
+    return both.select(*keys, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"), "common")
 
 
 def normalise(weights: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term, w at unit length per text."""
-    return unit_rows(weights, keys).select(*keys, F.inline("p"))
+    """L2-normalised weights; a window holds the terms of one text."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return weights.select(*keys, "term", (F.col("w") / norm).alias("w"))
 
 
 def tfidf(index: TextIndex) -> DataFrame:
-    return index.vectors.select("id", F.inline("p"))
+    return index.weights.join(index.norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def query_vectors(index: TextIndex, queries: DataFrame, text: str = "question") -> DataFrame:
@@ -95,22 +89,31 @@ def topk(
     blend * lexical + (1 - blend) * dot(vec, vec) and every text takes part; a row without a vector
     counts as 0 there.
 
+    Only weights of terms that some question has leave the index. Common terms, of which there is a
+    bounded number, are looked up without a shuffle, so no task receives all postings of one.
+
     Both sides are dealt into blocks by their id, `questions` and `texts` rows on average, and every pair
-    of blocks is scored in one task through an inverted index: no join on a term, so a common term is no
-    hot key, and (question, text) pairs never become rows, only k per question and block do. A text
-    travels once per block of questions, a question once per block of texts.
+    of blocks is scored in one task through an inverted index: (question, text) pairs never become rows,
+    only k per question and block do. A text travels once per block of questions, a question once per
+    block of texts.
     """
-    tids = F.transform("p", lambda x: F.xxhash64(x["term"])).alias("tids")
-    ws = F.transform("p", lambda x: x["w"]).alias("ws")
-    items = index.vectors.select("id", tids, ws)
-    grouped = query_terms.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("p"))
-    rows = cut(grouped.select("id", tids, ws), "queries")
+    p = F.collect_list(F.struct(F.xxhash64("term").alias("tid"), "w")).alias("p")
+    rows = cut(query_terms.groupBy("id").agg(p).select("id", F.col("p.tid").alias("tids"), F.col("p.w").alias("ws")), "queries")
+    wanted = query_terms.select("term").distinct().join(index.idf.select("term", "common"), "term")
+    hot, cold = F.broadcast(wanted.filter("common").select("term")), wanted.filter("NOT common").select("term")
+    asked = index.weights.filter("common").join(hot, "term", "left_semi").unionByName(
+        index.weights.filter("NOT common").join(cold, "term", "left_semi")
+    )
+    items = index.norms.join(asked.groupBy("id").agg(p), "id", "inner" if latent is None else "left")
+    none = F.array()
+    scaled = F.transform("p", lambda x: x["w"] / F.col("norm"))
+    items = items.select("id", F.coalesce("p.tid", none.cast("array<long>")).alias("tids"), F.coalesce(scaled, none.cast("array<double>")).alias("ws"))
     share = 1.0 if latent is None else blend
     if latent is not None:
         items, rows = items.join(latent[0], "id", "left"), rows.join(latent[1], "id", "left")
     schema = f"query_id {dict(rows.dtypes)['id']}, item_id {dict(items.dtypes)['id']}, score double"
     # sizes of stored tables, read from their footers
-    n_q, n_x = -(-rows.count() // questions), -(-index.vectors.count() // texts)
+    n_q, n_x = -(-rows.count() // questions), -(-index.norms.count() // texts)
     q, x = in_blocks(rows, n_q, n_x, "qb", "xb"), in_blocks(items, n_x, n_q, "xb", "qb")
     found = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(
         lambda left, right: _score_block(_inverted(left), right, k, share), schema
