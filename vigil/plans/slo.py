@@ -10,6 +10,7 @@ from vigil.plans.common import STEP, Fixture, fixture, r6, rounded, sql
 
 TARGET = 0.8  # a fifth of the test events are errors
 LATENCY_TARGET, LATENCY_MS = 0.9, 150.0
+OBJECTIVES = [("availability", "bad_availability", TARGET), ("latency", "bad_latency", LATENCY_TARGET)]
 RULES = [("page", 21600, 3600, 1.4), ("page", 86400, 10800, 1.1), ("ticket", 259200, 21600, 0.9)]
 WINDOWS = [3600, 10800, 21600, 86400, 259200]
 
@@ -39,6 +40,10 @@ BLOCKS = {
         f"""SELECT ts, service, request_rate * {float(STEP)}::DOUBLE AS total, request_rate * {float(STEP)}::DOUBLE * greatest(0.0, least(1.0, error_rate)) AS bad_availability,
             request_rate * {float(STEP)}::DOUBLE * (1.0 - good) AS bad_latency FROM shares""",
     ),
+    "objectives": (
+        ["sli"],
+        " UNION ALL ".join(f"SELECT ts, service, '{n}' AS slo, {t!r}::DOUBLE AS target, {c} AS bad, total FROM sli" for n, c, t in OBJECTIVES),
+    ),
     "rules": ([], "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', {lo}, {sh}, {th}::DOUBLE)" for i, (s, lo, sh, th) in enumerate(RULES)) + ") t(rule_no, severity, long_s, short_s, threshold)"),
     "burn": (
         ["sli"],
@@ -109,11 +114,17 @@ def _status(fx):
 
 
 def slo_status(spark, d):
-    return rounded(_status(fixture(spark, d)))
+    """Both objectives."""
+    sli = S.sli_minutes(fixture(spark, d).minutes, LATENCY_MS, STEP)
+    parts = [S.slo_status(sli, column, target, name, step=STEP) for name, column, target in OBJECTIVES]
+    return rounded(parts[0].unionByName(parts[1]))
 
 
 def burn_now(spark, d):
-    return rounded(S.burn_now(S.sli_minutes(fixture(spark, d).minutes, LATENCY_MS, STEP), "bad_availability", TARGET, WINDOWS))
+    """Both objectives."""
+    sli = S.sli_minutes(fixture(spark, d).minutes, LATENCY_MS, STEP)
+    parts = [S.burn_now(sli, column, target, WINDOWS).withColumn("slo", F.lit(name)) for name, column, target in OBJECTIVES]
+    return rounded(parts[0].unionByName(parts[1]))
 
 
 def cumulative_budget(spark, d):
@@ -134,7 +145,6 @@ def worst_budget(spark, d):
 
 
 _ALLOW = f"{1 - TARGET!r}::DOUBLE"
-_BUDGET = f"(1.0 - {TARGET!r}::DOUBLE) * 43200.0"
 QUERIES = {
     "latency_good_share": (latency_good_share, _sql("SELECT ts, service, round(good, 6) + 0.0 AS good FROM shares", "shares")),
     "budget_rules": (
@@ -162,18 +172,20 @@ QUERIES = {
     "slo_status": (
         slo_status,
         _sql(
-            f"""SELECT service, 'availability' AS slo, {TARGET} AS target, {r6('1.0 - share AS sli')}, round(epoch(t1 - t0) / 86400.0 + {STEP} / 86400.0, 2) AS window_days,
-            {r6(f'share / {_ALLOW} AS budget_consumed', f'1.0 - share / {_ALLOW} AS budget_remaining', f'{_BUDGET} AS budget_minutes_total', f'{_BUDGET} * (1.0 - share / {_ALLOW}) AS budget_minutes_left')} FROM status""",
-            "status",
+            f"""SELECT service, slo, target, {r6('1.0 - share AS sli')}, round(epoch(t1 - t0) / 86400.0 + {STEP} / 86400.0, 2) AS window_days,
+            {r6('share / (1.0 - target) AS budget_consumed', '1.0 - share / (1.0 - target) AS budget_remaining', '(1.0 - target) * 43200.0 AS budget_minutes_total', '(1.0 - target) * 43200.0 * (1.0 - share / (1.0 - target)) AS budget_minutes_left')}
+            FROM (SELECT service, slo, target, sum(bad) / sum(total) AS share, min(ts) AS t0, max(ts) AS t1 FROM objectives
+              WHERE ts >= (SELECT max(ts) FROM sli) - INTERVAL '30 days' + to_seconds({STEP}) GROUP BY service, slo, target)""",
+            "objectives",
         ),
     ),
     "burn_now": (
         burn_now,
         _sql(
-            "SELECT service, " + ", ".join(
-                f"round(coalesce(sum(bad_availability) FILTER (WHERE ts > m - to_seconds({w})) / nullif(sum(total) FILTER (WHERE ts > m - to_seconds({w})), 0), 0) / {_ALLOW}, 6) AS burn_{w}" for w in WINDOWS
-            ) + " FROM sli, (SELECT max(ts) AS m FROM sli) WHERE ts > m - INTERVAL '3 days' GROUP BY service",
-            "sli",
+            "SELECT service, slo, " + ", ".join(
+                f"round(coalesce(sum(bad) FILTER (WHERE ts > m - to_seconds({w})) / nullif(sum(total) FILTER (WHERE ts > m - to_seconds({w})), 0), 0) / (1.0 - target), 6) AS burn_{w}" for w in WINDOWS
+            ) + " FROM objectives, (SELECT max(ts) AS m FROM sli) WHERE ts > m - INTERVAL '3 days' GROUP BY service, slo, target",
+            "objectives",
         ),
     ),
     "cumulative_budget": (
