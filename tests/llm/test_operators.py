@@ -238,3 +238,38 @@ def test_token_counts_equal_the_library(spark):
         n = len(library.encode(text or "", add_special_tokens=False).ids)
         assert got[k] == (len((text or "").encode()), n, n > 2048)
     assert zlib.crc32(b"") == 0 and count_tokens(frame(spark, texts).limit(0), path).count() == 0
+
+
+def few_words():
+    trigrams = np.zeros((27, 27, 27))
+    for word in ["idiot", "trash", "kill", "ass", "dumbass", "the", "little", "lot", "old", "as", "tilt"] * 20:
+        codes = [26, 26, *(ord(c) - 97 for c in word), 26]
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            trigrams[a, b, c] += 1
+    return toxicity.Decoder(trigrams.ravel())
+
+
+@pytest.mark.parametrize(("written", "word"), [("idi07", "idiot"), ("a$$", "ass"), ("dumba$$", "dumbass"), ("ki11", "kill"), ("idio+", "idiot"), ("1dio+", "idiot"), ("tras#", "trash"), ("1diot!!!", "idiot"), ("i.d. i.o. t", "idiot"), ("€old", "eold"), ("i. d.i. o.t", "idiot")])
+def test_disguises_at_the_end_and_with_mixed_separators(written, word):
+    decoder = few_words()
+    for around in ("{}", "such {} here", "é {}\n", '"{}".'):
+        assert word in list(toxicity.restored_spans(around.format(written), decoder))
+
+
+def test_search_near_suspicious_places_finds_every_span():
+    rng = random.Random(7)
+    letters, odd = "abdiotks", [*toxicity.ALIKE, *toxicity.SEPARATORS, "é", "í", "日", "\n", "  ", "!!"]
+    for _ in range(4000):
+        text = ""
+        while len(text) < rng.choice((5, 60, 400)):
+            kind = rng.random()
+            if kind < 0.4:
+                text += "".join(rng.choices(letters, k=rng.randint(1, 9))) + " "
+            elif kind < 0.6:
+                text += "".join(rng.choice(letters) + "".join(rng.choices(toxicity.SEPARATORS, k=rng.randint(1, 2))) for _ in range(rng.randint(2, 18))) + rng.choice(letters)
+            elif kind < 0.9:
+                text += "".join(rng.choice(odd) if rng.random() < 0.4 else rng.choice(letters) for _ in range(rng.randint(1, 30)))
+            else:
+                text += "plain words of no interest whatever " * rng.randint(1, 4)
+        near = [m.group() for part in toxicity.suspicious(text) for m in toxicity.SPANS.finditer(part)]
+        assert near == [m.group() for m in toxicity.SPANS.finditer(text)], ascii(text)

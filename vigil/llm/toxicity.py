@@ -37,9 +37,11 @@ SEPARATORS = ".-_ ·*'​‌‍­"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _EDGE = 26
 _ALIKE = re.escape("".join(ALIKE) + ANY)
+#: Look-alikes that at the end of a word may as well be punctuation.
+PUNCTUATION = "!|+(#*"
 #: Mixed, spelled out, and stretched spans.
 SPANS = re.compile(
-    rf"(?<![\w{_ALIKE}])(?=[a-z{_ALIKE}]*[a-z])(?=[a-z{_ALIKE}]*?[{_ALIKE}]{{1,3}}[a-z]|[a-z]+[0-9@$€£](?![{_ALIKE}]))[a-z{_ALIKE}]{{3,24}}(?![\w{_ALIKE}])"
+    rf"(?<![\w{_ALIKE}])(?=[{_ALIKE}]*[a-z])(?=[a-z]*[{_ALIKE}])[a-z{_ALIKE}]{{3,24}}(?![\w{_ALIKE}])"
     rf"|(?<![\w.\-])(?:[a-z{_ALIKE}][.\-_ ·*]{{1,2}}){{3,14}}[a-z](?![\w])"
     rf"|(?<!\w)(?=[a-z]*([a-z])\1\1)[a-z]{{4,40}}(?!\w)"
     rf"|(?<!\w)[a-z]+(?:[​‌‍­][a-z]*)+(?!\w)"
@@ -77,11 +79,11 @@ class Decoder:
         pair = n.sum(0)
         smooth = 0.8 * n / n.sum(2, keepdims=True) + 0.2 * (pair / pair.sum(1, keepdims=True))[None]
         self.cost = (-np.log(smooth)).tolist()
-        self.seen: dict[str, str] = {}
+        self.seen: dict[tuple[str, bool], str] = {}
         self.known = known
 
-    def options(self, c: str, before: str, after: str) -> list[tuple[str, float]]:
-        """(letter or nothing, channel cost) of one character."""
+    def options(self, c: str, before: str, last: bool) -> list[tuple[str, float]]:
+        """(letter or nothing, channel cost) of one character; `last`: it may be punctuation after the word."""
         out = []
         if c in LETTERS:
             out.append((c, 0.0 if c != before else 0.7))
@@ -90,75 +92,101 @@ class Decoder:
         out += [(x, 0.7) for x in ALIKE.get(c, "")]
         if c == ANY:
             out += [(x, 2.0) for x in LETTERS]
-        if c in SEPARATORS or (c not in LETTERS and not after):
+        if c in SEPARATORS or (c not in LETTERS and last):
             out.append(("", 0.3))
         return out or [("", 1.0)]
 
-    def __call__(self, span: str) -> str:
-        if span in self.seen:
-            return self.seen[span]
+    def _read(self, span: str, word_ends: int, limit: float, any_letter: bool) -> tuple[float, str]:
+        """Cost and word of the cheapest path below `limit`; ANY only vanishes unless `any_letter`."""
         beams = {(_EDGE, _EDGE): (0.0, "")}
         for k, c in enumerate(span):
             moved: dict = {}
-            for letter, channel in self.options(c, span[k - 1] if k else "", span[k + 1] if k + 1 < len(span) else ""):
+            options = self.options(c, span[k - 1] if k else "", k >= word_ends) if c != ANY or any_letter else [("", 0.3)]
+            for letter, channel in options:
                 code = ord(letter) - 97 if letter else -1
                 for (a, b), (cost, word) in beams.items():
-                    key = (b, code) if letter else (a, b)
                     price = cost + channel + (self.cost[a][b][code] if letter else 0.0)
-                    if key not in moved or price < moved[key][0]:
-                        moved[key] = (price, word + letter)
+                    if price < limit:
+                        key = (b, code) if letter else (a, b)
+                        if key not in moved or price < moved[key][0]:
+                            moved[key] = (price, word + letter)
             beams = moved
-        best = min((cost + self.cost[a][b][_EDGE], word) for (a, b), (cost, word) in beams.items())[1]
+        return min(((cost + self.cost[a][b][_EDGE], word) for (a, b), (cost, word) in beams.items()), default=(limit, ""))
+
+    def __call__(self, span: str, whole: bool = False) -> str:
+        """The best reading; if `whole`, the best one in which look-alikes at the end are letters too."""
+        if (span, whole) in self.seen:
+            return self.seen[span, whole]
+        word_ends = len(span) if whole else min(len(span) - 1, len(span.rstrip(PUNCTUATION)))
+        best = self._read(span, word_ends, np.inf, False)
+        if ANY in span:  # costs only grow, so no path that is dearer already can win
+            best = min(best, self._read(span, word_ends, best[0], True))
         if len(self.seen) < self.known:
-            self.seen[span] = best
-        return best
+            self.seen[span, whole] = best[1]
+        return best[1]
 
 
-#: Kinds of bytes: 1 letter, 2 look-alike, 3 separator, 4 the lead of a multibyte character that may be one of the latter.
-_KIND = np.zeros(256, np.uint8)
+#: Kinds of characters: 1 letter, 2 look-alike, 4 separator, 6 both of the latter; what lies above the table is none of them.
+_KIND = np.zeros(0x2100, np.uint8)
 _KIND[97:123] = 1
-_KIND[[ord(c) for c in [*ALIKE, ANY] if ord(c) < 128]] = 2
-_KIND[[ord(c) for c in SEPARATORS if ord(c) < 128 and c != ANY]] = 3
-_KIND[[0xC2, 0xE2, 0xEF]] = 4
-#: Bytes around a suspicious place that are searched for spans.
+_KIND[[ord(c) for c in [*ALIKE, ANY]]] |= 2
+_KIND[[ord(c) for c in SEPARATORS]] |= 4
+_JOINERS = [ord(c) for c in SEPARATORS if ord(c) > 0xB7 or c == "\xad"]
+#: Characters around a suspicious place that are searched for spans; longer than any span with spaces.
 REACH = 64
 
 
-def suspicious(lowered: bytes) -> list[bytes]:
-    """The stretches of a text that may hold a span: near a letter beside a look-alike, three single letters in a row, or a letter three times."""
-    b = np.frombuffer(lowered, np.uint8)
-    if len(b) < 3:
+def suspicious(lowered: str) -> list[str]:
+    """The stretches of a text that hold all its spans: near a letter beside a look-alike or an invisible separator, three spelled letters in a row, or a letter three times."""
+    if len(lowered) < 3:
         return []
-    kind = _KIND[b]
-    letter, alike = kind == 1, (kind == 2) | (kind == 4)
-    found = np.zeros(len(b), bool)
+    if lowered.isascii():
+        c = np.frombuffer(lowered.encode(), np.uint8)
+        kind = _KIND[c]
+    else:
+        c = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _KIND[np.minimum(c, len(_KIND) - 1)]
+    letter, alike, separator = kind == 1, (kind & 2) > 0, (kind & 4) > 0
+    found = np.zeros(len(c), bool)
     found[:-1] |= (letter[:-1] & alike[1:]) | (alike[:-1] & letter[1:])
-    found[:-2] |= letter[:-2] & (b[:-2] == b[1:-1]) & (b[1:-1] == b[2:])
-    single = letter | (kind == 2)
+    found[:-2] |= letter[:-2] & (c[:-2] == c[1:-1]) & (c[1:-1] == c[2:])
+    if c.dtype != np.uint8:
+        found[:-1] |= letter[:-1] & np.isin(c[1:], _JOINERS)
+    single = letter | alike
     single[1:] &= ~letter[:-1]
     single[:-1] &= ~letter[1:]
-    for step in (2, 3):
-        if len(b) > 2 * step:
-            found[: -2 * step] |= single[: -2 * step] & single[step:-step] & single[2 * step :]
+    near, far = np.zeros(len(c) + 3, bool), np.zeros(len(c) + 3, bool)  # the next single comes after one separator, after two
+    near[: len(c) - 2] = single[:-2] & separator[1:-1] & single[2:]
+    far[: len(c) - 3] = single[:-3] & separator[1:-2] & separator[2:-1] & single[3:]
+    step = near | far
+    found |= (near[:-3] & step[2:-1]) | (far[:-3] & step[3:])
     at = np.flatnonzero(found)
     if not len(at):
         return []
     split = np.flatnonzero(np.diff(at) > REACH)
-    out = []
+    out: list[list[int]] = []
     for lo, hi in zip(at[np.append(0, split + 1)].tolist(), at[np.append(split, len(at) - 1)].tolist(), strict=True):
-        lo, hi = max(0, lo - REACH), min(len(b), hi + REACH)
-        while lo > 0 and lowered[lo - 1] not in b" \n\t":
+        lo, hi = max(0, lo - REACH), min(len(lowered), hi + REACH)
+        while lo > 0 and lowered[lo - 1] not in " \n\t":
             lo -= 1
-        while hi < len(b) and lowered[hi] not in b" \n\t":
+        while hi < len(lowered) and lowered[hi] not in " \n\t":
             hi += 1
-        out.append(lowered[lo:hi])
-    return out
+        if out and lo <= out[-1][1]:  # a span is cut by no border
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
+    return [lowered[lo:hi] for lo, hi in out]
 
 
 def restored_spans(lowered: str, decoder: Decoder) -> Iterator[str]:
-    for part in suspicious(lowered.encode("utf-8", "replace")):
-        for found in SPANS.finditer(part.decode("utf-8", "replace")):
-            yield decoder(found.group().rstrip("!|+(#*"))  # punctuation after a word
+    """The words behind the spans; where the best reading takes look-alikes at the end as punctuation, also the one as letters."""
+    for part in suspicious(lowered):
+        for found in SPANS.finditer(part):
+            span = found.group()
+            best = decoder(span)
+            yield best
+            if span.rstrip(ANY)[-1:] not in LETTERS and (whole := decoder(span, True)) != best:
+                yield whole
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
