@@ -273,3 +273,21 @@ def test_search_near_suspicious_places_finds_every_span():
                 text += "plain words of no interest whatever " * rng.randint(1, 4)
         near = [m.group() for part in toxicity.suspicious(text) for m in toxicity.SPANS.finditer(part)]
         assert near == [m.group() for m in toxicity.SPANS.finditer(text)], ascii(text)
+
+
+def test_toxicity_learns_rare_words_and_adds_weak_ones(spark):
+    rng = random.Random(4)
+    common = ["river", "stone", "cloud", "grass", "house", "paper"]
+    plain = lambda: [rng.choice(common) + rng.choice("abcdefgh") for _ in range(20)]
+    insults = ["".join(rng.choices("bdfgklmnprtz", k=7)) for _ in range(60)]
+    bad = [[*plain(), w, *(x for x in ("weakling", "grumbler") if rng.random() < 0.3)] for w in insults * 8]  # 1.7 % of the toxic texts each
+    good = [[*plain(), *(x for x in ("weakling", "grumbler") if rng.random() < 0.06)] for _ in range(1500)]
+    rows = [(k, " ".join(w), int(k < len(bad))) for k, w in enumerate([*bad, *good])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    trigrams = toxicity.letter_trigrams(docs)
+    lexicon = toxicity.learn(toxicity.training_rows(docs.drop("toxic"), docs.select("doc_id", "toxic"), "true"), trigrams)
+    new = [*insults, "weakling", "grumbler", "weakling and grumbler", "weakling weakling weaklings", *common]
+    texts = spark.createDataFrame([(k, f"the {w} there") for k, w in enumerate(new)], "doc_id long, text string")
+    got = {new[r.doc_id]: r.score for r in toxicity.score_texts(texts, lexicon, trigrams).collect()}
+    assert all(got[w] >= 0.7 for w in [*insults, "weakling and grumbler"])
+    assert all(0.02 < got[w] < 0.7 for w in ("weakling", "grumbler", "weakling weakling weaklings")) and {got[w] for w in common} == {0.02}

@@ -4,7 +4,8 @@ A span is suspicious if it mixes letters with look-alikes (1d10t), spells a word
 (i.d.i.o.t) or repeats letters (idiooot). Its characters open a lattice: a look-alike may be one of several
 letters, a separator or a repeated letter may vanish, each at a channel cost. The Viterbi path under a
 character trigram model, counted over all texts of the corpus, is the restored word. Evidence is a
-lexicon of words and word beginnings that training documents marked toxic hold and others do not.
+lexicon of words and word beginnings that training documents marked toxic hold more often than others; the
+log odds of all evidence in a text add up.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from vigil.llm.words import shingle_sets, slices, texts_of
 
 #: Training documents of each class at most, and the longest beginning of a word that is learned.
 PER_CLASS, LONGEST, SHORTEST = 3000, 9, 4
-#: Share of the toxic training documents that evidence must be found in, and how many (weighted) at least.
-SUPPORT, LEAST = 0.02, 2.5
+#: Toxic training documents (weighted) that evidence must be found in, and the least G statistic of its odds ratio (chance of 1 in 20,000).
+LEAST, SIGNIFICANT = 2.5, 15.1
 THRESHOLD = 0.7
 #: Letters that a character may stand for (fixed values).
 ALIKE = {
@@ -199,11 +200,11 @@ def evidence_of(lowered: str, decoder: Decoder) -> set[str]:
 
 
 def learn(labelled: DataFrame, trigrams: np.ndarray, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict[str, float]:
-    """Evidence -> probability that a text which holds it is toxic, from at most PER_CLASS documents a class.
+    """Evidence -> probability that a text which holds it is toxic, from at most PER_CLASS documents a class; "" -> share of the toxic ones.
 
     A document weighs 1 / the number of training documents with its least shingle, so that copies of one
-    text count about once. Evidence must be found in SUPPORT of the toxic documents and LEAST of them; of
-    beginnings with the same support the longest is kept. Rows without text or label are left out.
+    text count about once. Evidence must be found in LEAST of the toxic documents and its odds ratio must be
+    significant; of beginnings with the same support the longest is kept. Rows without text or label are left out.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
     held = labelled.sparkSession.sparkContext.broadcast(trigrams)
@@ -222,21 +223,35 @@ def learn(labelled: DataFrame, trigrams: np.ndarray, doc_id: str = "doc_id", tex
     totals = weighed.agg(toxic.alias("a"), clean.alias("b")).first()
     if not totals["a"] or not totals["b"]:
         return {}
-    least = max(LEAST, SUPPORT * totals["a"])
-    counted = weighed.withColumn("e", F.explode("found")).groupBy("e").agg(toxic.alias("a"), clean.alias("b")).where((F.col("a") >= least) & (F.col("b") / totals["b"] <= 0.05 * F.col("a") / totals["a"]))
-    kept = {r["e"]: (r["a"], r["b"]) for r in counted.orderBy(F.desc("a"), "e").limit(20_000).collect()}  # at most words / SUPPORT pass
-    out = {}
-    prior = totals["a"] / (totals["a"] + totals["b"])
-    for e, (a, b) in kept.items():
-        longer = [x for x in kept if len(x) > len(e) and x.startswith(e) and kept[x][0] >= 0.95 * a]
-        if not longer:
-            hit, miss = prior * a / totals["a"], (1 - prior) * (b + 0.5) / (totals["b"] + 1)
+    a, b, A, B = F.col("a"), F.col("b"), totals["a"], totals["b"]
+    share = (a + b) / (A + B)
+    cells = [(a, A * share), (b, B * share), (A - a, A * (1 - share)), (B - b, B * (1 - share))]
+    g = 2 * sum(F.when(seen > 1e-9, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells)
+    counted = weighed.withColumn("e", F.explode("found")).groupBy("e").agg(toxic.alias("a"), clean.alias("b"))
+    passed = counted.where((a >= LEAST) & (a / A > b / B) & (g >= SIGNIFICANT))
+    kept = {r["e"]: (r["a"], r["b"]) for r in passed.collect()}  # at most the words of the training documents / LEAST
+    longer: dict[str, float] = {}
+    for e, (n, _) in kept.items():
+        for k in range(SHORTEST, len(e)):
+            longer[e[:k]] = max(n, longer.get(e[:k], 0.0))
+    prior = A / (A + B)
+    out = {"": prior}
+    for e, (n, m) in kept.items():
+        if longer.get(e, 0.0) < 0.95 * n:
+            hit, miss = prior * n / A, (1 - prior) * (m + 0.5) / (B + 1)
             out[e] = hit / (hit + miss)
     return out
 
 
+def _logit(p: float) -> float:
+    return float(np.log(p) - np.log1p(-p))
+
+
 def score_texts(docs: DataFrame, lexicon: dict[str, float], trigrams: np.ndarray, text: str = "text", base: float = 0.02) -> DataFrame:
-    """`docs` with `score`, the strongest evidence's probability (`base` without any, as for null and empty texts); a column of that name is replaced."""
+    """`docs` with `score`, the probability by the added log odds of the evidence (`base` without any, as for null and empty texts); a column of that name is replaced.
+
+    Evidence with the same first SHORTEST letters, as of a word and its beginnings, counts once, by the strongest.
+    """
     context = docs.sparkSession.sparkContext
     held = context.broadcast((lexicon, trigrams))
     rows = docs.drop("score")
@@ -244,34 +259,38 @@ def score_texts(docs: DataFrame, lexicon: dict[str, float], trigrams: np.ndarray
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence, counts = held.value
+        learned, counts = held.value
         decoder = Decoder(counts)
+        prior = _logit(learned.get("", base))
+        evidence: dict[str, list[float]] = {}  # log odds as a whole word and as a beginning
+        for e, p in learned.items():
+            if e:
+                evidence.setdefault(e.rstrip("$"), [0.0, 0.0])[not e.endswith("$")] = _logit(p) - prior
         finder = ahocorasick.Automaton()
-        for e, p in evidence.items():
-            finder.add_word(e.rstrip("$"), (len(e.rstrip("$")), p if e.endswith("$") else 0.0, 0.0 if e.endswith("$") else p)) if e.rstrip("$") not in finder else None
-        for e, p in evidence.items():  # a word and its beginning may both be evidence
-            n, whole, begin = finder.get(e.rstrip("$"))
-            finder.add_word(e.rstrip("$"), (n, p, begin) if e.endswith("$") else (n, whole, p))
+        for e, (whole, begin) in evidence.items():
+            finder.add_word(e, (len(e), e[:SHORTEST], whole, begin))
         if evidence:
             finder.make_automaton()
 
-        def strongest(lowered: str) -> float:
-            best = base
-            for end, (n, whole, begin) in finder.iter(lowered):
+        def add(lowered: str, odds: dict[str, float]) -> None:
+            for end, (n, root, whole, begin) in finder.iter(lowered):
                 if end >= n and lowered[end - n].isalpha():
                     continue
                 ends = end + 1 == len(lowered) or not lowered[end + 1].isalpha()
-                best = max(best, begin, whole if ends else 0.0)
-            return best
+                best = max(begin, whole if ends else 0.0)
+                if best > odds.get(root, 0.0):
+                    odds[root] = best
 
         for batch in batches:
             scores = []
             for raw in texts_of(batch.column(at)):
-                lowered = raw.decode("utf-8", "replace").lower()
-                best = base
+                odds: dict[str, float] = {}
                 if evidence:
-                    best = max([strongest(lowered), *(strongest(w) for w in restored_spans(lowered, decoder))])
-                scores.append(best)
+                    lowered = raw.decode("utf-8", "replace").lower()
+                    add(lowered, odds)
+                    for word in restored_spans(lowered, decoder):
+                        add(word, odds)
+                scores.append(max(base, float(1 / (1 + np.exp(-prior - sum(odds.values()))))) if odds else base)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*columns, "score"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
