@@ -132,3 +132,22 @@ def test_cut_offs_in_any_order(spark):
     df = spark.createDataFrame([(K.KNOWN[i % 3], K.KNOWN[i % 2], i / 40, 0.0) for i in range(40)], "y_true string, top_label string, confidence double, novelty double")
     up, down = (C.tune_cutoff(df, 1.0, c).orderBy("cutoff").collect() for c in ([0.2, 0.5, 0.8], [0.8, 0.2, 0.5]))
     assert up == down and len(up) == 3
+
+
+def test_permutation_importance_is_one_rule_at_every_size(spark):
+    rows = [(k, K.KNOWN[k % 2], [float(k % 2) + 0.3 * ((k * 7) % 5), float((k * 13) % 17)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, label string, features array<double>")
+    model = C.fit_classifier(df, "random_forest", {"numTrees": 5, "maxDepth": 4}, K.KNOWN)
+    got = [{r.dim: r.importance for r in C.permutation_importance(model, df, K.KNOWN, 2, 3, n).collect()} for n in (100_000, 8)]
+    assert got[0] == pytest.approx(got[1], abs=1e-12) and got[0][0] > 0.1
+
+
+def test_registered_models_have_the_reference_sizes(spark, monkeypatch):
+    from vigil.plans import classify, models
+
+    assert [(p.get("numTrees"), p.get("maxIter")) for _, p in classify.MODELS] == [(300, None), (300, None), (None, 200), (None, 300)]
+    seen = {}
+    monkeypatch.setattr(models.FO, "fit_forest", lambda rows, **sizes: seen.update(sizes) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        models.isolation_forest(spark, "/root/testdata/sf0.001")
+    assert seen == {"trees": 200, "sample": 4096}

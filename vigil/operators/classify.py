@@ -259,18 +259,26 @@ def impurity_importance(model: Model, names: list[str], spark) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def permutation_importance(model: Model, df: DataFrame, classes: list[str], dims: int, repeats: int = 5, rows_per_bucket: int = 100_000) -> DataFrame:
+def permutation_importance(model: Model, df: DataFrame, classes: list[str], dims: int, repeats: int = 5, rows_per_range: int = 100_000) -> DataFrame:
     """Mean loss of accuracy when one feature is shuffled, all features and repeats in one job.
 
-    Shuffling swaps values between rows of the same random bucket, so no task orders the whole table.
+    Both sides of a shuffle are ordered by a hash of the id, over the whole table. Positions are counted inside
+    ranges of the hash, so no task orders the whole table, and the ranges' number does not change the result.
     """
-    buckets = max(1, df.count() // rows_per_bucket)
+    ranges = max(1, df.count() // rows_per_range)
     base = df.select("id", "label", "features").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    placed = base.withColumn("bucket", F.pmod(F.xxhash64("id", "r"), F.lit(buckets)))
-    line = Window.partitionBy("r", "bucket")
-    to = placed.withColumn("pos", F.row_number().over(line.orderBy(F.xxhash64("id", "r", F.lit(1)), "id")))
-    give = placed.select("r", "bucket", F.col("features").alias("other"), F.row_number().over(line.orderBy(F.xxhash64("id", "r", F.lit(2)), "id")).alias("pos"))
-    mixed = to.join(give, ["r", "bucket", "pos"]).withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))))
+
+    def placed(seed: int) -> DataFrame:
+        at = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * ranges)
+        rows = base.withColumn("h", F.xxhash64("id", "r", F.lit(seed))).withColumn("range", F.least(at, F.lit(ranges - 1)))
+        earlier = Window.partitionBy("r").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.groupBy("r", "range").agg(F.count(F.lit(1)).alias("n"))
+        before = sizes.select("r", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        place = F.row_number().over(Window.partitionBy("r", "range").orderBy("h", "id"))
+        return rows.join(before, ["r", "range"]).withColumn("pos", F.col("before") + place)
+
+    give = placed(2).select("r", "pos", F.col("features").alias("other"))
+    mixed = placed(1).select("r", "pos", "id", "label", "features").join(give, ["r", "pos"]).withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))))
     swapped = F.transform(F.col("features"), lambda v, i: F.when(i == F.col("dim"), F.element_at("other", F.col("dim") + 1)).otherwise(v))
 
     def hit(frame: DataFrame) -> DataFrame:
