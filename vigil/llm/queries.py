@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.lines import ORACLE as LINES_SQL
+from vigil.llm.merkle import ORACLE as MERKLE_SQL
 from vigil.llm.topk import ORACLE as TOPK_SQL
 
 
@@ -95,6 +96,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.merkle import manifest
+
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    found = manifest(read(spark, sf_dir, "documents"), {"text": F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
+    shown = lambda c: F.lower(F.hex(c))
+    proof = F.sha2(shown("path"), 256).alias("proof_sha256")
+    return found.select("doc_id", shown("leaf").alias("leaf"), shown("subroot").alias("subroot"), shown("root").alias("root"), proof, shown("folded").alias("folded_root"), "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -106,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op5_top_products": TOPK_SQL, "op8_line_dedup": LINES_SQL}
+ORACLES: dict[str, str] = {"op5_top_products": TOPK_SQL, "op8_line_dedup": LINES_SQL, "op12_merkle_manifest": MERKLE_SQL}
