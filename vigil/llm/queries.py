@@ -96,6 +96,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from vigil.llm.alignment import align, score_links
+    from vigil.settings import cut
+
+    aligned = align(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    stored = cut(aligned.select("row", "doc_id", "n_a", "n_b", "n_groups", digest, "pairs", "times"), "aligned")
+    return score_links(stored).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.merkle import manifest
 
@@ -117,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_token_alignment": op11_token_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES: dict[str, str] = {"op5_top_products": TOPK_SQL, "op8_line_dedup": LINES_SQL, "op12_merkle_manifest": MERKLE_SQL}
