@@ -6,17 +6,15 @@ begin before the range), closed groups, and an open tail after the last common e
 fragments compose: the left one's tail and the right one's head make one closed group. Composition is
 associative, so a text may be cut at any byte and put together in any grouping.
 
-Short texts are composed in one task, from fragments of units that are remembered. A unit begins at white
-space after a character that is none; neither tokenizer joins across that. Long texts are cut every CHUNK
-bytes, each range is encoded by a task of its own (with the units that its ends cut through), and a tree of
-tasks composes FAN neighbours at a time.
+Short texts are one range each; the tokens of many texts are aligned in one numpy pass. Long texts are cut
+every CHUNK bytes, each range is encoded by a task of its own, and a tree of tasks composes FAN neighbours
+at a time. A range's task also gets the units that the range's ends cut through: a unit begins at white
+space after a character that is none, and neither tokenizer joins across that.
 """
 
 from __future__ import annotations
 
-import os
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -26,17 +24,17 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from vigil.llm.tokens import byte_letters, loaded
+from vigil.llm.tokens import ByteLevelIds, byte_letters, loaded
+from vigil.llm.words import slices
 from vigil.settings import cut
 
 #: Bytes of a range of a long text, and how far from a range's end a unit's end is looked for before the range is moved there.
 CHUNK, REACH = 1 << 16, 1 << 12
 #: Neighbouring fragments that one step of the tree composes.
 FAN = 8
-#: Units that a worker remembers, and the longest of them.
-KNOWN, LONGEST = 200_000, 48
+#: Bytes of short texts that are aligned in one numpy pass, about.
+PIECE = 1 << 18
 #: Pairs that are counted in one numpy pass.
 PASS = 1 << 20
 #: Pairs with at least this share of all links (1 / COMMON) are looked up in the tasks; there are COMMON such pairs at most.
@@ -78,92 +76,91 @@ def compose(x: Fragment, y: Fragment) -> Fragment:
     return Fragment(n_a, n_b, True, x.head_a, x.head_b, _join(b";", x.body, tail_a + b"|" + tail_b, y.body), y.tail_a, y.tail_b, links)
 
 
-def fragment(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int], low: int, high: int) -> Fragment:
-    """The fragment of the tokens that end after byte `low` and not after `high`; ends ascend."""
-    i, j = bisect_right(a_ends, low), bisect_right(b_ends, low)
-    i_end, j_end = bisect_right(a_ends, high), bisect_right(b_ends, high)
-    n_a, n_b = i_end - i, j_end - j
-    groups, links, i0, j0 = [], [], i, j
-    while i < i_end and j < j_end:
-        if a_ends[i] < b_ends[j]:
-            i += 1
-        elif a_ends[i] > b_ends[j]:
-            j += 1
-        else:
-            links.append(a[i] << 32 | b[j])
-            i, j = i + 1, j + 1
-            groups.append((b",".join(b"%d" % k for k in a[i0:i]), b",".join(b"%d" % k for k in b[j0:j])))
-            i0, j0 = i, j
-    rest = b",".join(b"%d" % k for k in a[i0:i_end]), b",".join(b"%d" % k for k in b[j0:j_end])
-    if not groups:
-        return Fragment(n_a, n_b, False, *rest, b"", b"", b"", b"")
-    return Fragment(n_a, n_b, True, *groups[0], b";".join(x + b"|" + y for x, y in groups[1:]), *rest, np.array(links, np.uint64).tobytes())
-
-
 class Aligner:
     """Fragments of texts under a byte-level BPE file (A) and a SentencePiece file that adds a space in front (B)."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
+        self.a, self.b = ByteLevelIds(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.a.tokenizer.encode_special_tokens = True
         byte_of = {chr(letter): k for k, letter in byte_letters().items()}
-        self.bytes_a = {k: bytes(byte_of[c] for c in t) if set(t) <= byte_of.keys() else t.encode() for t, k in self.a.get_vocab().items()}
+        words = self.a.tokenizer.get_vocab()
+        self.bytes_a = [b""] * (max(words.values()) + 1)
+        for t, k in words.items():
+            self.bytes_a[k] = bytes(byte_of[c] for c in t) if set(t) <= byte_of.keys() else t.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in table]) for table in (self.bytes_a, self.bytes_b))
+        # an id of A and what follows it inside its group and at its end, then the same for B
+        self.names = [b"%d%s" % (k, end) for k in range(len(self.bytes_a)) for end in (b",", b"|")]
+        self.names += [b"%d%s" % (k, end) for k in range(len(self.bytes_b)) for end in (b",", b";")]
         # white space that no piece holds after another character begins a unit; all other white space is part of one
         inside = {y for p in pieces for x, y in zip(p, p[1:], strict=False) if not (x.isspace() or x == "▁")}
         begins = "".join(c for c in " \t\n\v\f" if ("▁" if c == " " else c) not in inside)
         if " " not in begins:
             raise ValueError("a piece crosses a space")
-        odd = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in begins)
-        self.find = re.compile(rf"\s*\S+(?:[{odd}]\s*\S*)*|\s+").findall
         self.edges = re.compile(rf"(?<=\S)[{begins}]")
-        self.known: dict[str, tuple[bytes, bytes, int, int] | None] = {}
 
-    def tokens(self, units: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
-        """Of each unit: ids of A, where they end, ids of B, where they end; None where tokens do not spell its bytes."""
+    def tokens(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of A and of B of each text that begins with a unit; None where they do not spell its bytes."""
         # B puts a space in front of what is not empty; other units follow a letter, whose tokens are taken off again
         own = [u[0] != " " or u == " " for u in units]
         coded_b = self.b.encode(["a" + u if o else u[1:] for u, o in zip(units, own, strict=True)], num_threads=1)
-        for unit, after, in_a, b in zip(units, own, self.a.encode_batch(units, add_special_tokens=False), coded_b, strict=True):
+        texts, found = [u.encode() for u in units], []
+        for text, after, in_a, b in zip(texts, own, self.a(texts), coded_b, strict=True):
             extra = 2 if after else 0
             while extra > 0:
                 extra -= len(self.bytes_b[b[0]])
                 b = b[1:]
-            text, found = unit.encode(), []
-            for ids, table in ((in_a.ids, self.bytes_a), (b, self.bytes_b)):
-                spelled = [table[k] for k in ids]
-                found.append((ids, np.cumsum([len(s) for s in spelled]).tolist()) if extra == 0 and b"".join(spelled) == text else None)
-            yield None if None in found else (*found[0], *found[1])
-
-    def closed(self, units: list[str]) -> list[tuple[bytes, bytes, int, int] | None]:
-        """Of each whole unit: its groups, links, and the numbers of tokens of A and B."""
-        found = [self.known.get(u, 0) for u in units]
-        missing = list({u for u, f in zip(units, found, strict=True) if f == 0})
-        if not missing:
-            return found
-        new = {}
-        for unit, t in zip(missing, self.tokens(missing), strict=True):
-            if t is not None:
-                f = fragment(*t, 0, t[1][-1])
-                t = _join(b";", f.head_a + b"|" + f.head_b, f.body), f.links, f.n_a, f.n_b
-            new[unit] = t
-            if len(self.known) < KNOWN and len(unit) <= LONGEST:
-                self.known[unit] = t
-        return [new[u] if f == 0 else f for u, f in zip(units, found, strict=True)]
-
-    def whole(self, units: list[str]) -> Fragment:
-        """The fragment of whole units that follow each other."""
-        found = self.closed(units)
-        if None in found:
-            return LOST
-        if not found:
-            return EMPTY
-        groups, links, n_a, n_b = zip(*found, strict=True)
-        first, _, rest = groups[0].partition(b";")
-        head_a, _, head_b = first.partition(b"|")
-        return Fragment(sum(n_a), sum(n_b), True, head_a, head_b, _join(b";", rest, *groups[1:]), b"", b"", b"".join(links))
+            a = np.frombuffer(in_a, np.uint32).astype(np.int64)
+            spelled = extra == 0 and b"".join(map(self.bytes_b.__getitem__, b)) == text == b"".join(map(self.bytes_a.__getitem__, a.tolist()))
+            found.append((a, np.array(b, np.int64)) if spelled else None)
+        return found
+
+    def groups(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray) -> list[bytes]:
+        """The ids of A and B by group, each with the sign that follows it (`;` after the last of a group)."""
+        last_a, last_b = (np.append(g[1:] != g[:-1], True)[: len(g)] for g in (group_a, group_b))
+        items = np.concatenate([a * 2 + last_a, (len(self.bytes_a) + b) * 2 + last_b])
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        return [self.names[k] for k in items[order].tolist()]
+
+    def fragment(self, a: np.ndarray, b: np.ndarray, low: int, high: int) -> Fragment:
+        """Of the tokens a and b of some text: the fragment of those that end after byte `low` and not after `high`."""
+        a_ends, b_ends = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        of_a, of_b = (a_ends > low) & (a_ends <= high), (b_ends > low) & (b_ends <= high)
+        a, a_ends, b, b_ends = a[of_a], a_ends[of_a], b[of_b], b_ends[of_b]
+        both, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        group_a, group_b = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        # names end with `|` or `;` at the end of what a group has here, and the tail is a group of its own
+        parts = b"".join(self.groups(a, group_a, b, group_b))
+        links = (a[at_a].astype(np.uint64) << np.uint64(32) | b[at_b].astype(np.uint64)).tobytes()
+        tail_a, tail_b = (b",".join(b"%d" % k for k in ids[g == len(both)].tolist()) for ids, g in ((a, group_a), (b, group_b)))
+        if not len(both):
+            return Fragment(len(a), len(b), False, tail_a, tail_b, b"", b"", b"", b"")
+        closed = parts.split(b";")[: len(both)]
+        head_a, _, head_b = closed[0].partition(b"|")
+        return Fragment(len(a), len(b), True, head_a, head_b, b";".join(closed[1:]), tail_a, tail_b, links)
+
+    def wholes(self, texts: list[str | None]) -> list[tuple[int, int, bytes, np.ndarray]]:
+        """Of each whole text: numbers of tokens, groups and links; all texts are aligned as one stream."""
+        found = self.tokens([" " + t for t in texts if t])
+        kept = iter(found)
+        each = [next(kept) if t else None for t in texts]
+        counts = np.array([(0, 0) if t is None else (len(t[0]), len(t[1])) for t in each], np.int64).reshape(-1, 2)
+        some = [t for t in each if t is not None]
+        if not some:
+            return [(0, 0, b"", np.empty(0, np.uint64))] * len(texts)
+        a, b = (np.concatenate([t[k] for t in some]) for k in (0, 1))
+        a_ends, b_ends = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        both, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        names = self.groups(a, np.searchsorted(both, a_ends), b, np.searchsorted(both, b_ends))
+        links = a[at_a].astype(np.uint64) << np.uint64(32) | b[at_b].astype(np.uint64)
+        stop = np.cumsum(counts.sum(1)).tolist()
+        # a text's last token of A is at one of its common ends, so its links are those up to that token
+        to = np.searchsorted(at_a, np.cumsum(counts[:, 0])).tolist()
+        return [
+            (n_a, n_b, b"".join(names[s0:s1])[:-1], links[l0:l1])
+            for (n_a, n_b), s0, s1, l0, l1 in zip(counts.tolist(), [0, *stop], stop, [0, *to], to, strict=False)
+        ]
 
     def ranges(self, text: bytes, chunk: int) -> Iterator[tuple[int, int, int, int]]:
         """(begin, low, high, end) of each range (low, high] and the units (from begin to end) that it meets.
@@ -201,23 +198,8 @@ class Aligner:
 
     def part(self, units: bytes, low: int, high: int) -> Fragment:
         """The fragment of bytes (low, high] of some units."""
-        spans, out, at = self.find(units.decode("utf-8", "replace")), EMPTY, 0
-        sizes = [len(u.encode()) for u in spans]
-        ends = np.cumsum(sizes).tolist()
-        inside = [k for k, (e, s) in enumerate(zip(ends, sizes, strict=True)) if e - s >= low and e <= high]
-        first, last = (inside[0], inside[-1] + 1) if inside else (bisect_right(ends, low), bisect_right(ends, low))
-        for k in range(bisect_right(ends, low), first):
-            out = compose(out, self._cut_unit(spans[k], low - ends[k] + sizes[k], high - ends[k] + sizes[k]))
-        out = compose(out, self.whole(spans[first:last]))
-        for k in range(last, len(spans)):
-            at = ends[k] - sizes[k]
-            if at < high:
-                out = compose(out, self._cut_unit(spans[k], low - at, high - at))
-        return out
-
-    def _cut_unit(self, unit: str, low: int, high: int) -> Fragment:
-        found = next(self.tokens([unit]))
-        return LOST if found is None else fragment(*found, low, high)
+        found = self.tokens([units.decode()])[0]
+        return LOST if found is None else self.fragment(*found, low, high)
 
 
 _DONE = "row long, doc_id long, n_a long, n_b long, n_groups long, groups string, pairs binary, times binary"
@@ -225,13 +207,11 @@ _OPEN = "row long, doc_id long, part long, parts long, n_a long, n_b long, close
 _OPEN_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("closed", pa.bool_()), *((c, pa.binary()) for c in ("head_a", "head_b", "body", "tail_a", "tail_b", "links"))])
 
 
-def _finished(rows: list[tuple[int, int, Fragment]]) -> pa.RecordBatch:
+def _finished(rows: list[tuple[int, int, int, int, bytes, np.ndarray]]) -> pa.RecordBatch:
     out = {name: [] for name in ("row", "doc_id", "n_a", "n_b", "n_groups", "groups", "pairs", "times")}
-    for row, doc_id, f in rows:
-        f = f if f.n_a > 0 else EMPTY
-        pairs, times = np.unique(np.frombuffer(f.links, np.uint64), return_counts=True)
-        groups = _join(b";", f.head_a + b"|" + f.head_b, f.body).decode() if f.closed else ""
-        for name, value in zip(out, (row, doc_id, f.n_a, f.n_b, len(f.links) // 8, groups, pairs.tobytes(), times.astype(np.uint32).tobytes()), strict=True):
+    for row, doc_id, n_a, n_b, groups, links in rows:
+        pairs, times = np.unique(links, return_counts=True)
+        for name, value in zip(out, (row, doc_id, n_a, n_b, len(links), groups.decode(), pairs.tobytes(), times.astype(np.uint32).tobytes()), strict=True):
             out[name].append(value)
     kinds = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
@@ -240,9 +220,10 @@ def _finished(rows: list[tuple[int, int, Fragment]]) -> pa.RecordBatch:
 def _whole_texts(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     aligner = loaded(Aligner, *paths)
     for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            rows = batch.slice(begin, 256).to_pylist()
-            yield _finished([(r["row"], r["doc_id"], aligner.whole(aligner.find(" " + r["text"])) if r["text"] else EMPTY) for r in rows])
+        rows, ids, texts = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))
+        for begin, end in slices([t or "" for t in texts], PIECE):
+            found = aligner.wholes(texts[begin:end])
+            yield _finished([(r, i, *f) for r, i, f in zip(rows[begin:end], ids[begin:end], found, strict=True)])
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], chunk: int) -> Iterator[pa.RecordBatch]:
@@ -292,7 +273,9 @@ def _composed(batches: Iterator[pa.RecordBatch], fan: int) -> Iterator[pa.Record
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (row, doc_id, _, _), f in _fragments(batches):
-        yield _finished([(row, doc_id, f)])
+        f = f if f.n_a >= 0 else EMPTY
+        groups = _join(b";", f.head_a + b"|" + f.head_b, f.body) if f.closed else b""
+        yield _finished([(row, doc_id, f.n_a, f.n_b, groups, np.frombuffer(f.links, np.uint64))])
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
