@@ -291,3 +291,42 @@ def test_toxicity_learns_rare_words_and_adds_weak_ones(spark):
     got = {new[r.doc_id]: r.score for r in toxicity.score_texts(texts, lexicon, trigrams).collect()}
     assert all(got[w] >= 0.7 for w in [*insults, "weakling and grumbler"])
     assert all(0.02 < got[w] < 0.7 for w in ("weakling", "grumbler", "weakling weakling weaklings")) and {got[w] for w in common} == {0.02}
+
+
+def test_phrases_equal_naive_longest_matches():
+    from vigil.llm.language import Model, cross_entropies, plain
+
+    rng = random.Random(11)
+    words = {f"l{k}": ["".join(rng.choices(alphabet, k=rng.randint(1, 7))) for _ in range(40)] for k, alphabet in enumerate(["abcd", "bcde", "àéabc", "日本語中文字", "αβγab", "abxyz", "мирта", "efgh", "ghij", "kabc", "opqr", "стри"])}
+    samples = {name: " ".join(rng.choices(w, k=120)) for name, w in words.items()}
+    model = Model(samples)
+    texts = [plain(" ".join(rng.choices(w, k=30)) + rng.choice(["", " q¡", "zzz"])) for w in words.values()]
+
+    def longest(text, at, sample):
+        size = 0
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        return size
+
+    def naive(text, sample):
+        """Longest matches from the left; a character that the sample lacks opens a phrase with the match after it."""
+        at = phrases = 0
+        while at < len(text):
+            at += longest(text, at, sample) or 1 + longest(text, at + 1, sample)
+            phrases += 1
+        return phrases + (text[0] not in sample)
+
+    from vigil.llm.language import Automaton
+
+    automata = [Automaton(model.encode(samples[x]), model.symbols) for x in model.languages]
+    got = cross_entropies(texts, model, automata)
+    for k, text in enumerate(texts):
+        for j, name in enumerate(model.languages):
+            assert got[k, j] * len(text) / automata[j].bits == pytest.approx(naive(text, samples[name]))
+
+
+def test_signs_are_no_letters(spark):
+    samples = {"xx": "ab " * 20}
+    docs = spark.createDataFrame([(1, "²½①Ⅷ"), (2, "a²"), (3, "٣٤ _"), (4, None), (5, "")], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in predict_languages(docs, samples).collect()}
+    assert found == {1: "und", 2: "xx", 3: "und", 4: "und", 5: "und"}

@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigil.llm.links import components
+from vigil.llm.tokens import release
 from vigil.llm.words import mix, shingle_sets, texts_of
 from vigil.settings import cut, scratch_path
 
@@ -106,6 +107,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, sha
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sketch = held.value
         for batch in _small(batches):
             ids = batch.column(0)

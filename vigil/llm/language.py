@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from vigil.llm.tokens import release
 from vigil.llm.words import slices, texts_of
 
 #: Characters of labelled text taken for each language. A text adds up to PER_TEXT of them.
@@ -29,6 +30,8 @@ PIECE = 2_000
 #: Languages whose tables one worker holds at a time.
 GROUP = 8
 UNKNOWN = "und"
+#: Characters that Python counts as word characters though their category is not L (such as ², ½ or Ⅷ).
+_SIGNS = {c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
 _LETTER = re.compile(r"[^\W\d_]")
 _RUNS = re.compile(r"[\W\d_]+")
 
@@ -57,12 +60,15 @@ def language_samples(labelled: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def plain(text: str) -> str:
-    """Lower-case letters, other runs as one space."""
-    return _RUNS.sub(" ", text.lower())
+    """Lower-case letters (categories L), other runs as one space."""
+    text = text.lower()
+    for c in () if text.isascii() else _SIGNS.intersection(text):
+        text = text.replace(c, " ")
+    return _RUNS.sub(" ", text)
 
 
 class Automaton:
-    """The suffix automaton of one string as a table: state, symbol -> state, 0 where no match goes on (the root is state 1)."""
+    """The suffix automaton of one string as a table: state, symbol -> next state; where no match goes on, that of a match begun anew."""
 
     def __init__(self, codes: np.ndarray, symbols: int):
         length, link, follow, last = [0], [-1], [{}], 0
@@ -89,25 +95,23 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = twin
             last = cur
-        self.table = np.zeros((len(length) + 1, symbols), np.int32)
+        # entry: where the next state's row begins, doubled, and 1 if a phrase ends before the symbol; row 0 is the root
+        table = np.full((len(length), symbols), -1, np.int64)
         for state, arcs in enumerate(follow):
-            for c, to in arcs.items():
-                self.table[state + 1, c] = to + 1
+            table[state, list(arcs)] = list(arcs.values())
+        fresh = np.maximum(table[0], 0)
+        kind = np.int32 if table.size < 1 << 30 else np.int64
+        self.flat = np.where(table < 0, fresh * (2 * symbols) + 1, table * (2 * symbols)).astype(kind).ravel()
         self.bits = np.log2(max(len(codes), 2))
 
     def phrases(self, columns: np.ndarray, active: np.ndarray) -> np.ndarray:
         """Phrases that each lane needs. columns: step, lane -> symbol; active: lanes still running at each step (longest first)."""
-        state = np.ones(columns.shape[1], np.int32)
-        out = np.zeros(columns.shape[1], np.int32)
-        flat, width = self.table.ravel(), self.table.shape[1]
+        row = np.zeros(columns.shape[1], self.flat.dtype)
+        out = np.zeros(columns.shape[1], self.flat.dtype)
         for k, n in enumerate(active.tolist()):
-            c = columns[k, :n]
-            to = flat[state[:n] * width + c]
-            broken = to == 0
-            out[:n] += broken
-            fresh = flat[width + c[broken]]
-            to[broken] = np.where(fresh == 0, 1, fresh)
-            state[:n] = to
+            entry = self.flat.take(row[:n] + columns[k, :n])
+            out[:n] += entry & 1
+            np.right_shift(entry, 1, out=row[:n])
         return out + 1
 
 
@@ -162,6 +166,7 @@ def predict_languages(docs: DataFrame, samples: dict[str, str], text: str = "tex
     names = sorted(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         built = Model(held.value)
         groups = [built.languages[i : i + GROUP] for i in range(0, len(names), GROUP)]
         automata: dict[str, Automaton] = {}

@@ -6,6 +6,7 @@ before it. Distinct units go to the tokenizer library in batches; a text's ids a
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -95,8 +96,20 @@ _loaded: dict[tuple, object] = {}
 
 
 def loaded(kind: Callable, *args):
-    """One instance for each worker process: reused workers keep what they have learned."""
+    """One instance for each worker process: reused workers keep what they have learned, for one kind at a time.
+
+    Workers serve all stages of a job, so what an earlier stage has built is let go when another one begins.
+    """
     key = (kind.__name__, *args)
     if key not in _loaded:
+        _loaded.clear()
+        gc.collect()
         _loaded[key] = kind(*args)
     return _loaded[key]
+
+
+def release() -> None:
+    """Lets go of what other stages have left in this worker."""
+    if _loaded:
+        _loaded.clear()
+        gc.collect()

@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from vigil.llm.tokens import release
 from vigil.llm.words import shingle_sets, slices, texts_of
 
 #: Training documents of each class at most, and the longest beginning of a word that is learned.
@@ -259,6 +260,7 @@ def score_texts(docs: DataFrame, lexicon: dict[str, float], trigrams: np.ndarray
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         learned, counts = held.value
         decoder = Decoder(counts)
         prior = _logit(learned.get("", base))
