@@ -26,6 +26,10 @@ ORACLE_SQL = None
 BATCH = 500
 
 
+#: Name of the column that numbers the rows inside a stage.
+ROW = "_pipeline_row"
+
+
 def _short_batches(spark: SparkSession) -> None:
     """Texts are long and all stages share their workers, so batches of the default 10,000 rows would fill them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
@@ -53,11 +57,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of each group that has the smallest id; documents without words or id stay."""
+    """Keeps one row of each group of linked rows: that with the smallest doc_id, a null one coming last.
+
+    Rows are told apart by a number of their own, so repeated rows and rows without id are documents like any
+    other, and another text under a removed row's id stays. Rows without words stay. Empty tables give none.
+    """
     _short_batches(spark)
-    groups = jaccard_components(docs)
-    others = cut(groups.where("component_id < doc_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    marked = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "marked")
+    groups = cut(jaccard_components(marked, ROW).select(F.col("doc_id").alias(ROW), "component_id"), "groups")
+    shared = groups.groupBy("component_id").count().where("count > 1").drop("count")
+    members = cut(groups.join(shared, "component_id").join(marked.select(ROW, "doc_id"), ROW), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("_kept"))
+    others = members.join(first, "component_id").where(F.col(ROW) != F.col("_kept")).select(ROW)
+    return marked.join(others, ROW, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
