@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["detection", "slo", "features", "classify", "drift", "text", "stream", "models"]
+AREAS = ["detection", "slo", "features", "classify", "drift", "text", "stream", "models", "incident_model"]
 
 
 def registry() -> dict:
