@@ -70,6 +70,7 @@ def shingle_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Document frequencies of all shingles of all texts, summed into 2 ** BITS counters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total, pending, size = np.zeros(1 << BITS, np.uint32), [], 0
         for batch in _small(batches):
             for s in shingle_sets(texts_of(batch.column(0))):
@@ -85,6 +86,7 @@ def shingle_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "part": pa.array(parts, pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -171,6 +173,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, signed: DataFrame, wanted: Da
     held = docs.sparkSession.sparkContext.broadcast(bytes(bits))
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         flags = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             keep = flags[batch.column(2).to_numpy(zero_copy_only=False)]
@@ -178,6 +181,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, signed: DataFrame, wanted: Da
                 yield batch.filter(pa.array(keep))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in _small(batches):
             fp, parts = batch.column(0).to_pylist(), list(shingle_sets(texts_of(batch.column(1))))
             good = [k for k, s in enumerate(parts) if _fingerprint(s) == fp[k]]

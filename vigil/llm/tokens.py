@@ -6,12 +6,14 @@ before it. Distinct units go to the tokenizer library in batches; a text's ids a
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
 from array import array
 from collections.abc import Callable
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Units that a cache holds at most (about 200 bytes each); those met first stay.
@@ -102,14 +104,16 @@ def loaded(kind: Callable, *args):
     """
     key = (kind.__name__, *args)
     if key not in _loaded:
-        _loaded.clear()
-        gc.collect()
+        release()
         _loaded[key] = kind(*args)
     return _loaded[key]
 
 
 def release() -> None:
-    """Lets go of what other stages have left in this worker."""
-    if _loaded:
-        _loaded.clear()
-        gc.collect()
+    """Gives back to the system what earlier tasks have left in this worker: instances, Arrow's pool and free heap."""
+    _loaded.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

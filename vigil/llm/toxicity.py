@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import ahocorasick
 import numpy as np
@@ -23,11 +24,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vigil.llm.tokens import release
 from vigil.llm.words import shingle_sets, slices, texts_of
+from vigil.settings import cut
 
 #: Training documents of each class at most, and the longest beginning of a word that is learned.
 PER_CLASS, LONGEST, SHORTEST = 3000, 9, 4
-#: Toxic training documents (weighted) that evidence must be found in, and the least G statistic of its odds ratio (chance of 1 in 20,000).
-LEAST, SIGNIFICANT = 2.5, 15.1
+#: Toxic training documents (weighted) that evidence must be found in, and the chance that any evidence at all passes by accident.
+LEAST, CHANCE = 2.5, 1e-3
 THRESHOLD = 0.7
 #: Letters that a character may stand for (fixed values).
 ALIKE = {
@@ -57,6 +59,7 @@ def letter_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Counts of the letter trigrams (26 letters and an edge) of all texts: 27 ** 3 sums, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(27**3, np.int64)
         for batch in batches:
             texts = texts_of(batch.column(0))
@@ -205,12 +208,13 @@ def learn(labelled: DataFrame, trigrams: np.ndarray, doc_id: str = "doc_id", tex
 
     A document weighs 1 / the number of training documents with its least shingle, so that copies of one
     text count about once. Evidence must be found in LEAST of the toxic documents and its odds ratio must be
-    significant; of beginnings with the same support the longest is kept. Rows without text or label are left out.
+    significant among all that are tested (CHANCE that any passes by accident); of beginnings with the same support the longest is kept. Rows without text or label are left out.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
     held = labelled.sparkSession.sparkContext.broadcast(trigrams)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         decoder = Decoder(held.value)
         for batch in batches:
             texts = texts_of(batch.column(0))
@@ -228,8 +232,11 @@ def learn(labelled: DataFrame, trigrams: np.ndarray, doc_id: str = "doc_id", tex
     share = (a + b) / (A + B)
     cells = [(a, A * share), (b, B * share), (A - a, A * (1 - share)), (B - b, B * (1 - share))]
     g = 2 * sum(F.when(seen > 1e-9, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells)
-    counted = weighed.withColumn("e", F.explode("found")).groupBy("e").agg(toxic.alias("a"), clean.alias("b"))
-    passed = counted.where((a >= LEAST) & (a / A > b / B) & (g >= SIGNIFICANT))
+    counted = cut(weighed.withColumn("e", F.explode("found")).groupBy("e").agg(toxic.alias("a"), clean.alias("b")), "evidence")
+    # so many pieces of evidence are tested that some would pass any fixed limit; the limit of the G statistic grows with their number
+    tested = max(1, counted.where(a + b >= LEAST).count())
+    significant = NormalDist().inv_cdf(1 - CHANCE / (2 * tested)) ** 2
+    passed = counted.where((a >= LEAST) & (a / A > b / B) & (g >= significant))
     kept = {r["e"]: (r["a"], r["b"]) for r in passed.collect()}  # at most the words of the training documents / LEAST
     longer: dict[str, float] = {}
     for e, (n, _) in kept.items():
