@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +14,10 @@ from pyspark.sql import functions as F
 from vigil import constants as K
 from vigil.functions.stats import exact_quantiles
 from vigil.operators.nearest import nearest
+from vigil.settings import cut
+
+#: Rows of a partition that an estimator reads.
+ROWS = 50_000
 
 
 # ------------------------------------------------------------------ reports
@@ -209,14 +216,16 @@ def _indexed(train: DataFrame, classes: list[str]) -> DataFrame:
 def fit_classifier(train: DataFrame, kind: str, params: dict, classes: list[str], seed: int = 0) -> Model:
     """Fit on rows (features array, label). `random_forest` is class-balanced; boosting is one-vs-rest."""
     rows = _indexed(train, classes).withColumn("x", array_to_vector(F.col("features").cast("array<double>")))
-    # sampling inside the estimators follows row order, so the order is fixed by content
-    n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("h", F.xxhash64("features", "label")).repartition(n, "h").sortWithinPartitions("h").drop("h")
+    # sampling inside the estimators follows row order, so the order is fixed by content; many rounds over a
+    # small table cost by tasks, so it is stored once in as many partitions as its rows ask for
+    n = max(1, -(-train.count() // ROWS))
+    rows = rows.withColumn("h", F.xxhash64("features", "label"))
+    rows = cut(rows.repartitionByRange(n, "h").sortWithinPartitions("h").drop("h"), "training")
     if kind == "random_forest":
         return RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", seed=seed, **params).fit(rows)
     if kind == "gradient_boosting":
         single = GBTClassifier(featuresCol="x", labelCol="y", seed=seed, **params)
-        return OneVsRest(classifier=single, featuresCol="x", labelCol="y").fit(rows)
+        return OneVsRest(classifier=single, featuresCol="x", labelCol="y", parallelism=len(classes)).fit(rows)
     raise ValueError(kind)
 
 
@@ -236,16 +245,19 @@ def score(model: Model, df: DataFrame) -> DataFrame:
 def select_model(train: DataFrame, validation: DataFrame, candidates: list[tuple[str, dict]], classes: list[str]) -> DataFrame:
     """Fit every candidate, tune its cut-off on the validation rows and rank them (best first).
 
-    The loop is over a handful of settings; each fit and each evaluation is a distributed job.
+    The candidates are a handful of settings; each fit and each evaluation is a distributed job, and the
+    candidates run side by side, as a round over a small table leaves most cores idle.
     """
-    ranked = None
-    for i, (kind, params) in enumerate(candidates):
+
+    def judged(i: int, kind: str, params: dict) -> DataFrame:
         model = fit_classifier(train, kind, params, classes)
         scored = open_set_predict(score(model, validation), classes, 0.0, float("inf"))
         best = best_cutoff(tune_cutoff(scored.withColumnRenamed("label", "y_true"), float("inf")))
-        row = best.select(F.lit(i).alias("candidate"), F.lit(kind).alias("kind"), F.lit(str(params)).alias("params"), "cutoff", "macro_f1")
-        ranked = row if ranked is None else ranked.unionByName(row)
-    return ranked
+        return cut(best.select(F.lit(i).alias("candidate"), F.lit(kind).alias("kind"), F.lit(str(params)).alias("params"), "cutoff", "macro_f1"), "candidate")
+
+    with ThreadPool(len(candidates)) as pool:
+        found = pool.starmap(judged, [(i, kind, params) for i, (kind, params) in enumerate(candidates)])
+    return reduce(DataFrame.unionByName, found)
 
 
 def best_config(configs: DataFrame, *order: Column) -> DataFrame:
