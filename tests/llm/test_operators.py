@@ -330,3 +330,11 @@ def test_signs_are_no_letters(spark):
     docs = spark.createDataFrame([(1, "²½①Ⅷ"), (2, "a²"), (3, "٣٤ _"), (4, None), (5, "")], "doc_id long, text string")
     found = {r.doc_id: r.lang_pred for r in predict_languages(docs, samples).collect()}
     assert found == {1: "und", 2: "xx", 3: "und", 4: "und", 5: "und"}
+
+
+def test_lines_of_a_very_long_copied_text(spark):
+    """50,000 lines twice, and a copy between other lines: linear in the lines, whole results."""
+    body = "\n".join(f"line {i}" for i in range(50_000))
+    rows = drop_repeated_lines(frame(spark, [body, body, "first\n" + body + "\nlast"])).orderBy("doc_id").collect()
+    assert [r.n_removed for r in rows] == [0, 50_000, 50_000]
+    assert [r.text for r in rows] == [body, "", "first\nlast"]

@@ -17,15 +17,26 @@ LINES = 3
 
 def _windows(lines: Column, size: int) -> Column:
     """Hashes of the runs of `size` lines, null where all lines are blank; no runs in shorter texts."""
-    starts = F.when(F.size(lines) >= size, F.sequence(F.lit(1), F.size(lines) - (size - 1)))
+    starts = F.when(F.size(lines) >= size, F.sequence(F.lit(0), F.size(lines) - size))
 
     def run(i: Column) -> Column:
-        part = F.slice(lines, i, F.lit(size))
-        return F.when(F.exists(part, lambda x: F.trim(x) != ""), F.xxhash64(F.concat_ws("\n", part)))
+        part = [F.get(lines, i + j) for j in range(size)]
+        written = F.lit(False)
+        for line in part:
+            written = written | (F.trim(line) != "")
+        return F.when(written, F.xxhash64(F.concat_ws("\n", *part)))
 
     return F.transform(starts, run)
 
 
+def _outside(lines: Column, starts: Column, size: int) -> Column:
+    """The lines that no run of `size` lines from one of the ascending `starts` covers: the stretches between them, each copied once."""
+    begins = F.concat(F.array(F.lit(0)), F.transform(starts, lambda p: p + size))
+    ends = F.concat(starts, F.array(F.size(lines)))
+    gaps = F.filter(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda g: g["b"] > g["a"])
+    return F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["a"] + 1, g["b"] - g["a"])))
+
+
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = LINES) -> DataFrame:
     """`docs` with repeated lines removed from `text`, and n_lines and n_removed (columns of these names are replaced).
 
@@ -35,20 +46,20 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     base = docs.drop("n_lines", "n_removed")
     key, lines = F.coalesce(F.xxhash64(text), F.lit(0)), F.split(text, "\n", -1)
-    held = base.select(F.col(doc_id).alias("doc"), key.alias("key"), F.posexplode(_windows(lines, size)).alias("pos", "run")).where("run is not null")
+    # texts are split in a projection of their own: inside a lambda they would be split anew for every line
+    listed = base.select(F.col(doc_id).alias("doc"), key.alias("key"), lines.alias("lines"))
+    held = listed.select("doc", "key", F.posexplode(_windows(F.col("lines"), size)).alias("pos", "run")).where("run is not null")
     held = cut(held, "runs")
     spot = F.struct("doc", "key", "pos")
     again = held.groupBy("run").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("run", "first")
     later = held.join(again, "run").where(spot != F.col("first"))
-    covered = later.groupBy("doc", "key").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    covered = later.groupBy("doc", "key").agg(F.sort_array(F.collect_set("pos")).alias("_starts"))
     rows = base.withColumn("_key", key)
     out = rows.join(covered.withColumnRenamed("key", "_key2"), rows[doc_id].eqNullSafe(F.col("doc")) & (F.col("_key") == F.col("_key2")), "left")
-    gone = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda p: F.sequence(p, p + (size - 1)))))
-    marked = out.withColumns({"_lines": lines, "_gone": gone})
-    left = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    kept = F.when(F.size("_gone") > 0, left).otherwise(F.col(text))
-    counted = marked.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long"), "n_removed": F.size("_gone").cast("long")})
-    return counted.withColumn(text, kept).select(*base.columns, "n_lines", "n_removed")
+    split = out.withColumn("_lines", lines).withColumn("_left", F.when(F.col("_starts").isNotNull(), _outside(F.col("_lines"), F.col("_starts"), size)))
+    n, left = F.coalesce(F.when(F.col(text).isNotNull(), F.size("_lines")), F.lit(0)), F.col("_left")
+    counted = split.withColumns({"n_lines": n.cast("long"), "n_removed": F.when(left.isNotNull(), n - F.size(left)).otherwise(0).cast("long")})
+    return counted.withColumn(text, F.when(left.isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))).select(*base.columns, "n_lines", "n_removed")
 
 
 ORACLE = """
