@@ -45,25 +45,26 @@ BLOCKS = {
         " UNION ALL ".join(f"SELECT ts, service, '{n}' AS slo, {t!r}::DOUBLE AS target, {c} AS bad, total FROM sli" for n, c, t in OBJECTIVES),
     ),
     "rules": ([], "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', {lo}, {sh}, {th}::DOUBLE)" for i, (s, lo, sh, th) in enumerate(RULES)) + ") t(rule_no, severity, long_s, short_s, threshold)"),
-    "burn": (
-        ["sli"],
-        "SELECT service, ts, " + ", ".join(
-            f"(sum(bad_availability) OVER w{w} / nullif(sum(total) OVER w{w}, 0)) / {1 - TARGET!r}::DOUBLE AS burn_{w}" for w in WINDOWS
-        ) + " FROM sli WINDOW " + ", ".join(f"w{w} AS (PARTITION BY service ORDER BY ts RANGE BETWEEN INTERVAL '{w - 1} seconds' PRECEDING AND CURRENT ROW)" for w in WINDOWS),
+    "burn_all": (
+        ["objectives"],
+        "SELECT service, slo, ts, " + ", ".join(
+            f"(sum(bad) OVER w{w} / nullif(sum(total) OVER w{w}, 0)) / (1.0 - target) AS burn_{w}" for w in WINDOWS
+        ) + " FROM objectives WINDOW " + ", ".join(f"w{w} AS (PARTITION BY service, slo ORDER BY ts RANGE BETWEEN INTERVAL '{w - 1} seconds' PRECEDING AND CURRENT ROW)" for w in WINDOWS),
     ),
+    "burn": (["burn_all"], "SELECT * EXCLUDE (slo) FROM burn_all WHERE slo = 'availability'"),
     "rule_burn": (
-        ["burn", "rules"],
-        f"""SELECT service, ts, rule_no, severity, long_s, short_s, threshold, long_burn,
-            coalesce(long_burn > threshold AND short_burn > threshold, false) AND ts >= (min(ts) OVER (PARTITION BY service)) + to_seconds(long_s - {STEP}) AS is_on
+        ["burn_all", "rules"],
+        f"""SELECT service, slo, ts, rule_no, severity, long_s, short_s, threshold, long_burn,
+            coalesce(long_burn > threshold AND short_burn > threshold, false) AND ts >= (min(ts) OVER (PARTITION BY service, slo)) + to_seconds(long_s - {STEP}) AS is_on
             FROM (SELECT b.*, r.*, CASE r.long_s {' '.join(f'WHEN {w} THEN burn_{w}' for w in WINDOWS)} END AS long_burn,
-              CASE r.short_s {' '.join(f'WHEN {w} THEN burn_{w}' for w in WINDOWS)} END AS short_burn FROM burn b CROSS JOIN rules r)""",
+              CASE r.short_s {' '.join(f'WHEN {w} THEN burn_{w}' for w in WINDOWS)} END AS short_burn FROM burn_all b CROSS JOIN rules r)""",
     ),
     # a period is named by the first quiet row after it, found by a correlated lookup
     "periods": (
         ["rule_burn"],
-        """SELECT a.service, a.rule_no, a.severity, a.long_s, a.short_s, a.threshold, a.ts,
-            coalesce((SELECT min(q.ts) FROM rule_burn q WHERE q.service = a.service AND q.rule_no = a.rule_no AND q.ts > a.ts AND NOT q.is_on),
-              (SELECT max(q.ts) FROM rule_burn q WHERE q.service = a.service AND q.rule_no = a.rule_no)) AS end_ts FROM rule_burn a WHERE a.is_on""",
+        """SELECT a.service, a.slo, a.rule_no, a.severity, a.long_s, a.short_s, a.threshold, a.ts,
+            coalesce((SELECT min(q.ts) FROM rule_burn q WHERE q.service = a.service AND q.slo = a.slo AND q.rule_no = a.rule_no AND q.ts > a.ts AND NOT q.is_on),
+              (SELECT max(q.ts) FROM rule_burn q WHERE q.service = a.service AND q.slo = a.slo AND q.rule_no = a.rule_no)) AS end_ts FROM rule_burn a WHERE a.is_on""",
     ),
     "status": (
         ["sli"],
@@ -101,12 +102,20 @@ def sli_minutes(spark, d):
     return rounded(_sli(fixture(spark, d)))
 
 
+def _both(run):
+    """`run(column, target)` of both objectives, with the objective's name."""
+    parts = [run(column, target).withColumn("slo", F.lit(name)) for name, column, target in OBJECTIVES]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
 def rolling_burn(spark, d):
-    return rounded(S.rolling_burn(_sli(fixture(spark, d)), "bad_availability", TARGET, WINDOWS))
+    sli = S.sli_minutes(fixture(spark, d).minutes, LATENCY_MS, STEP)
+    return _both(lambda column, target: S.rolling_burn(sli, column, target, WINDOWS))
 
 
 def burn_alerts(spark, d):
-    return rounded(S.burn_alerts(_sli(fixture(spark, d)), "bad_availability", TARGET, RULES, STEP))
+    sli = S.sli_minutes(fixture(spark, d).minutes, LATENCY_MS, STEP)
+    return _both(lambda column, target: S.burn_alerts(sli, column, target, RULES, STEP))
 
 
 def _status(fx):
@@ -144,6 +153,10 @@ def worst_budget(spark, d):
     return rounded(S.worst_budget(_status(fixture(spark, d))))
 
 
+#: Periods of every rule and objective.
+PERIODS = """SELECT p.service, p.slo, p.severity, p.long_s, p.short_s, p.threshold, min(p.ts) AS "start", p.end_ts AS "end",
+    round((SELECT max(r.long_burn) FROM rule_burn r WHERE r.service = p.service AND r.slo = p.slo AND r.rule_no = p.rule_no AND r.ts >= min(p.ts) AND r.ts <= p.end_ts), 6) AS peak_long
+    FROM periods p GROUP BY p.service, p.slo, p.rule_no, p.severity, p.long_s, p.short_s, p.threshold, p.end_ts"""
 _ALLOW = f"{1 - TARGET!r}::DOUBLE"
 QUERIES = {
     "latency_good_share": (latency_good_share, _sql("SELECT ts, service, round(good, 6) + 0.0 AS good FROM shares", "shares")),
@@ -159,16 +172,8 @@ QUERIES = {
         ),
     ),
     "sli_minutes": (sli_minutes, _sql(f"SELECT ts, service, {r6('total', 'bad_availability', 'bad_latency')} FROM sli", "sli")),
-    "rolling_burn": (rolling_burn, _sql("SELECT service, ts, " + r6(*[f"burn_{w}" for w in WINDOWS]) + " FROM burn", "burn")),
-    "burn_alerts": (
-        burn_alerts,
-        _sql(
-            """SELECT p.service, p.severity, p.long_s, p.short_s, p.threshold, min(p.ts) AS "start", p.end_ts AS "end",
-            round((SELECT max(r.long_burn) FROM rule_burn r WHERE r.service = p.service AND r.rule_no = p.rule_no AND r.ts >= min(p.ts) AND r.ts <= p.end_ts), 6) AS peak_long
-            FROM periods p GROUP BY p.service, p.rule_no, p.severity, p.long_s, p.short_s, p.threshold, p.end_ts""",
-            "periods", "rule_burn",
-        ),
-    ),
+    "rolling_burn": (rolling_burn, _sql("SELECT service, slo, ts, " + r6(*[f"burn_{w}" for w in WINDOWS]) + " FROM burn_all", "burn_all")),
+    "burn_alerts": (burn_alerts, _sql(PERIODS, "periods", "rule_burn")),
     "slo_status": (
         slo_status,
         _sql(

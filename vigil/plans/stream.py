@@ -29,7 +29,18 @@ BLOCKS = PR.BLOCKS | {
             k / 100.0::DOUBLE AS cpu_utilization, k / 100.0::DOUBLE AS memory_utilization, CASE WHEN service = '{K.DATABASE}' THEN k::DOUBLE END AS db_connections_in_use,
             (event_type IN ('click', 'view', 'purchase'))::INT AS log_info, (event_type = 'signup')::INT AS log_warn, (event_type = 'error')::INT AS log_error, value AS span_ms FROM ev""",
     ),
+    # which turn of the replay an event comes in: eight days a turn, some events one turn late
+    "turns": (["ev"], "SELECT *, least(3, (ts::DATE - (SELECT min(ts)::DATE FROM events)) // 8) + (k % 25 = 3)::INT AS turn FROM ev"),
+    "marks": (
+        ["turns"],
+        "SELECT p.turn, (SELECT max(q.ts) FROM turns q WHERE q.turn < p.turn) - INTERVAL '2 minutes' AS mark FROM (SELECT DISTINCT turn FROM turns) p",
+    ),
 }
+BLOCKS["late_samples"] = (
+    ["turns", "marks"],
+    BLOCKS["samples"][1].replace("SELECT ts, service,", "SELECT date_trunc('hour', ts) AS ts, coalesce(date_trunc('hour', ts) + INTERVAL '1 hour' <= mark, false) AS late, service,")
+    .replace("FROM ev", "FROM turns JOIN marks USING (turn)"),
+)
 
 
 def _sql(body: str, *needs: str) -> str:
@@ -44,8 +55,8 @@ def _event_stream(spark, d):
     return stream.withColumns({"ts": F.col("ts").cast("timestamp"), "service": pick})
 
 
-def _samples(ev):
-    """Every event as one raw telemetry sample."""
+def _samples(ev, *more):
+    """Every event as one raw telemetry sample, with the columns `more`."""
     kind, k = F.col("event_type"), X._k()
     flag = lambda c: c.cast("int").cast("long")
     return ev.select(
@@ -53,10 +64,31 @@ def _samples(ev):
         F.col("value").alias("latency_p99"), (kind == "error").cast("int").cast("double").alias("error_rate"), (k / 100.0).alias("cpu_utilization"),
         (k / 100.0).alias("memory_utilization"), F.when(F.col("service") == K.DATABASE, k.cast("double")).alias("db_connections_in_use"),
         flag(kind.isin("click", "view", "purchase")).alias("log_info"), flag(kind == "signup").alias("log_warn"), flag(kind == "error").alias("log_error"),
-        F.col("value").alias("span_ms"),
+        F.col("value").alias("span_ms"), *more,
     )
 
 
+TURNS, LATE_TURNS = 4, 5
+
+
+def _turn(ev):
+    """Turn of the replay: eight days each, all that follows in the last."""
+    first = ev.agg(F.min(F.to_date("ts"))).scalar()
+    return F.least(F.lit(TURNS - 1), F.floor(F.datediff(F.to_date("ts"), first) / 8)).cast("int")
+
+
+def _replay(spark, rows, turns, name, run):
+    """Rows (their turn in column `turn`) appended turn by turn to a table that `run(stream)` goes on reading.
+
+    Every turn is a start of the stream on the state of the last one, and one batch.
+    """
+    path, held = scratch_path(spark, name), cut(rows, f"{name}-held")
+    for turn in range(turns):
+        held.filter(F.col("turn") == turn).drop("turn").write.mode("append").parquet(path)
+        found = run(J.read_table(spark, path, held.drop("turn").schema, files_per_batch=1 << 20))
+    return found
+
+
 def stream_ingest(spark, d):
     """Events as JSON messages, some cut off in transit, to a metrics table and dead letters."""
     ev = _event_stream(spark, d)
@@ -74,6 +106,41 @@ def stream_minute_rollup(spark, d):
     return rounded(J.drain(J.rollup_stream(_samples(_event_stream(spark, d)), "1 hour", "2 minutes"), "rollup"))
 
 
+def stream_retries(spark, d):
+    """Events as messages to a consumer that refuses each of them k % 7 times: taken in, or dead after five deliveries."""
+    ev = X.events(spark, d)
+    message = T.StructType([*MESSAGE.fields, T.StructField("k", T.IntegerType())])
+    rows = ev.withColumn("k", X._k().cast("int")).select(F.to_json(F.struct("event_id", "service", "value", "k")).alias("value"), _turn(ev).alias("turn"))
+    good, dead, state = (scratch_path(spark, n) for n in ("taken", "refused", "retry-state"))
+    refuse = lambda _: F.when(F.col("tries") <= F.col("r.k") % 7, "busy")
+    _replay(spark, rows, TURNS, "messages", lambda stream: J.ingest(stream, message, good, dead, state, refuse=refuse))
+    total = F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total")
+    n = F.count(F.lit(1)).alias("n")
+    taken = spark.read.schema(message).parquet(good + "/*").groupBy("service").agg(n, total, F.lit(None).cast("int").alias("tries"))
+    lost = spark.read.parquet(dead + "/*").withColumn("value", F.get_json_object("message", "$.value"))
+    return rounded(taken.unionByName(lost.groupBy("tries").agg(n, total).withColumn("service", F.lit("dead letter"))))
+
+
+def stream_late_rows(spark, d):
+    """The hourly rollup of a replay in which some events come a turn late, with the late ones counted per window."""
+    ev = X.events(spark, d)
+    rows = _samples(ev.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("turn", _turn(ev) + (X._k() % 25 == 3).cast("int")), "turn")
+    path = scratch_path(spark, "late-rollup")
+    table = _replay(spark, rows, LATE_TURNS, "late", lambda stream: J.drain(J.rollup_stream_with_late(stream, "1 hour", "2 minutes"), "late", path))
+    kept, late = table.filter("late = 0").drop("late"), table.filter("late > 0").groupBy("ts", "service").agg(F.sum("late").alias("n_late"))
+    return rounded(kept.join(late, ["ts", "service"], "full").withColumn("n_late", F.coalesce("n_late", F.lit(0).cast("long"))))
+
+
+def stream_burn_rules(spark, d):
+    """Burn rules of both objectives over minutes that come turn by turn; periods still open at the end included."""
+    fx = fixture(spark, d)
+    sli = S.sli_minutes(fx.minutes, PS.LATENCY_MS, STEP)
+    path = scratch_path(spark, "burn-rules")
+    run = lambda stream: J.drain(J.burn_rules_stream(stream, PS.OBJECTIVES, PS.RULES, STEP), "burn-rules", path)
+    events = _replay(spark, sli.withColumn("turn", _turn(sli)), TURNS, "sli", run)
+    return rounded(J.latest_burn_alerts(events, PS.RULES).drop("closed"))
+
+
 def _minute_stream(fx: Fixture):
     path = scratch_path(fx.spark, "closed-minutes")
     fx.rollup.repartition(4, "service").sortWithinPartitions("ts").write.parquet(path)
@@ -164,6 +231,25 @@ QUERIES = {
             "ev",
         ),
     ),
+    "stream_retries": (
+        stream_retries,
+        _sql(
+            """SELECT service, count(*) AS n, round(sum(value::DECIMAL(18,2))::DOUBLE, 6) AS total, NULL::INTEGER AS tries FROM ev WHERE k % 7 < 5 GROUP BY service
+            UNION ALL SELECT 'dead letter', count(*), round(sum(value::DECIMAL(18,2))::DOUBLE, 6), 5 FROM ev WHERE k % 7 >= 5""",
+            "ev",
+        ),
+    ),
+    "stream_late_rows": (
+        stream_late_rows,
+        _sql(
+            "SELECT ts, service, count(*) FILTER (WHERE late) AS n_late, "
+            + ", ".join(f"round({'max' if K.SIGNALS[s] == 'max' else 'avg'}({s}) FILTER (WHERE NOT late), 6) + 0.0 AS {s}" for s in DOUBLES)
+            + ", " + ", ".join(f"(sum({s}) FILTER (WHERE NOT late))::BIGINT AS {s}" for s in ("log_info", "log_warn", "log_error"))
+            + " FROM late_samples GROUP BY 1, 2 HAVING ts + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '2 minutes'",
+            "late_samples",
+        ),
+    ),
+    "stream_burn_rules": (stream_burn_rules, _sql(PS.PERIODS, "periods", "rule_burn")),
     "stream_minute_rollup": (
         stream_minute_rollup,
         _sql(
