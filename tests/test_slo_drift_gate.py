@@ -117,3 +117,30 @@ def test_gate_examples(spark):
     worst = spark.createDataFrame([("web-frontend", 0.6)], "service string, budget_remaining double")
     verdict = {r.candidate_id: r.passed for r in G.gate_verdict(G.gate_checks(cand, f1, worst)).collect()}
     assert verdict == {"clean": True, "latency": False, "errors": False, "weak model": False, "freeze": False, "urgent": True}
+
+
+def test_rule_periods_hold_and_stay_active(spark):
+    """A break restarts the hold; a rule without one fires at once; the last period is active."""
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2026, 1, 1)
+    on = [1, 1, 0, 1, 1, 1, None, 1, 1, 1, 1]
+    rows = spark.createDataFrame([("a", t0 + timedelta(minutes=i), v) for i, v in enumerate(on)], "service string, ts timestamp, v int")
+    got = S.rule_periods(rows, [("held", "page", F.col("v") == 1, 120), ("now", "ticket", F.col("v") == 1, 0)]).collect()
+    minutes = lambda r: tuple(int((x - t0).total_seconds() // 60) for x in (r.started_at, r.fired_at, r.last_true)) + (r.active,)
+    assert sorted(minutes(r) for r in got if r.rule == "held") == [(3, 5, 5, False), (7, 9, 10, True)]
+    assert sorted(minutes(r) for r in got if r.rule == "now") == [(0, 0, 1, False), (3, 3, 5, False), (7, 7, 10, True)]
+
+
+def test_release_freeze_looks_at_closed_steps_only(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2026, 1, 1)
+    at = lambda m: t0 + timedelta(minutes=m)
+    budget = spark.createDataFrame([("a", "x", at(0), 0.5, False), ("a", "x", at(5), 0.1, True)], "service string, slo string, ts timestamp, budget_remaining double, fast_burn boolean")
+    releases = spark.createDataFrame([(at(0), "a", "deploy"), (at(5), "a", "deploy"), (at(6), "a", "deploy"), (at(9), "a", "rollback"), (at(9), "b", "deploy")], "ts timestamp, service string, kind string")
+    got = {(r.service, r.ts, r.kind): (r.budget_remaining, r.fast_burn, r.frozen, r.allowed) for r in S.release_freeze(releases, budget, F.col("kind") == "rollback").collect()}
+    assert got == {
+        ("a", at(0), "deploy"): (None, False, False, True), ("a", at(5), "deploy"): (0.5, False, False, True),
+        ("a", at(6), "deploy"): (0.1, True, True, False), ("a", at(9), "rollback"): (0.1, True, True, True), ("b", at(9), "deploy"): (None, False, False, True),
+    }

@@ -225,6 +225,50 @@ def sustained(burn: DataFrame, condition: Column, hold_s: int, keys: list[str] |
     )
 
 
+def rule_periods(rows: DataFrame, rules: list[tuple[str, str, Column, int]], keys: list[str] | None = None) -> DataFrame:
+    """Periods of alert rules (name, severity, condition, seconds it must hold) over `rows`, one row per key and `ts`.
+
+    A rule fires `hold` seconds after its condition became true, if it is true in every row until then; it is
+    active if the condition still holds in the key's last row. A null condition counts as false. All rules
+    share one sort per key; only rows on which a condition holds go on.
+    """
+    keys = keys or ["service"]
+    listed = F.array(*[
+        F.struct(F.lit(i).alias("no"), F.lit(n).alias("rule"), F.lit(sev).alias("severity"), F.lit(int(hold)).alias("hold_s"), F.coalesce(on, F.lit(False)).alias("on"))
+        for i, (n, sev, on, hold) in enumerate(rules)
+    ])
+    line = Window.partitionBy(*keys).orderBy("ts")
+    # the number of quiet rows so far is the same in all rows of a period
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = rows.withColumn("r", listed).withColumn("newest", F.max("ts").over(Window.partitionBy(*keys)))
+    quiet = F.array(*[F.sum((~F.get("r", F.lit(i))["on"]).cast("long")).over(upto) for i in range(len(rules))])
+    held = marked.withColumn("quiet", quiet).select(*keys, "ts", "newest", F.explode(F.filter("r", lambda r: r["on"])).alias("r"), "quiet")
+    spans = held.withColumn("period", F.get("quiet", F.col("r.no"))).groupBy(*keys, "r.rule", "r.severity", "r.hold_s", "period").agg(
+        F.min("ts").alias("started_at"), F.max("ts").alias("last_true"), F.max("newest").alias("newest")
+    )
+    fired = F.timestamp_seconds(F.unix_seconds("started_at") + F.col("hold_s"))
+    return spans.filter(F.unix_seconds("last_true") - F.unix_seconds("started_at") >= F.col("hold_s")).select(
+        *keys, "rule", "severity", "started_at", fired.alias("fired_at"), "last_true", (F.col("last_true") == F.col("newest")).alias("active")
+    )
+
+
+def release_freeze(releases: DataFrame, budget: DataFrame, urgent: Column, step: int = 60, limit: float = K.BUDGET_FREEZE) -> DataFrame:
+    """Releases (ts, service, ...) against the budget each objective of their service had left when they were made.
+
+    budget: service, slo, ts, budget_remaining, fast_burn. The row that counts is the last one whose step has
+    ended by then, found in one sort of releases and budget rows per service; without any nothing is frozen.
+    """
+    names = F.broadcast(budget.select("service", "slo").distinct())  # one row per service and objective
+    asked = releases.withColumn("urgent", urgent).join(names, "service", "left")
+    columns = asked.columns
+    known = budget.select("service", "slo", shift(F.col("ts"), step).alias("_at"), F.struct("budget_remaining", "fast_burn").alias("_b"))
+    both = asked.withColumns({"_at": F.col("ts"), "_asked": F.lit(1)}).unionByName(known.withColumn("_asked", F.lit(0)), allowMissingColumns=True)
+    line = Window.partitionBy("service", "slo").orderBy("_at", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("_b", F.last("_b", True).over(line)).filter("_asked = 1")
+    frozen = F.coalesce(F.col("_b.budget_remaining") < limit, F.lit(False))
+    return seen.select(*columns, "_b.budget_remaining", F.coalesce("_b.fast_burn", F.lit(False)).alias("fast_burn"), frozen.alias("frozen"), (~frozen | F.col("urgent")).alias("allowed"))
+
+
 def worst_budget(status: DataFrame) -> DataFrame:
     """Service with the least budget left."""
     return status.agg(F.min(F.struct("budget_remaining", "service")).alias("w")).select("w.service", "w.budget_remaining")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil import constants as K
 from vigil.functions import stats
 from vigil.operators import slo as S
 from vigil.plans.common import STEP, Fixture, fixture, r6, rounded, sql
@@ -12,6 +13,8 @@ TARGET = 0.8  # a fifth of the test events are errors
 LATENCY_TARGET, LATENCY_MS = 0.9, 150.0
 OBJECTIVES = [("availability", "bad_availability", TARGET), ("latency", "bad_latency", LATENCY_TARGET)]
 RULES = [("page", 21600, 3600, 1.4), ("page", 86400, 10800, 1.1), ("ticket", 259200, 21600, 0.9)]
+#: Policy rules: both windows above FAST, the day's burn above SLOW for two hours, less than FREEZE of the budget left.
+FAST, SLOW, SLOW_HOLD, FREEZE, BUDGET_ROWS = 1.4, 1.1, 7200, K.BUDGET_FREEZE, 240
 WINDOWS = [3600, 10800, 21600, 86400, 259200]
 
 
@@ -66,6 +69,21 @@ BLOCKS = {
             coalesce((SELECT min(q.ts) FROM rule_burn q WHERE q.service = a.service AND q.slo = a.slo AND q.rule_no = a.rule_no AND q.ts > a.ts AND NOT q.is_on),
               (SELECT max(q.ts) FROM rule_burn q WHERE q.service = a.service AND q.slo = a.slo AND q.rule_no = a.rule_no)) AS end_ts FROM rule_burn a WHERE a.is_on""",
     ),
+    "flags": (
+        ["burn_all", "objectives"],
+        f"""SELECT *, round(burn_21600, 9) > {FAST} AND round(burn_3600, 9) > {FAST} AS fast, round(burn_86400, 9) > {SLOW} AS slow, budget_remaining < {FREEZE} AS low,
+            row_number() OVER (PARTITION BY service, slo ORDER BY ts) AS rn FROM burn_all JOIN
+            (SELECT service, slo, ts, round(1.0 - coalesce(sum(bad) OVER w / nullif(sum(total) OVER w, 0), 0) / (1.0 - target), 9) AS budget_remaining FROM objectives
+              WINDOW w AS (PARTITION BY service, slo ORDER BY ts ROWS BETWEEN {BUDGET_ROWS} PRECEDING AND CURRENT ROW)) USING (service, slo, ts)""",
+    ),
+    # the rules as a machine that walks through the rows and remembers since when each condition holds
+    "rule_machine": (
+        ["flags"],
+        """SELECT service, slo, rn, ts, CASE WHEN fast THEN ts END AS fast_at, CASE WHEN slow THEN ts END AS slow_at, CASE WHEN low THEN ts END AS freeze_at FROM flags WHERE rn = 1
+            UNION ALL
+            SELECT f.service, f.slo, f.rn, f.ts, CASE WHEN f.fast THEN coalesce(m.fast_at, f.ts) END, CASE WHEN f.slow THEN coalesce(m.slow_at, f.ts) END, CASE WHEN f.low THEN coalesce(m.freeze_at, f.ts) END
+            FROM rule_machine m JOIN flags f ON f.service = m.service AND f.slo = m.slo AND f.rn = m.rn + 1""",
+    ),
     "status": (
         ["sli"],
         f"""SELECT service, sum(bad_availability) / sum(total) AS share, min(ts) AS t0, max(ts) AS t1 FROM sli
@@ -149,6 +167,28 @@ def sustained_alert(spark, d):
     return S.sustained(burn, F.col("burn_21600") > 1.2, 7200)
 
 
+def _policy(fx):
+    """Burn rates and budget of both objectives, minute by minute, with the fast-burn flag."""
+    sli, parts = S.sli_minutes(fx.minutes, LATENCY_MS, STEP), []
+    for name, column, target in OBJECTIVES:
+        left = S.rolling_budget(sli, column, target, BUDGET_ROWS).drop("sli")
+        parts.append(S.rolling_burn(sli, column, target, [3600, 21600, 86400]).join(left, ["service", "ts"]).withColumn("slo", F.lit(name)))
+    both = rounded(parts[0].unionByName(parts[1]), 9)
+    return both.withColumn("fast_burn", F.coalesce((F.col("burn_21600") > FAST) & (F.col("burn_3600") > FAST), F.lit(False)))
+
+
+def policy_alerts(spark, d):
+    """Fast burn at once, slow burn once it has held, and the freeze of releases, for both objectives."""
+    rules = [("fast", "page", F.col("fast_burn"), 0), ("slow", "page", F.col("burn_86400") > SLOW, SLOW_HOLD), ("freeze", "ticket", F.col("budget_remaining") < FREEZE, 0)]
+    return S.rule_periods(_policy(fixture(spark, d)), rules, ["service", "slo"])
+
+
+def release_freeze(spark, d):
+    """Every deploy against the budget at its time; rollbacks are urgent."""
+    fx = fixture(spark, d)
+    return rounded(S.release_freeze(fx.deploys, _policy(fx), F.col("kind") == "rollback", STEP, FREEZE))
+
+
 def worst_budget(spark, d):
     return rounded(S.worst_budget(_status(fixture(spark, d))))
 
@@ -220,6 +260,28 @@ QUERIES = {
             "burn",
         ),
     ),
+    "policy_alerts": (
+        policy_alerts,
+        _sql(
+            " UNION ALL ".join(
+                f"""SELECT service, slo, '{rule}' AS rule, '{sev}' AS severity, {rule}_at AS started_at, {rule}_at + to_seconds({hold}) AS fired_at, max(ts) AS last_true,
+                max(ts) = (SELECT max(f.ts) FROM flags f WHERE f.service = m.service AND f.slo = m.slo) AS active
+                FROM rule_machine m WHERE {rule}_at IS NOT NULL GROUP BY service, slo, {rule}_at HAVING max(ts) - {rule}_at >= to_seconds({hold})"""
+                for rule, sev, hold in (("fast", "page", 0), ("slow", "page", SLOW_HOLD), ("freeze", "ticket", 0))
+            ),
+            "rule_machine",
+        ),
+    ),
+    "release_freeze": (
+        release_freeze,
+        _sql(
+            f"""SELECT d.*, d.kind = 'rollback' AS urgent, n.slo, round(f.budget_remaining, 6) + 0.0 AS budget_remaining, coalesce(f.fast, false) AS fast_burn,
+            coalesce(f.low, false) AS frozen, NOT coalesce(f.low, false) OR d.kind = 'rollback' AS allowed
+            FROM deploys d LEFT JOIN (SELECT DISTINCT service, slo FROM flags) n ON n.service = d.service
+            ASOF LEFT JOIN flags f ON f.service = d.service AND f.slo = n.slo AND d.ts >= f.ts + to_seconds({STEP})""",
+            "deploys", "flags",
+        ),
+    ),
     "worst_budget": (
         worst_budget,
         _sql(f"SELECT service, round(1.0 - share / {_ALLOW}, 6) AS budget_remaining FROM status ORDER BY 2, 1 LIMIT 1", "status"),
