@@ -256,7 +256,7 @@ QUERIES = {
         gauges,
         _sql(
             """SELECT round(avg((production = 'unknown')::INT), 6) AS unknown_share, (SELECT max(round(psi, 4)) FROM sig_psi) AS max_psi,
-            (SELECT count(DISTINCT (service, rule_no)) FROM periods WHERE end_ts = (SELECT max(ts) FROM sli)) AS active_burn_alerts FROM preds""",
+            (SELECT count(DISTINCT (service, rule_no)) FROM periods WHERE slo = 'availability' AND end_ts = (SELECT max(ts) FROM sli)) AS active_burn_alerts FROM preds""",
             "preds", "sig_psi", "periods", "sli",
         ),
     ),
