@@ -119,6 +119,41 @@ def test_gate_examples(spark):
     assert verdict == {"clean": True, "latency": False, "errors": False, "weak model": False, "freeze": False, "urgent": True}
 
 
+def test_gate_fails_what_cannot_be_measured(spark):
+    cand = spark.createDataFrame(
+        [(1, True, 0.001, None, 100.0, None, None, False, None), (2, None, 0.001, 0.001, 0.0, 100.0, None, False, None)],
+        "candidate_id int, tests_passed boolean, baseline_error_rate double, candidate_error_rate double, baseline_p95 double, candidate_p95 double,"
+        " model_macro_f1 double, urgent boolean, budget_override double",
+    )
+    checks = G.gate_checks(cand, spark.createDataFrame([(0.97,)], "macro_f1 double"), spark.createDataFrame([("a", 0.6)], "service string, budget_remaining double"))
+    got = {r.candidate_id: (r.passed, r.failed_checks) for r in G.gate_verdict(checks).collect()}
+    assert got == {1: (False, [2, 3]), 2: (False, [1, 3])} and all(r.passed is not None for r in checks.collect())
+
+
+def test_canary_compare_of_recorded_spans(spark):
+    """Two spans each with ends inside; gaps, spans without minutes, reversed and null spans keep their row."""
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2026, 1, 1)
+    at = lambda m: None if m is None else t0 + timedelta(minutes=m)
+    rows = [("a", at(i), i / 100, 100.0 + i) for i in range(20) if i != 3] + [("b", at(i), 0.5, 9.0) for i in range(20)]
+    minutes = spark.createDataFrame(rows, "service string, ts timestamp, error_rate double, latency_p95 double")
+    given = [(1, "a", 0, 4, 10, 12), (2, "a", 0, 4, 2, 8), (3, "a", 5, 4, 10, 12), (4, "a", 3, 3, None, 12), (5, "c", 0, 4, 10, 12), (6, "b", 18, 30, 0, 0)]
+    spans = spark.createDataFrame([(n, s, *map(at, ends)) for n, s, *ends in given],
+                                  "candidate_id int, service string, baseline_start timestamp, baseline_end timestamp, candidate_start timestamp, candidate_end timestamp")
+    got = {r.candidate_id: r for r in G.canary_compare(minutes, spans, ["candidate_id"]).collect()}
+    assert len(got) == len(given)
+
+    def mean(service, begin, end, column):
+        inside = [r[column] for r in rows if begin is not None and end is not None and r[0] == service and at(begin) <= r[1] <= at(end)]
+        return pytest.approx(sum(inside) / len(inside)) if inside else None
+
+    for n, service, b0, b1, c0, c1 in given:
+        r = got[n]
+        assert (r.baseline_error_rate, r.baseline_p95) == (mean(service, b0, b1, 2), mean(service, b0, b1, 3))
+        assert (r.candidate_error_rate, r.candidate_p95) == (mean(service, c0, c1, 2), mean(service, c0, c1, 3))
+
+
 def test_rule_periods_hold_and_stay_active(spark):
     """A break restarts the hold; a rule without one fires at once; the last period is active."""
     from datetime import datetime, timedelta

@@ -26,18 +26,33 @@ def quiet_window(minutes: DataFrame, column: str = "error_rate", rows: int = 120
     return best.select("service", F.col("b.window_start").alias("window_start"), F.col("b.ts").alias("window_end"), F.col("b.deviation").alias("deviation"))
 
 
-def canary_compare(baseline: DataFrame, candidate: DataFrame, window: DataFrame) -> DataFrame:
-    """Mean error rate and p95 of two recorded minute tables over each service's quiet window."""
+def canary_compare(minutes: DataFrame, spans: DataFrame, keys: list[str], step: int = 60) -> DataFrame:
+    """Mean error rate and p95 of two recorded spans per row of `spans`, and what lies between them.
 
-    def means(df: DataFrame, side: str) -> DataFrame:
-        inside = df.join(window, "service").filter((F.col("ts") >= F.col("window_start")) & (F.col("ts") <= F.col("window_end")))
-        return inside.groupBy("service").agg(F.avg("error_rate").alias(f"{side}_error_rate"), F.avg("latency_p95").alias(f"{side}_p95"))
+    spans: keys, service, baseline_start, baseline_end, candidate_start, candidate_end; ends are steps of
+    the minutes and belong to the span. A span is laid out step by step and meets the minutes by equality,
+    so long recordings are not compared with every span of their service. A span that is null or has no
+    recorded minute keeps null means.
+    """
+
+    def laid_out(side: str) -> DataFrame:
+        steps = F.sequence(F.col(f"{side}_start"), F.col(f"{side}_end"), F.expr(f"make_dt_interval(0, 0, 0, {step})"))
+        valid = F.when(F.col(f"{side}_start") <= F.col(f"{side}_end"), steps)
+        return spans.select(*dict.fromkeys([*keys, "service"]), F.lit(side).alias("side"), F.explode(valid).alias("ts"))
+
+    found = laid_out("baseline").unionByName(laid_out("candidate")).join(minutes.select("service", "ts", "error_rate", "latency_p95"), ["service", "ts"])
 
-    both = means(baseline, "baseline").join(means(candidate, "candidate"), "service")
-    return both.select(
+    def mean(column: str, side: str) -> Column:
+        return F.avg(F.when(F.col("side") == side, F.col(column)))
+
+    means = found.groupBy(*keys).agg(
+        mean("error_rate", "baseline").alias("baseline_error_rate"), mean("latency_p95", "baseline").alias("baseline_p95"),
+        mean("error_rate", "candidate").alias("candidate_error_rate"), mean("latency_p95", "candidate").alias("candidate_p95"),
+    )
+    return spans.select(*keys).join(means, keys, "left").select(
         "*",
         ((F.col("candidate_error_rate") - F.col("baseline_error_rate")) * 100.0).alias("error_delta_pp"),
-        (F.col("candidate_p95") / F.col("baseline_p95") - 1.0).alias("p95_delta"),
+        (F.try_divide("candidate_p95", "baseline_p95") - 1.0).alias("p95_delta"),
     )
 
 
@@ -47,18 +62,18 @@ def gate_checks(candidates: DataFrame, production_f1: DataFrame, worst: DataFram
     candidates: candidate_id, tests_passed, baseline_error_rate, candidate_error_rate, baseline_p95,
     candidate_p95, model_macro_f1 (null: unchanged), urgent, budget_override (null: measured).
     production_f1 and worst (service, budget_remaining) have one row and arrive as scalars, so the
-    gate is a projection over the candidates.
+    gate is a projection over the candidates. A check that cannot be measured fails.
     """
     rows = candidates.withColumns({"prod_f1": production_f1.scalar(), "worst": worst.select(F.struct("service", "budget_remaining")).scalar()})
     error_pp = (F.col("candidate_error_rate") - F.col("baseline_error_rate")) * 100.0
-    p95 = F.col("candidate_p95") / F.col("baseline_p95") - 1.0
+    p95 = F.try_divide("candidate_p95", "baseline_p95") - 1.0
     f1 = F.coalesce("model_macro_f1", "prod_f1")
     left = F.coalesce("budget_override", "worst.budget_remaining")
     frozen = left < K.BUDGET_FREEZE
 
     def check(no: int, name: str, passed: Column, value: Column, limit: float, detail: Column) -> Column:
         return F.struct(
-            F.lit(no).alias("check_no"), F.lit(name).alias("check"), passed.alias("passed"), value.cast("double").alias("measured"),
+            F.lit(no).alias("check_no"), F.lit(name).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"), value.cast("double").alias("measured"),
             F.lit(limit).alias("threshold"), detail.alias("detail"),
         )
 

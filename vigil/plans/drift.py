@@ -12,7 +12,8 @@ from vigil.operators import slo as S
 from vigil.plans import classify as PC
 from vigil.plans import features as PF
 from vigil.plans import slo as PS
-from vigil.plans.common import STEP, Fixture, fixture, r6, rounded, sql
+from vigil.plans.common import STEP, fixture, r6, rounded, sql
+from vigil.settings import cut
 from vigil.sources import fixtures as X
 
 QUIET_ROWS = 12
@@ -30,48 +31,61 @@ def _psi_sql(source: str, keys: str, bins: int) -> str:
         GROUP BY {keys}, b) GROUP BY {keys}"""
 
 
+def _quiet_sql(where: str) -> str:
+    return f"""SELECT service, arg_min(w0, (d, ts)) AS window_start, arg_min(ts, (d, ts)) AS window_end, min(d) AS deviation FROM (
+      SELECT service, ts, round(stddev_samp(error_rate) OVER w, 9) AS d, first_value(ts) OVER w AS w0, row_number() OVER (PARTITION BY service ORDER BY ts) - 1 AS i
+      FROM minutes WHERE {where} WINDOW w AS (PARTITION BY service ORDER BY ts ROWS BETWEEN {QUIET_ROWS - 1} PRECEDING AND CURRENT ROW)) WHERE i >= {QUIET_ROWS} GROUP BY service"""
+
+
 BLOCKS = PF._blocks() | PS.BLOCKS | PC.BLOCKS | {
     "items": (
         [],
         f"""SELECT l_returnflag, name, v::DOUBLE AS v, l_shipdate < (SELECT min(l_shipdate) + (max(l_shipdate) - min(l_shipdate)) / 2 FROM lineitem) AS ref
             FROM (UNPIVOT (SELECT l_returnflag, l_shipdate, {', '.join(COLUMNS)} FROM lineitem) ON {', '.join(COLUMNS)} INTO NAME name VALUE v)""",
     ),
+    # the middle of the recording parts what was from what is
+    "middle": (["minutes"], "SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS m FROM minutes"),
     "sig": (
-        ["minutes"],
-        f"""SELECT service, signal, v, ts < TIMESTAMP '2024-01-16' AS ref FROM (UNPIVOT (SELECT ts, service, {', '.join(K.DRIFT_SIGNALS)} FROM minutes) ON {', '.join(K.DRIFT_SIGNALS)} INTO NAME signal VALUE v)""",
+        ["minutes", "middle"],
+        f"""SELECT service, signal, v, ts < (SELECT m FROM middle) AS ref FROM (UNPIVOT (SELECT ts, service, {', '.join(K.DRIFT_SIGNALS)} FROM minutes) ON {', '.join(K.DRIFT_SIGNALS)} INTO NAME signal VALUE v)""",
     ),
     "fea": (
-        ["feats"],
-        f"""SELECT feature, v, "at" < TIMESTAMP '2024-01-16' AS ref FROM (UNPIVOT (SELECT "at", {', '.join(f'round({f}, 9)::DOUBLE AS {f}' for f in K.feature_names())} FROM feats) ON COLUMNS(* EXCLUDE "at") INTO NAME feature VALUE v)""",
+        ["feats", "middle"],
+        f"""SELECT feature, v, "at" < (SELECT m FROM middle) AS ref FROM (UNPIVOT (SELECT "at", {', '.join(f'round({f}, 9)::DOUBLE AS {f}' for f in K.feature_names())} FROM feats) ON COLUMNS(* EXCLUDE "at") INTO NAME feature VALUE v)""",
     ),
     "sig_psi": (["sig"], _psi_sql("sig", "signal, service", 10)),
-    "quiet": (
-        ["minutes"],
-        f"""SELECT service, arg_min(w0, (d, ts)) AS window_start, arg_min(ts, (d, ts)) AS window_end, min(d) AS deviation FROM (
-            SELECT service, ts, round(stddev_samp(error_rate) OVER w, 9) AS d, first_value(ts) OVER w AS w0, row_number() OVER (PARTITION BY service ORDER BY ts) - 1 AS i
-            FROM minutes WINDOW w AS (PARTITION BY service ORDER BY ts ROWS BETWEEN {QUIET_ROWS - 1} PRECEDING AND CURRENT ROW)) WHERE i >= {QUIET_ROWS} GROUP BY service""",
-    ),
+    "quiet": (["minutes"], _quiet_sql("true")),
+    "quiet_early": (["minutes", "middle"], _quiet_sql("ts < (SELECT m FROM middle)")),
+    "quiet_late": (["minutes", "middle"], _quiet_sql("ts >= (SELECT m FROM middle)")),
     "canary": (
-        ["quiet", "minutes"],
-        """SELECT service, avg(error_rate) AS baseline_error_rate, avg(latency_p95) AS baseline_p95, avg(error_rate * 1.01 + 0.001) AS candidate_error_rate, avg(latency_p95 * 1.02) AS candidate_p95
-            FROM minutes JOIN quiet USING (service) WHERE ts BETWEEN window_start AND window_end GROUP BY service""",
+        ["quiet_early", "quiet_late", "minutes"],
+        f"""SELECT s.service, {', '.join(f"avg(m.{c}) FILTER (m.ts BETWEEN s.{p}_start AND s.{p}_end) AS {p}_{n}" for p in ('b', 'c') for c, n in (('error_rate', 'err'), ('latency_p95', 'p95')))}
+            FROM (SELECT e.service, e.window_start AS b_start, e.window_end AS b_end, l.window_start AS c_start, l.window_end AS c_end FROM quiet_early e LEFT JOIN quiet_late l USING (service)) s
+            LEFT JOIN minutes m ON m.service = s.service GROUP BY s.service""",
     ),
     "candidates": (
-        ["ev", "canary", "macro"],
-        f"""SELECT event_id AS candidate_id, k <> 7 AS tests_passed, baseline_error_rate, baseline_p95, baseline_error_rate + (value - 40) / 20000 AS candidate_error_rate,
-            baseline_p95 * (1 + (value - 40) / 500) AS candidate_p95, CASE WHEN k % 3 <> 0 THEN (SELECT macro_f1 FROM macro WHERE model = 'production') + (k - 4) / 100.0::DOUBLE END AS model_macro_f1,
-            k % 2 = 0 AS urgent, CASE WHEN k % 4 = 1 THEN 0.18::DOUBLE END AS budget_override FROM ev JOIN canary USING (service) WHERE event_type = 'signup' AND k < 10""",
+        ["ev", "quiet", "minutes", "macro", "flags"],
+        f"""SELECT d.event_id AS candidate_id, d.k = 0 AS urgent,
+            NOT EXISTS (SELECT 1 FROM ev e WHERE e.user_id = d.user_id AND e.event_type = 'error' AND e.ts::DATE = d.ts::DATE) AS tests_passed,
+            (SELECT avg(error_rate) FROM minutes m WHERE m.service = d.service AND m.ts BETWEEN q.window_start AND q.window_end) AS baseline_error_rate,
+            (SELECT avg(latency_p95) FROM minutes m WHERE m.service = d.service AND m.ts BETWEEN q.window_start AND q.window_end) AS baseline_p95,
+            (SELECT avg(error_rate) FROM minutes m WHERE m.service = d.service AND m.ts > d.ts AND m.ts <= d.ts + to_seconds({QUIET_ROWS * STEP})) AS candidate_error_rate,
+            (SELECT avg(latency_p95) FROM minutes m WHERE m.service = d.service AND m.ts > d.ts AND m.ts <= d.ts + to_seconds({QUIET_ROWS * STEP})) AS candidate_p95,
+            CASE WHEN d.k <> 0 THEN (SELECT macro_f1 FROM macro WHERE model = 'candidate') END AS model_macro_f1,
+            (SELECT min(f.budget_remaining) FROM flags f WHERE f.service = d.service AND f.ts + to_seconds({STEP}) =
+              (SELECT max(g.ts) + to_seconds({STEP}) FROM flags g WHERE g.service = d.service AND g.ts + to_seconds({STEP}) <= d.ts)) AS budget
+            FROM ev d LEFT JOIN quiet q ON q.service = d.service WHERE d.event_type = 'signup' AND d.k < 10""",
     ),
     "checks": (
         ["candidates", "macro", "status"],
-        f"""SELECT candidate_id, check_no, "check", passed, measured, threshold, detail FROM (
+        f"""SELECT candidate_id, check_no, "check", coalesce(passed, false) AS passed, measured, threshold, detail FROM (
             SELECT candidate_id, 1 AS check_no, 'Tests' AS "check", tests_passed AS passed, tests_passed::INT::DOUBLE AS measured, 1.0::DOUBLE AS threshold, 'reported by the CI test job' AS detail FROM candidates
             UNION ALL SELECT candidate_id, 2, 'Canary: error rate', (candidate_error_rate - baseline_error_rate) * 100 <= 0.2, (candidate_error_rate - baseline_error_rate) * 100, 0.2, 'replay of recorded traffic' FROM candidates
             UNION ALL SELECT candidate_id, 3, 'Canary: p95 latency', candidate_p95 / baseline_p95 - 1 <= 0.1, candidate_p95 / baseline_p95 - 1, 0.1, 'replay of recorded traffic' FROM candidates
             UNION ALL SELECT candidate_id, 4, 'Model: macro F1', coalesce(model_macro_f1, f) >= f - 0.02::DOUBLE, coalesce(model_macro_f1, f) - f, -0.02,
               CASE WHEN model_macro_f1 IS NULL THEN 'model unchanged' ELSE 'candidate model evaluated' END FROM candidates, (SELECT macro_f1 AS f FROM macro WHERE model = 'production')
-            UNION ALL SELECT candidate_id, 5, 'Error budget', NOT coalesce(budget_override, w) < 0.25 OR urgent, coalesce(budget_override, w), 0.25,
-              CASE WHEN urgent AND coalesce(budget_override, w) < 0.25 THEN 'urgent release: exempt from the freeze' ELSE 'error budget policy' END
+            UNION ALL SELECT candidate_id, 5, 'Error budget', NOT coalesce(budget, w) < 0.25 OR urgent, coalesce(budget, w), 0.25,
+              CASE WHEN urgent AND coalesce(budget, w) < 0.25 THEN 'urgent release: exempt from the freeze' ELSE 'error budget policy' END
               FROM candidates, (SELECT min(1.0 - share / {1 - PS.TARGET!r}::DOUBLE) AS w FROM status))""",
     ),
     "hist": (
@@ -96,8 +110,14 @@ def psi(spark, d):
     return rounded(R.psi(ref, cur, ["l_returnflag", "name"], "v"))
 
 
+def _middle(fx):
+    """The middle of the recording: what came before is the reference."""
+    ends = F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))
+    return fx.minutes.agg(F.timestamp_micros(F.floor(ends / 2))).scalar()
+
+
 def _signal_drift(fx):
-    cut_at = F.lit("2024-01-16").cast("timestamp")
+    cut_at = _middle(fx)
     return R.signal_drift(fx.minutes.filter(F.col("ts") < cut_at), fx.minutes.filter(F.col("ts") >= cut_at))
 
 
@@ -106,10 +126,8 @@ def signal_drift(spark, d):
 
 
 def _feature_drift(fx):
-    from vigil.settings import cut
-
     rows = cut(rounded(PF._features(fx), 9), "features")
-    cut_at = F.lit("2024-01-16").cast("timestamp")
+    cut_at = _middle(fx)
     return R.feature_drift(rows.filter(F.col("at") < cut_at), rows.filter(F.col("at") >= cut_at), K.feature_names())
 
 
@@ -131,32 +149,41 @@ def quiet_window(spark, d):
 
 
 def _canary(fx):
-    shifted = fx.minutes.withColumns({"error_rate": F.col("error_rate") * 1.01 + 0.001, "latency_p95": F.col("latency_p95") * 1.02})
-    return G.canary_compare(fx.minutes, shifted, G.quiet_window(fx.minutes, rows=QUIET_ROWS))
+    early, late = (G.quiet_window(fx.minutes.filter(side), rows=QUIET_ROWS) for side in (F.col("ts") < _middle(fx), F.col("ts") >= _middle(fx)))
+    named = lambda df, side: df.select("service", F.col("window_start").alias(f"{side}_start"), F.col("window_end").alias(f"{side}_end"))
+    spans = named(early, "baseline").join(named(late, "candidate"), "service", "left")
+    return G.canary_compare(fx.minutes, spans, ["service"], STEP)
 
 
 def canary_compare(spark, d):
-    """Recorded minutes against a second table: the same minutes one percent worse."""
+    """The quietest hours of the second half of the recording against those of the first."""
     return rounded(_canary(fixture(spark, d)))
 
 
 def _candidates(fx):
-    """Every deploy is a candidate whose replay differs by its event value."""
-    k = X._k()
-    f1 = PC.C.macro_f1(PC._both(fx)).filter("model = 'production'").select("macro_f1")
-    ev = X.events(fx.spark, fx.dir).filter((F.col("event_type") == "signup") & (k < 10)).join(_canary(fx), "service")
-    rows = ev.withColumn("f1", f1.scalar()).select(
-        F.col("event_id").alias("candidate_id"),
-        (k != 7).alias("tests_passed"),
-        "baseline_error_rate",
-        "baseline_p95",
-        (F.col("baseline_error_rate") + (F.col("value") - 40) / 20000).alias("candidate_error_rate"),
-        (F.col("baseline_p95") * (1 + (F.col("value") - 40) / 500)).alias("candidate_p95"),
-        F.when(k % 3 != 0, F.col("f1") + (k - 4) / 100.0).alias("model_macro_f1"),
-        (k % 2 == 0).alias("urgent"),
-        F.when(k % 4 == 1, F.lit(0.18)).alias("budget_override"),
+    """Every deploy as a candidate, from what was recorded.
+
+    Canary: the hours after the deploy against the service's quiet window. Tests: no error of the same user
+    on that day. Model: rollbacks leave it as it is, other deploys bring the candidate. Budget: the least of
+    the service's objectives at the time of the deploy. Rollbacks are urgent.
+    """
+    ev = X.events(fx.spark, fx.dir).withColumn("day", F.to_date("ts"))
+    found = ev.filter((F.col("event_type") == "signup") & (X._k() < 10))
+    found = cut(found.select(F.col("event_id").alias("candidate_id"), "user_id", "day", "service", "ts", (X._k() == 0).alias("urgent")), "releases")
+    failed = ev.filter(F.col("event_type") == "error").select("user_id", "day").distinct().withColumn("failed", F.lit(True))
+    quiet = G.quiet_window(fx.minutes, rows=QUIET_ROWS).select("service", F.col("window_start").alias("baseline_start"), F.col("window_end").alias("baseline_end"))
+    begin = F.timestamp_seconds((F.floor(F.unix_seconds("ts") / STEP) + 1) * STEP)
+    end = F.timestamp_seconds((F.floor(F.unix_seconds("ts") / STEP) + QUIET_ROWS) * STEP)
+    spans = found.join(quiet, "service", "left").withColumns({"candidate_start": begin, "candidate_end": end})
+    canary = G.canary_compare(fx.minutes, spans, ["candidate_id"], STEP)
+    budget = S.release_freeze(found, PS._policy(fx), F.col("urgent"), STEP, PS.FREEZE).groupBy("candidate_id").agg(F.min("budget_remaining").alias("budget_override"))
+    f1 = cut(PC.C.macro_f1(PC._both(fx)).select("model", "macro_f1"), "macro")
+    rows = found.join(failed, ["user_id", "day"], "left").join(canary, "candidate_id", "left").join(budget, "candidate_id", "left")
+    rows = rows.withColumn("f1", f1.filter("model = 'candidate'").select("macro_f1").scalar()).select(
+        "candidate_id", F.col("failed").isNull().alias("tests_passed"), "baseline_error_rate", "baseline_p95", "candidate_error_rate", "candidate_p95",
+        F.when(~F.col("urgent"), F.col("f1")).alias("model_macro_f1"), "urgent", "budget_override",
     )
-    return rows, f1
+    return rows, f1.filter("model = 'production'").select("macro_f1")
 
 
 def _checks(fx):
@@ -222,7 +249,7 @@ QUERIES = {
     "canary_compare": (
         canary_compare,
         _sql(
-            "SELECT service, " + r6("baseline_error_rate", "baseline_p95", "candidate_error_rate", "candidate_p95", "(candidate_error_rate - baseline_error_rate) * 100 AS error_delta_pp", "candidate_p95 / baseline_p95 - 1 AS p95_delta") + " FROM canary",
+            "SELECT service, " + r6("b_err AS baseline_error_rate", "b_p95 AS baseline_p95", "c_err AS candidate_error_rate", "c_p95 AS candidate_p95", "(c_err - b_err) * 100 AS error_delta_pp", "c_p95 / b_p95 - 1 AS p95_delta") + " FROM canary",
             "canary",
         ),
     ),
