@@ -112,6 +112,15 @@ def test_call_graph_with_a_cycle_and_a_diamond(spark):
     assert sorted(tuple(r) for r in G.call_closure(calls).collect()) == sorted(ring)
 
 
+def test_calls_of_traces_follow_the_spans(spark):
+    spans = [("t1", 1, "a"), ("t1", 2, "b"), ("t1", 3, "b"), ("t1", 4, "c"), ("t2", 2, "b"), ("t2", 1, "a"), ("t3", 1, "a"), ("t3", 2, "c"), ("t4", 1, "a"), (None, 1, "c"), ("t5", 1, "a"), ("t5", 2, "b")]
+    df = spark.createDataFrame(spans, "trace string, at int, service string")
+    got = lambda share: sorted(tuple(r) for r in G.calls_of_traces(df, ["trace"], ["at"], share).collect())
+    assert got(0.0) == [("a", "b", 3), ("a", "c", 1), ("b", "c", 1)]
+    assert got(0.3) == [("a", "b", 3), ("b", "c", 1)]
+    assert G.calls_of_traces(df.limit(0), ["trace"], ["at"], 0.1).collect() == []
+
+
 def test_alerts_of_one_minute_have_their_own_numbers(spark):
     rows = [(T0, "b", "x"), (T0, "a", "x"), (T0 + timedelta(days=2), "a", "y"), (T0, "a", "w")]
     got = I.number_incidents(spark.createDataFrame(rows, "fired_at timestamp, service string, signal string")).collect()

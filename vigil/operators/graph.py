@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil import constants as K
@@ -19,6 +19,20 @@ def calls_table(spark: SparkSession, calls=K.CALLS) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("s")).select("s.*")
 
 
+def calls_of_traces(spans: DataFrame, trace: list[str], order: list[str], share: float) -> DataFrame:
+    """caller, callee, calls from recorded spans (trace, order, service).
+
+    A span is called by the one before it in its trace, if that is another service's. An edge counts if it
+    makes at least `share` of all calls of its caller. Traces are short, so no task holds more than a few
+    of them at a time; edges are counted before the shuffle.
+    """
+    line = Window.partitionBy(*trace).orderBy(*order)
+    hops = spans.select(F.lag("service").over(line).alias("caller"), F.col("service").alias("callee"))
+    edges = hops.filter("caller <> callee").groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("calls"))
+    total = F.sum("calls").over(Window.partitionBy("caller"))  # one row per pair of services
+    return edges.withColumn("all", total).filter(F.col("calls") >= share * F.col("all")).drop("all")
+
+
 def call_closure(calls: DataFrame) -> DataFrame:
     """caller, callee for every service reachable from the caller, cycles included.
 

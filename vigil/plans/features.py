@@ -13,8 +13,11 @@ from vigil.operators import incidents as I
 from vigil.operators import matching as M
 from vigil.plans.common import STEP, Fixture, fixture, r6, rounded, sql
 from vigil.settings import cut
+from vigil.sources import fixtures as X
 
 SPLIT_DAY = 22
+#: Share of its caller's calls from which a traced edge counts.
+CALL_SHARE = 0.25
 CONTEXT_SIGNALS = ["error_rate", "latency_p99", "request_rate", "memory_utilization", "db_connections_in_use"]
 BEFORE, AFTER = 12 * 3600, 9 * 3600
 
@@ -97,6 +100,13 @@ BLOCKS = {
         """SELECT at, service AS top_span, span_delta, depth FROM (SELECT *, row_number() OVER (PARTITION BY at ORDER BY span_delta DESC, service_order) AS r
             FROM win JOIN svc USING (service) WHERE span_delta IS NOT NULL) WHERE r = 1""",
     ),
+    "hops": (
+        ["ev"],
+        """SELECT caller, callee, count(*) AS n FROM (SELECT t.s[i] AS caller, t.s[i + 1] AS callee
+            FROM (SELECT list(service ORDER BY ts, event_id) AS s FROM ev GROUP BY date_trunc('hour', ts), k) t, unnest(range(1, len(t.s))) u(i)) WHERE caller <> callee GROUP BY 1, 2""",
+    ),
+    "traced": (["hops"], f"SELECT * FROM hops h WHERE n >= {CALL_SHARE} * (SELECT sum(n) FROM hops o WHERE o.caller = h.caller)"),
+    "traced_reach": (["traced"], "SELECT caller, callee FROM traced UNION SELECT r.caller, c.callee FROM traced_reach r JOIN traced c ON c.caller = r.callee"),
     "reach": (["calls"], "SELECT caller, callee FROM calls UNION SELECT r.caller, c.callee FROM reach r JOIN calls c ON c.caller = r.callee"),
     "since": (
         ["probes", "svc", "deploys"],
@@ -165,17 +175,22 @@ def _services(fx: Fixture):
     return G.services_table(fx.spark)
 
 
+def _traced_calls(fx: Fixture):
+    """Events of one hour with one k are the spans of a trace; edges of a quarter of a caller's calls or more."""
+    ev = X.events(fx.spark, fx.dir).select("service", "ts", "event_id", X._k().alias("k"), F.date_trunc("hour", "ts").alias("hour"))
+    return cut(G.calls_of_traces(ev, ["hour", "k"], ["ts", "event_id"], CALL_SHARE), "calls")
+
+
 def call_closure(spark, d):
-    """Everything each service depends on, with the errors seen there."""
+    """Everything each service depends on in the recorded traces, with direct calls and the errors seen there."""
     fx = fixture(spark, d)
     errors = fx.raw.groupBy("service").agg(F.sum("log_error").alias("callee_errors"))
-    calls = G.calls_table(spark)
-    direct = calls.select("caller", "callee", F.lit(True).alias("direct"))
+    calls = _traced_calls(fx)
     return (
         G.call_closure(calls)
-        .join(direct, ["caller", "callee"], "left")
+        .join(calls, ["caller", "callee"], "left")
         .join(errors.withColumnRenamed("service", "callee"), "callee")
-        .select("caller", "callee", F.coalesce("direct", F.lit(False)).alias("direct"), "callee_errors")
+        .select("caller", "callee", F.coalesce("calls", F.lit(0)).alias("calls"), "callee_errors")
     )
 
 
@@ -317,9 +332,9 @@ def queries() -> dict:
         "call_closure": (
             call_closure,
             _sql(
-                """SELECT r.caller, r.callee, EXISTS (SELECT 1 FROM calls c WHERE c.caller = r.caller AND c.callee = r.callee) AS direct, e.n AS callee_errors
-                FROM reach r JOIN (SELECT service, sum(log_error)::BIGINT AS n FROM raw GROUP BY 1) e ON e.service = r.callee""",
-                "reach", "raw",
+                """SELECT r.caller, r.callee, coalesce((SELECT c.n FROM traced c WHERE c.caller = r.caller AND c.callee = r.callee), 0) AS calls, e.n AS callee_errors
+                FROM traced_reach r JOIN (SELECT service, sum(log_error)::BIGINT AS n FROM raw GROUP BY 1) e ON e.service = r.callee""",
+                "traced_reach", "raw",
             ),
         ),
         "fault_windows": (
