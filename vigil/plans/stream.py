@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from vigil import constants as K
 from vigil.operators import baseline as B
+from vigil.operators import drift as R
 from vigil.operators import incidents as I
 from vigil.operators import matching as M
 from vigil.operators import slo as S
@@ -36,6 +37,13 @@ BLOCKS = PR.BLOCKS | {
         "SELECT p.turn, (SELECT max(q.ts) FROM turns q WHERE q.turn < p.turn) - INTERVAL '2 minutes' AS mark FROM (SELECT DISTINCT turn FROM turns) p",
     ),
 }
+# every day of the second half with all rows up to it, and the reference
+BLOCKS["days_sig"] = (
+    ["minutes", "middle"],
+    f"""SELECT d.day, s.service, s.signal, s.v, s.ts < (SELECT m FROM middle) AS ref FROM (SELECT DISTINCT ts::DATE AS day FROM minutes WHERE ts >= (SELECT m FROM middle)) d
+        JOIN (UNPIVOT (SELECT ts, service, {', '.join(K.DRIFT_SIGNALS)} FROM minutes) ON {', '.join(K.DRIFT_SIGNALS)} INTO NAME signal VALUE v) s
+        ON s.ts < (SELECT m FROM middle) OR s.ts::DATE <= d.day""",
+)
 BLOCKS["late_samples"] = (
     ["turns", "marks"],
     BLOCKS["samples"][1].replace("SELECT ts, service,", "SELECT date_trunc('hour', ts) AS ts, coalesce(date_trunc('hour', ts) + INTERVAL '1 hour' <= mark, false) AS late, service,")
@@ -141,6 +149,19 @@ def stream_burn_rules(spark, d):
     return rounded(J.latest_burn_alerts(events, PS.RULES).drop("closed"))
 
 
+def stream_daily_drift(spark, d):
+    """PSI of every signal and service after each day of the second half, from counts that each start adds to."""
+    fx, keys = fixture(spark, d), ["signal", "service"]
+    middle = PR._middle(fx)
+    late = fx.minutes.filter(F.col("ts") >= middle)
+    before = fx.minutes.filter(F.col("ts") < middle).unpivot(["service"], K.DRIFT_SIGNALS, "signal", "value")
+    edges = cut(R.bin_edges(before, keys, "value"), "edges")
+    path = scratch_path(spark, "daily-drift")
+    long = lambda stream: stream.unpivot(["ts", "service"], K.DRIFT_SIGNALS, "signal", "value")
+    counts = _replay(spark, late.withColumn("turn", _turn(late)), TURNS, "days", lambda stream: J.drift_counts(long(stream), edges, keys, "value", path))
+    return R.drift_by_day(edges, R.bin_counts(before, edges, keys, "value"), counts, keys)
+
+
 def _minute_stream(fx: Fixture):
     path = scratch_path(fx.spark, "closed-minutes")
     fx.rollup.repartition(4, "service").sortWithinPartitions("ts").write.parquet(path)
@@ -249,6 +270,10 @@ QUERIES = {
             "late_samples",
         ),
     ),
+    "stream_daily_drift": (
+        stream_daily_drift,
+        _sql("SELECT day, signal, service, round(psi, 4) + 0.0 AS psi, " + PR._LEVEL + " FROM (" + PR._psi_sql("days_sig", "day, signal, service", 10) + ")", "days_sig"),
+    ),
     "stream_burn_rules": (stream_burn_rules, _sql(PS.PERIODS, "periods", "rule_burn")),
     "stream_minute_rollup": (
         stream_minute_rollup,

@@ -1,4 +1,4 @@
-"""Streaming forms of ingest, rollup, baseline, alerts, burn rate and burn rules.
+"""Streaming forms of ingest, rollup, baseline, alerts, burn rate, burn rules and drift counts.
 
 Each job reads a table as a stream and writes a table, so a stage can be restarted alone and the next
 one streams from what it wrote. Given the same rows a job writes what its batch operator computes.
@@ -22,6 +22,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from vigil import constants as K
 from vigil.operators.baseline import ewma_step
+from vigil.operators.drift import bin_counts
 from vigil.operators.slo import EXACT, rules_array
 from vigil.settings import scratch_path
 
@@ -491,3 +492,27 @@ def latest_burn_alerts(events: DataFrame, rules=K.BURN_RULES) -> DataFrame:
     newest = F.max_by(F.struct("end", "peak_long", "closed"), F.struct("end", "closed")).alias("p")
     last = events.groupBy("service", "slo", "rule_no", "start").agg(newest).withColumn("r", F.get(rules_array(rules), F.col("rule_no")))
     return last.select("service", "slo", "r.severity", "r.long_s", "r.short_s", "r.threshold", "start", F.col("p.end").alias("end"), "p.peak_long", "p.closed")
+
+
+# ------------------------------------------------------------------ drift
+
+
+def drift_counts(rows: DataFrame, edges: DataFrame, keys: list[str], value: str, path: str, time: str = "ts", bins: int = 10) -> DataFrame:
+    """Rows per key, day and bin of the reference's edges, kept below `path`; returns all counts so far.
+
+    Every call reads only rows that came since the last one, as a daily job does. A batch writes its
+    counts to a folder named after it and replaces them when it is repeated, so a restart neither loses nor
+    doubles rows; a day that comes in several batches has several counts (drift_by_day adds them up).
+    """
+    spark = rows.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        days = batch.withColumn("day", F.to_date(time))
+        bin_counts(days, edges, keys, value, bins, ["day"]).write.mode("overwrite").parquet(f"{path}/counts/batch={number:09d}")
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    kinds = [rows.schema[k] for k in keys]
+    schema = T.StructType([*kinds, T.StructField("day", T.DateType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
+    done = [f"{path}/counts/{name}" for name in _folders(spark, f"{path}/counts")]
+    return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
