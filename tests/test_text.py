@@ -144,3 +144,36 @@ def test_nested_numbers_without_a_value_are_null_in_json(spark):
     nan = float("nan")
     df = spark.createDataFrame([(nan, {"x": nan, "y": [1.0, nan]}, {"k": float("inf")}, None)], "a double, s struct<x: double, y: array<double>>, m map<string, double>, z struct<x: double>")
     assert json.loads(df.select(json_value(df).alias("v")).collect()[0].v) == {"a": None, "s": {"x": None, "y": [1.0, None]}, "m": {"k": None}, "z": None}
+
+
+def test_context_steers_the_search_only(spark):
+    """The context picks the chunk; coverage and citations go by the question; without context nothing changes."""
+    texts = [("c1", "d1", "Pools", "Check", "Restart the worker when connections run out."), ("c2", "d2", "Memory", "Check", "Restart the worker when memory climbs."),
+             ("c3", "d3", "Other", "Notes", "Nothing of use.")]
+    chunks = spark.createDataFrame([(*t, t[4]) for t in texts], "chunk_id string, doc_id string, title string, section string, text string, content string")
+    index = R.build_index(chunks.withColumnRenamed("chunk_id", "id"), C.embed_text())
+    asked = [("q1", "When restart the worker?", None), ("q2", "When restart the worker?", "connections pools"), ("q3", "When restart the worker?", "memory climbs"), ("q4", "unseen words", "memory")]
+    questions = spark.createDataFrame(asked, "id string, question string, context string")
+    got = {r.id: r for r in R.answer_incidents(index, chunks, questions, 1, 0.0, 1, 0.5).collect()}
+    assert got["q2"].retrieved == ["c1"] and got["q2"].cited_docs == ["d1"] and got["q3"].retrieved == ["c2"] and got["q3"].cited_docs == ["d2"]
+    assert got["q4"].refused and got["q4"].note.startswith("only 0%") and got["q4"].retrieved == ["c2"]
+    plain = R.answer_incidents(index, chunks, questions.withColumn("context", F.lit(None).cast("string")), 1, 0.0, 1, 0.5).collect()
+    same = {r.id: (r.retrieved, r.answer) for r in plain}
+    assert same["q1"] == same["q2"] == same["q3"] == (got["q1"].retrieved, got["q1"].answer)
+
+
+def test_held_out_report_uses_the_chosen_thresholds(spark):
+    facts = spark.createDataFrame(
+        [(f"q{i}", "question", ["w"], score, 1.0, [f"c{i}"]) for i, score in enumerate([0.9, 0.9, 0.2, 0.2, 0.9, 0.2])],
+        "id string, question string, words array<string>, top_score double, coverage double, retrieved array<string>",
+    )
+    candidates = spark.createDataFrame([(f"q{i}", f"c{i}", f"d{i}", 1, 0, f"Sentence {i}", 1 + (i != 4), 1.0) for i in range(6)],
+                                       "query_id string, item_id string, doc_id string, rank int, position int, sentence string, overlap int, value double")
+    questions = spark.createDataFrame([(f"q{i}", i not in (2, 3), "dev" if i % 2 else "test") for i in range(6)], "id string, answerable boolean, half string")
+    expected = spark.createDataFrame([(f"q{i}", f"d{i}") for i in (0, 1, 5)], "id string, doc_id string")
+    report = lambda *t: {r.scope: r for r in R.held_out_refusal(facts, candidates, questions, expected, spark.createDataFrame([t], "min_score double, min_overlap int, min_coverage double")).collect()}
+    strict = report(0.5, 2, 0.5)
+    assert (strict["test"].correct_refusal_rate, strict["test"].false_refusal_rate, strict["test"].answered, strict["test"].citation_accuracy) == (1.0, 0.5, 1, 1.0)
+    assert (strict["all"].correct_refusal_rate, strict["all"].false_refusal_rate, strict["all"].answered) == (1.0, 0.5, 2)
+    loose = report(0.0, 1, 0.0)
+    assert (loose["test"].correct_refusal_rate, loose["test"].false_refusal_rate, loose["test"].answered, loose["test"].citation_accuracy, loose["test"].min_overlap) == (0.0, 0.0, 2, 0.5, 1)

@@ -248,7 +248,7 @@ def candidate_sentences(index: TextIndex, chunks: DataFrame, questions: DataFram
     return rows.join(similar, key, "left").withColumn("value", F.round(value, 9))
 
 
-def select_sentences(candidates: DataFrame, min_overlap: int, keep: int = 3, near: float = 0.75) -> DataFrame:
+def select_sentences(candidates: DataFrame, min_overlap: int | Column, keep: int = 3, near: float = 0.75) -> DataFrame:
     """Best sentences per question, back in document order, each citing its chunk."""
     fit = candidates.filter(F.col("overlap") >= min_overlap)
     line = Window.partitionBy("query_id")  # sentences of k chunks
@@ -267,8 +267,11 @@ def select_sentences(candidates: DataFrame, min_overlap: int, keep: int = 3, nea
     )
 
 
-def answer(facts: DataFrame, selected: DataFrame, min_score: float, min_coverage: float) -> DataFrame:
-    """One answer per question: refused or cited sentences, with the reason for a refusal."""
+def answer(facts: DataFrame, selected: DataFrame, min_score: float | Column, min_coverage: float | Column) -> DataFrame:
+    """One answer per question: refused or cited sentences, with the reason for a refusal.
+
+    Thresholds may be scalars of a stored choice (choose_refusal).
+    """
     rows = facts.join(selected, facts["id"] == selected["query_id"], "left").drop("query_id")
     problem = X.verify_citations(F.col("sentences"), F.col("retrieved"))
     percent = F.format_string("%.0f%%", F.bround(F.col("coverage") * 100, 0))
@@ -287,6 +290,22 @@ def answer(facts: DataFrame, selected: DataFrame, min_score: float, min_coverage
     )
 
 
+def with_context(questions: DataFrame) -> DataFrame:
+    """What is searched for: the question, followed by the context of its incident where there is one."""
+    return questions.withColumn("question", F.concat_ws(" ", "question", "context"))
+
+
+def answer_incidents(index: TextIndex, chunks: DataFrame, questions: DataFrame, k: int, min_score: float, min_overlap: int, min_coverage: float) -> DataFrame:
+    """Answers to questions (id, question, context) about incidents.
+
+    Chunks are retrieved for question and context; coverage and sentences go by the question alone, so an
+    incident steers what is read and not what counts as an answer. A null context changes nothing.
+    """
+    hits = cut(topk(index, cut(query_vectors(index, with_context(questions)), "qvec"), k), "hits")
+    candidates = cut(candidate_sentences(index, chunks, questions, hits, cut(query_vectors(index, questions), "qvec")), "candidates")
+    return answer(question_facts(chunks, questions, hits), select_sentences(candidates, min_overlap), min_score, min_coverage)
+
+
 def answer_metrics(answers: DataFrame, questions: DataFrame, expected: DataFrame) -> DataFrame:
     """Refusal and citation rates; null when there is nothing to average."""
     cited = (
@@ -387,3 +406,19 @@ def choose_refusal(tuning: DataFrame) -> DataFrame:
     """Best balance; ties go to the least aggressive settings."""
     order = F.struct(F.round("balanced", 9), -F.col("min_score"), -F.col("min_coverage"), -F.col("min_overlap"))
     return tuning.agg(F.max_by(F.struct(*tuning.columns), order).alias("t")).select("t.*")
+
+
+def held_out_refusal(facts: DataFrame, candidates: DataFrame, questions: DataFrame, expected: DataFrame, chosen: DataFrame) -> DataFrame:
+    """answer_metrics of the half `test` and of all questions at the thresholds chosen on the half `dev`.
+
+    questions: id, answerable, half; chosen: one stored row with min_score, min_overlap, min_coverage.
+    Result: scope, the thresholds, and the metrics.
+    """
+    at = {c: chosen.select(c).scalar() for c in ("min_score", "min_overlap", "min_coverage")}
+    answers = cut(answer(facts, select_sentences(candidates, at["min_overlap"]), at["min_score"], at["min_coverage"]), "answers")
+    test = questions.filter("half = 'test'")
+    parts = [
+        answer_metrics(answers.join(test.select("id"), "id", "left_semi"), test, expected).withColumn("scope", F.lit("test")),
+        answer_metrics(answers, questions, expected).withColumn("scope", F.lit("all")),
+    ]
+    return parts[0].unionByName(parts[1]).withColumns(at)

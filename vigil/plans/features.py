@@ -68,6 +68,8 @@ _EVIDENCE = [
     ("Frontend p99 vs baseline", f"{_signed('web_latency_p99_delta * 100', 0, '+')} || '%'", "web_latency_p99_delta >= 0.5"),
 ]
 _NOTED = "concat_ws(' ', " + ", ".join(f"CASE WHEN {c} THEN '{n} ' || {v} || '.' END" for n, v, c in _EVIDENCE) + ")"
+CONTEXT_SQL = f"""concat_ws(' ', 'Service ' || coalesce(culprit, '') || '.', CASE WHEN rules_prediction <> 'unknown' THEN 'Predicted category ' || replace(rules_prediction, '_', ' ') || '.'
+    ELSE 'Unclassified alert.' END, {_NOTED})"""
 
 BLOCKS = {
     "probes": (
@@ -148,11 +150,14 @@ def _blocks() -> dict:
     return BLOCKS | {"probs": MODEL_BLOCKS["probs"], "scored": MODEL_BLOCKS["scored"]}
 
 
-def _sql(body: str, *needs: str) -> str:
-    text = sql(body, *needs, blocks=_blocks())
+def quoted(text: str) -> str:
     return re.sub(r'(?<![\w."])at(?![\w"])', '"at"', text)  # `at` is a keyword in DuckDB
 
 
+def _sql(body: str, *needs: str) -> str:
+    return quoted(sql(body, *needs, blocks=_blocks()))
+
+
 def _probes(fx: Fixture):
     alerts = fx.alerts.select(
         F.concat(F.lit("A"), F.unix_seconds("fired_at").cast("string")).alias("probe_id"), F.col("fired_at").alias("at"), F.col("service").alias("culprit")
@@ -415,8 +420,7 @@ def queries() -> dict:
         "incident_text": (
             incident_text,
             _sql(
-                f"""SELECT probe_id, concat_ws(' ', 'Service ' || coalesce(culprit, '') || '.', CASE WHEN rules_prediction <> 'unknown' THEN 'Predicted category ' || replace(rules_prediction, '_', ' ') || '.'
-                ELSE 'Unclassified alert.' END, {_NOTED}) AS context FROM ruled""",
+                f"SELECT probe_id, {CONTEXT_SQL} AS context FROM ruled",
                 "ruled",
             ),
         ),

@@ -6,12 +6,16 @@ documents that contain them; user turns of conversations are questions nothing a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from vigil import constants as K
 from vigil.functions import text as X
+from vigil.operators import incidents as I
 from vigil.operators import nearest as N
 from vigil.operators import retrieval as R
+from vigil.plans import features as PF
 from vigil.plans.common import STORED, Fixture, fixture, r6, rounded, sql
 from vigil.settings import cut
 from vigil.sources import corpus as C
@@ -115,6 +119,37 @@ BLOCKS = {
 }
 
 
+# thresholds chosen on one half of the questions, and the answers they give
+BLOCKS["chosen"] = (
+    ["grid"],
+    "SELECT min_score, min_overlap, min_coverage FROM grid ORDER BY round(correct + (1 - wrong), 9) DESC, min_score, min_coverage, min_overlap LIMIT 1",
+)
+BLOCKS["chosen_picked"] = (["cands", "chosen"], BLOCKS["picked"][1].replace(f"overlap >= {MIN_OVERLAP}", "overlap >= (SELECT min_overlap FROM chosen)"))
+BLOCKS["chosen_answers"] = (
+    ["facts", "chosen_picked", "chosen"],
+    BLOCKS["answers"][1].replace("FROM picked", "FROM chosen_picked").replace(f"< {MIN_SCORE}", "< (SELECT min_score FROM chosen)").replace(f"< {MIN_COVERAGE}", "< (SELECT min_coverage FROM chosen)"),
+)
+# the same search and answers for questions about incidents: only the search sees the context
+_CHAIN = ["qcounts", "qvec", "sims", "hits", "top4", "facts", "sents", "scounts", "svec", "cands", "picked", "answers"]
+
+
+def _asked_blocks() -> dict:
+    def named(text: str) -> str:
+        return re.sub(r"\b(" + "|".join([*_CHAIN, "questions"]) + r")\b", lambda m: "asked" if m[1] == "questions" else f"asked_{m[1]}", text)
+
+    found = {f"asked_{n}": ([named(x) for x in BLOCKS[n][0]], named(BLOCKS[n][1])) for n in _CHAIN}
+    found["asked"] = (
+        ["ruled", "questions"],
+        f"""SELECT q.id || '@' || r.probe_id AS id, q.question, q.answerable, r.context FROM
+            (SELECT probe_id, {PF.CONTEXT_SQL} AS context, row_number() OVER (ORDER BY probe_id) - 1 AS i FROM ruled WHERE probe_id LIKE 'A%') r
+            JOIN (SELECT *, row_number() OVER (ORDER BY id) - 1 AS j, count(*) OVER () AS n FROM questions) q ON q.j = r.i % q.n""",
+    )
+    found["search_counts"] = (["asked"], _terms_sql("asked", "id", "concat_ws(' ', question, context)"))
+    found["search_vec"] = (["search_counts", "idf"], _norm_sql("search_counts", "id"))
+    found["asked_sims"] = (["search_vec", "vectors"], BLOCKS["sims"][1].replace("qvec", "search_vec"))
+    return {n: (needs, PF.quoted(text)) for n, (needs, text) in PF._blocks().items()} | BLOCKS | found
+
+
 def _sql(body: str, *needs: str) -> str:
     return sql(body, *needs, blocks=BLOCKS)
 
@@ -303,6 +338,36 @@ def choose_refusal(spark, d):
     return rounded(R.choose_refusal(_tuning(spark, d)))
 
 
+def refusal_report(spark, d):
+    """Thresholds tuned on one half of the questions, reported on the other and on all."""
+    t = text(spark, d)
+    halves = cut(R.alternate_halves(t.questions).select("id", "answerable", "half"), "halves")
+    dev, facts, candidates = halves.filter("half = 'dev'"), cut(t.facts(), "facts"), t.candidates()
+    tuning = R.tune_refusal(facts.join(dev.select("id"), "id", "left_semi"), candidates, dev)
+    return rounded(R.held_out_refusal(facts, candidates, halves, t.expected, cut(R.choose_refusal(tuning), "chosen")))
+
+
+def _asked(t: Text):
+    """Every alert with one of the questions, dealt in turn, and the sentences that describe it."""
+    ruled = I.rules_classify(PF._features(t.fx)).filter("probe_id LIKE 'A%'")
+    told = cut(ruled.select("probe_id", I.incident_text(F.col("culprit"), F.col("rules_prediction"), I.evidence()).alias("context")), "told")
+    questions = cut(t.questions.select("id", "question"), "questions")
+    size = questions.agg(F.count(F.lit(1))).scalar()
+    placed = R.number_by(told, "probe_id").withColumn("position", F.pmod("position", size))
+    pairs = placed.join(R.number_by(questions, "id"), "position")
+    return cut(pairs.select(F.concat("id", F.lit("@"), "probe_id").alias("id"), "question", "context"), "asked")
+
+
+def incident_answers(spark, d):
+    """Questions about alerts: the alert's description steers what is retrieved."""
+    t = text(spark, d)
+    found = R.answer_incidents(t.index, t.chunks, _asked(t), 4, MIN_SCORE, MIN_OVERLAP, MIN_COVERAGE)
+    return found.select("id", "refused", "answer", F.array_join("retrieved", ",").alias("retrieved"), F.array_join(F.array_sort("cited_docs"), ",").alias("cited_docs"), "note")
+
+
+_REPORT = """round(avg((note <> '')::INT) FILTER (NOT answerable), 6) AS correct_refusal_rate, round(avg((note <> '')::INT) FILTER (answerable), 6) AS false_refusal_rate,
+    round(avg((len(list_intersect(docs, e)) = len(docs))::INT) FILTER (answerable AND note = ''), 6) AS citation_accuracy,
+    round(avg((len(list_intersect(docs, e)) > 0)::INT) FILTER (answerable AND note = ''), 6) AS cites_expected_doc, count(*) FILTER (answerable AND note = '') AS answered"""
 _METRICS = f"{r6('correct AS correct_refusal_rate', 'wrong AS false_refusal_rate', 'correct + (1 - wrong) AS balanced')}"
 QUERIES = {
     "load_documents": (
@@ -369,4 +434,22 @@ QUERIES = {
         choose_refusal,
         _sql(f"SELECT min_score, min_overlap, min_coverage, {_METRICS} FROM grid ORDER BY round(correct + (1 - wrong), 9) DESC, min_score, min_coverage, min_overlap LIMIT 1", "grid"),
     ),
+    "refusal_report": (
+        refusal_report,
+        _sql(
+            f"""WITH rows AS (SELECT a.*, e.e, (row_number() OVER (ORDER BY a.id) - 1) % 2 = 0 AS dev FROM chosen_answers a LEFT JOIN (SELECT id, list(doc_id) AS e FROM expected GROUP BY id) e USING (id))
+            SELECT scope, {_REPORT}, (SELECT min_score FROM chosen) AS min_score, (SELECT min_overlap FROM chosen) AS min_overlap, (SELECT min_coverage FROM chosen) AS min_coverage
+            FROM (SELECT *, 'all' AS scope FROM rows UNION ALL SELECT *, 'test' FROM rows WHERE NOT dev) GROUP BY scope""".replace("WITH rows AS (", "SELECT * FROM (WITH rows AS (", 1) + ")",
+            "chosen_answers", "expected",
+        ),
+    ),
+    "incident_answers": (
+        incident_answers,
+        sql(
+            f"""SELECT id, note <> '' AS refused, CASE WHEN note <> '' THEN '{K.REFUSAL.replace("'", "''")}' ELSE answer END AS answer,
+            coalesce((SELECT string_agg(chunk_id, ',' ORDER BY rank) FROM asked_hits h WHERE h.id = a.id AND rank <= 4), '') AS retrieved,
+            CASE WHEN note = '' THEN array_to_string(list_sort(docs), ',') END AS cited_docs, note FROM asked_answers a""",
+            "asked_answers", "asked_hits", blocks=_asked_blocks(),
+        ),
+    ),
 }
