@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from vigil import constants as K
@@ -165,3 +166,29 @@ def test_row_numbers_cross_days(spark):
     times = spark.range(3000).select(F.timestamp_seconds(F.col("id") * 613).alias("ts"))
     got = [r.rn for r in R.number_rows(times).orderBy("ts").collect()]
     assert got == list(range(3000))
+
+
+def test_quantile_curve_matches_a_plain_loop(spark):
+    """Thresholds are the exact quantiles of the scores; equal quantiles are one setting."""
+    rng = np.random.default_rng(11)
+    values = [round(float(v), 2) for v in rng.gamma(1.0, 2.0, 240)] + [9.0] * 60
+    df = scores(spark, values)
+    faults = spark.createDataFrame(
+        [("F1", 1, "memory_leak", "api-gateway", T0 + timedelta(minutes=40), T0 + timedelta(minutes=60)), ("F2", 2, "memory_leak", "api-gateway", T0 + timedelta(minutes=235), T0 + timedelta(minutes=299))],
+        "fault_id string, fault_order int, category string, service string, start timestamp, end timestamp",
+    )
+    probs, runs = [0.5, 0.7, 0.85, 0.9, 0.999], [1, 2, 3]
+    limits = {}
+    for p in probs:
+        limits.setdefault(float(np.quantile(values, p)), p)
+    assert len(limits) < len(probs)
+    curve = A.quantile_curve(df, faults, probs, runs, 1.0).collect()
+    assert len(curve) == len(limits) * len(runs)
+    for r in curve:
+        assert abs(np.quantile(values, r.quantile) - r.threshold) < 1e-12 and r.quantile in limits.values()
+        assert r.alerts == len(by_hand(values, r.threshold, r.consecutive, K.COOLDOWN_ROWS))
+    chosen = [r for r in curve if r.chosen]
+    enough = [r for r in curve if r.recall >= min(0.93, max(x.recall for x in curve))]
+    assert len(chosen) == 1 and chosen[0].false_alerts_per_day == min(r.false_alerts_per_day for r in enough) and chosen[0] in enough
+    with pytest.raises(ValueError):
+        A.quantile_curve(df.limit(0), faults, probs, runs, 1.0)

@@ -48,6 +48,9 @@ STD_FLOOR = {
     "db_connections_in_use": (2.0, 0.0),
 }
 EWMA_ALPHA = 0.03
+# ---- fixed values: thresholds of the sweep over EWMA scores, and quantiles of forest scores that are its thresholds
+EWMA_THRESHOLDS = [3, 4, 5, 6, 7, 8, 10, 12, 14, 18, 24]
+FOREST_QUANTILES = [0.95, 0.97, 0.98, 0.99, 0.995, 0.998, 0.999]
 EWMA_WARM_ROWS = 30
 EWMA_CLIP = 4.0
 COOLDOWN_ROWS = 5

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil import constants as K
+from vigil.functions.stats import exact_quantiles
+from vigil.settings import cut
 
 SETTING = ["threshold", "consecutive"]
 
@@ -124,6 +126,36 @@ def detection_curve(
     )
 
 
+def score_limits(scores: DataFrame, probs: list[float]) -> dict[float, float]:
+    """Exact quantiles of a score as thresholds, each with its least probability; equal ones count once.
+
+    One number per probability reaches the driver, and no task gathers the scores (exact_quantiles).
+    """
+    found = exact_quantiles(scores, [], "score", sorted(probs)).select("q").collect()
+    limits: dict[float, float] = {}
+    for p, t in zip(sorted(probs), found[0]["q"] if found else [], strict=False):
+        limits.setdefault(t, p)
+    return limits
+
+
+def quantile_curve(
+    scores: DataFrame, faults: DataFrame, probs: list[float], consecutive: list[int], days: float, step: int = 60, timeline: DataFrame | None = None,
+    min_recall: float = 0.93,
+) -> DataFrame:
+    """detection_curve at quantiles of the scores, with `quantile` and whether a setting is the operating point.
+
+    For detectors whose scores have no scale of their own. Without any score there is no threshold, which is an error.
+    """
+    limits = score_limits(scores, probs)
+    if not limits:
+        raise ValueError("no scores to take quantiles of")
+    alerts = cut(runs_to_alerts(scores, list(limits), consecutive, timeline), "quantile-alerts")
+    curve = cut(detection_curve(alerts, faults, list(limits), consecutive, days, step), "curve")
+    named = F.create_map(*[F.lit(x) for t, p in limits.items() for x in (t, p)])
+    best = operating_point(curve, min_recall).select("setting_no").scalar()
+    return curve.select(F.element_at(named, F.col("threshold")).alias("quantile"), "*", (F.col("setting_no") == best).alias("chosen"))
+
+
 def operating_point(curve: DataFrame, min_recall: float = 0.93) -> DataFrame:
     """Fewest false alerts among settings with enough recall (else the best recall), then the fastest."""
     best = curve.agg(F.max("recall")).scalar()

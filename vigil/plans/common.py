@@ -19,7 +19,7 @@ from vigil.settings import cut
 from vigil.sources import fixtures as X
 
 THRESHOLD, CONSECUTIVE = 3.0, 2
-SWEEP_T, SWEEP_N = [2.0, 2.5, 3.0, 3.5, 4.0, 5.0], [1, 2, 3]
+SWEEP_T, SWEEP_N = [float(t) for t in K.EWMA_THRESHOLDS], [1, 2, 3]
 DAYS = 30.0
 STEP = X.GRAIN
 

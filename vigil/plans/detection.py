@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil import constants as K
+from vigil.functions.stats import exact_quantiles
 from vigil.operators import alerts as A
 from vigil.operators import baseline as B
 from vigil.operators import matching as M
@@ -128,10 +129,9 @@ def operating_point(spark, d):
 
 
 def score_quantiles(spark, d):
-    fx = fixture(spark, d)
-    probs = [0.95, 0.97, 0.98, 0.99, 0.995, 0.998, 0.999]
-    q = fx.scores.agg(F.percentile("score", F.array(*[F.lit(p) for p in probs])).alias("q"))
-    return rounded(q.select(F.posexplode("q").alias("i", "value")).select(F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1).alias("quantile"), "value"))
+    fx, probs = fixture(spark, d), K.FOREST_QUANTILES
+    q = exact_quantiles(fx.scores, [], "score", probs).select(F.posexplode("q").alias("i", "value"))
+    return rounded(q.select(F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1).alias("quantile"), "value"))
 
 
 _KEYED = f"threshold = {THRESHOLD} AND consecutive = {CONSECUTIVE}"
