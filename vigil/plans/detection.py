@@ -19,12 +19,12 @@ DOUBLES = [s for s, how in K.SIGNALS.items() if how != "sum"]
 ALERT_COLS = "fired_at, started_at, ended_at, service, signal, round(peak, 6) AS peak"
 CARD = ["recall", "median_ttd_min", "false_alerts_per_day", "precision"]
 COUNTS = "alerts, true_alerts, false_alerts, detected, incidents"
-WIDE = ["error_rate", "latency_p95"]
+WIDE = list(K.SIGNALS)
 
 
 def _wide_sql() -> str:
     cells = ", ".join(
-        f"max(CASE WHEN service = '{svc}' THEN {sig} END) AS \"{sig}|{svc}\"" for sig in WIDE for svc in K.SERVICE_NAMES
+        f"max(CASE WHEN service = '{svc}' THEN {sig}::DOUBLE END) AS \"{sig}|{svc}\"" for sig in WIDE for svc in K.SERVICE_NAMES
     )
     return f"SELECT ts, {cells} FROM minutes GROUP BY ts"
 

@@ -201,12 +201,12 @@ def csv_roundtrip(spark, d):
 def minutes_sink(spark, d):
     path = scratch_path(spark, "minutes-by-day")
     TB.write_minutes(fixture(spark, d).rollup, path)
-    return spark.read.parquet(path).select("ts", "service", *[F.round(F.col(s).cast("double"), 3).alias(s) for s in ("request_rate", "error_rate", "latency_p99")], "log_error")
+    return spark.read.parquet(path).select("ts", "service", *[F.col(s) if how == "sum" else F.round(F.col(s).cast("double"), 3).alias(s) for s, how in K.SIGNALS.items()])
 
 
 def minutes_wide(spark, d):
     path = scratch_path(spark, "minutes-wide")
-    TB.write_minutes_wide(fixture(spark, d).rollup, path, ["error_rate", "latency_p95"])
+    TB.write_minutes_wide(fixture(spark, d).rollup, path, list(K.SIGNALS))
     return rounded(TB.read_minutes_wide(spark, path).filter(F.col("value").isNotNull()), 3)
 
 
@@ -300,13 +300,17 @@ QUERIES = {
     "minutes_sink": (
         minutes_sink,
         _sql(
-            "SELECT ts, service, " + ", ".join(f"round({s}::FLOAT::DOUBLE, 3) AS {s}" for s in ("request_rate", "error_rate", "latency_p99")) + ", log_error FROM minutes",
+            "SELECT ts, service, " + ", ".join(s if how == "sum" else f"round({s}::FLOAT::DOUBLE, 3) AS {s}" for s, how in K.SIGNALS.items()) + " FROM minutes",
             "minutes",
         ),
     ),
     "minutes_wide": (
         minutes_wide,
-        _sql("SELECT ts, service, signal, round(x::FLOAT::DOUBLE, 3) + 0.0 AS value FROM obs WHERE signal IN ('error_rate', 'latency_p95')", "obs"),
+        _sql(
+            "SELECT ts, service, signal, round(v::FLOAT::DOUBLE, 3) + 0.0 AS value FROM (UNPIVOT (SELECT ts, service, " + ", ".join(f"{s}::DOUBLE AS {s}" for s in K.SIGNALS)
+            + " FROM minutes) ON " + ", ".join(K.SIGNALS) + " INTO NAME signal VALUE v)",
+            "minutes",
+        ),
     ),
     "report_json": (
         report_json,
