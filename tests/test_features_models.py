@@ -80,6 +80,23 @@ def test_nearest_blocks_match_brute_force(spark, metric, sizes):
         assert [j for _, j in sorted(got[i])] == order
 
 
+def test_best_items_of_pieces_equal_a_sort_of_all(monkeypatch):
+    """Ties, copies and missing scores; after the first piece no piece is sorted as a whole."""
+    rng = np.random.default_rng(4)
+    scores = np.round(rng.normal(size=(50, 900)), 1)
+    scores[7], scores[8, 5:], scores[9, ::2] = 0.3, -np.inf, -np.inf
+    best = N.Best(50, 5)
+    for i in range(0, 900, 100):
+        best.add(scores[:, i : i + 100], np.arange(i, i + 100))
+    got = best.hits(np.arange(50)).groupby("query_id")
+    for q in range(50):
+        order = [j for j in sorted(range(900), key=lambda j: (-scores[q, j], j)) if np.isfinite(scores[q, j])][:5]
+        assert got.get_group(q)["item_id"].to_list() == order
+    monkeypatch.setattr(np, "argsort", None)
+    best.add(np.full((50, 100), -9.0), np.arange(900, 1000))
+    assert len(best.hits(np.arange(50))) == 250
+
+
 def test_models_are_deterministic_and_open_set(spark):
     rng = np.random.default_rng(0)
     rows = [(i, K.KNOWN[i % 4], [float(v) for v in rng.normal(i % 4 * 3, 1, 5)]) for i in range(200)]

@@ -7,8 +7,6 @@ have a fixed size, so neither side has to fit anywhere as a whole, and the plan
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -33,32 +31,64 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(np.maximum(squares, 0.0))
 
 
-def hit_frame(parts: list[tuple], keep) -> pd.DataFrame:
-    """query_id, item_id, score of the parts' rows whose score passes `keep`."""
-    names = ("query_id", "item_id", "score")
-    if not parts:
-        return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
-    columns = [np.concatenate([p[i] for p in parts]) for i in range(3)]
-    held = keep(columns[2])
-    return pd.DataFrame({n: pd.Series(c[held], dtype=c.dtype) for n, c in zip(names, columns)})
-
-
-def _top(qid: np.ndarray, iid: np.ndarray, scores: np.ndarray, k: int, metric: str, exclude_self: bool) -> pd.DataFrame:
-    """k best per query; equal scores (9 digits) go to the smaller item id."""
-    order = np.argsort(iid, kind="stable")
-    iid, scores = iid[order], np.round(scores[:, order], 9)
-    if exclude_self:
-        scores = np.where(qid[:, None] == iid[None, :], -np.inf, scores)
-    pick = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    best = np.take_along_axis(scores, pick, axis=1)
-    hits = hit_frame([(np.repeat(qid, pick.shape[1]), iid[pick].ravel(), best.ravel())], np.isfinite)
-    return hits if metric == "dot" else hits.assign(score=-hits["score"])
-
-
-def _merge(parts: list[pd.DataFrame], k: int, metric: str) -> pd.DataFrame:
-    """k best per query of the hits of several pieces."""
-    hits = pd.concat(parts).sort_values(["query_id", "score", "item_id"], ascending=[True, metric != "dot", True])
-    return hits.groupby("query_id", sort=False).head(k)
+class Best:
+    """The k best items of every query among those seen so far; equal scores (9 digits) go to the smaller item id.
+
+    Only scores that reach a query's k-th best so far are sorted, which after the first items are few.
+    """
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.scores = k, np.full((queries, k), -np.inf)
+        self.items = np.full((queries, k), None, dtype=object)
+
+    def add(self, scores: np.ndarray, items: np.ndarray, positive: bool = False) -> None:
+        """scores: queries x items, larger is better; items in the order of their ids. -inf is never kept, and with
+        `positive` only what is above 0."""
+        if not scores.size:
+            return
+        k, floor = self.k, self.scores[:, -1]
+        low = np.maximum(floor - 1e-9, 0.0) if positive else floor - 1e-9
+        held = scores >= low[:, None]
+        many = np.flatnonzero(held.sum(axis=1) > 8 * k)
+        if len(many):
+            part = scores[many]
+            limit = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - 1e-9
+            held[many] &= part >= limit[:, None]
+            tied = many[held[many].sum(axis=1) > 8 * k]
+            if len(tied):
+                first = np.argsort(-np.round(scores[tied], 9), axis=1, kind="stable")[:, :k]
+                keep = np.zeros((len(tied), scores.shape[1]), dtype=bool)
+                np.put_along_axis(keep, first, True, axis=1)
+                held[tied] &= keep
+        q, x = np.nonzero(held)
+        s = np.round(scores[q, x], 9)
+        fit = np.isfinite(s) & (s >= floor[q]) & ((s > 0) | (not positive))
+        q, x, s = q[fit], x[fit], s[fit]
+        if not len(q):
+            return
+        hit = np.unique(q)
+        old_q, old_s, old_i = np.repeat(hit, k), self.scores[hit].ravel(), self.items[hit].ravel()
+        known = np.isfinite(old_s)
+        found = np.asarray(items, dtype=object)[x]
+        rows = pd.DataFrame({"q": np.append(old_q[known], q), "s": np.append(old_s[known], s), "i": np.append(old_i[known], found)})
+        rows = rows.sort_values(["q", "s", "i"], ascending=[True, False, True])
+        rank = rows.groupby("q").cumcount().to_numpy()
+        rows, rank = rows[rank < k], rank[rank < k]
+        self.scores[hit] = -np.inf
+        self.scores[rows["q"], rank], self.items[rows["q"], rank] = rows["s"], rows["i"]
+
+    def hits(self, ids: np.ndarray) -> pd.DataFrame:
+        """query_id, item_id, score of the queries, whose ids are given."""
+        q, r = np.nonzero(np.isfinite(self.scores))
+        return pd.DataFrame({"query_id": np.asarray(ids)[q], "item_id": pd.Series(self.items[q, r]).infer_objects(), "score": self.scores[q, r]})
+
+
+def _same(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Where ids are equal; texts are compared by number."""
+    if left.dtype == object or right.dtype == object:
+        codes = pd.factorize(np.append(left.astype(object), right.astype(object)))[0]
+        left, right = codes[: len(left)], codes[len(left) :]
+    return left[:, None] == right[None, :]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -74,19 +104,20 @@ def nearest(
     n_q, n_x = -(-q.count() // block), -(-x.count() // block)
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        best = []
-        for i in range(0, len(left), PIECE):
-            ql, kept = left.iloc[i : i + PIECE], []
-            qm = _matrix(ql["vec"])
-            for j in range(0, len(right), PIECE):
-                part = right.iloc[j : j + PIECE]
-                scores = _scores(qm, _matrix(part["vec"]), metric)
-                kept.append(_top(ql["id"].to_numpy(), part["id"].to_numpy(), scores, k, metric, exclude_self))
-                if len(kept) == 8:
-                    kept = [_merge(kept, k, metric)]
-            if kept:
-                best.append(_merge(kept, k, metric))
-        return pd.concat(best) if best else hit_frame([], np.isfinite)
+        right = right.sort_values("id")
+        pieces = [(p["id"].to_numpy(), _matrix(p["vec"])) for p in (right.iloc[j : j + PIECE] for j in range(0, len(right), PIECE))]
+        out = [pd.DataFrame({n: pd.Series([], dtype=object) for n in ("query_id", "item_id", "score")})]
+        for i in range(0, len(left) if pieces else 0, PIECE):
+            part = left.iloc[i : i + PIECE]
+            ids, rows, best = part["id"].to_numpy(), _matrix(part["vec"]), Best(len(part), k)
+            for items, vectors in pieces:
+                scores = _scores(rows, vectors, metric)
+                if exclude_self:
+                    scores[_same(ids, items)] = -np.inf
+                best.add(scores, items)
+            hits = best.hits(ids)
+            out.append(hits if metric == "dot" else hits.assign(score=-hits["score"]))
+        return pd.concat(out[1:] or out)
 
     grid_q, grid_x = in_blocks(q, n_q, n_x, "qb", "xb"), in_blocks(x, n_x, n_q, "xb", "qb")
     found = grid_q.groupBy("qb", "xb").cogroup(grid_x.groupBy("qb", "xb")).applyInPandas(cell, schema)
