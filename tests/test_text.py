@@ -80,6 +80,53 @@ def test_blocked_retrieval_equals_one_block(spark):
     assert rows(R.topk(index, vectors, 5, questions=7, texts=11)) == one and len(one) == 150
 
 
+def test_a_search_copies_no_text_for_blocks_of_questions(spark):
+    """Blocks meet where they are read: no row is sent once per block of the other side, and the sieve loses no term."""
+    df, texts, words, rng = corpus(spark, 300)
+    index = R.build_index(df.unionByName(df.selectExpr("concat('u', id) AS id", "text")), F.col("text"))
+    asked = [(f"q{i:02d}", " ".join(rng.choice(words, 3))) for i in range(20)]
+    vectors = R.query_vectors(index, spark.createDataFrame(asked, "id string, question string"))
+    hits = R.topk(index, vectors, 4, questions=3, texts=16)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "CoGroup" not in plan
+    weights = {}
+    for r in R.tfidf(index).collect():
+        weights.setdefault(r.id, {})[r.term] = r.w
+    want = set()
+    for q in {r.id for r in vectors.select("id").collect()}:
+        mine = {r.term: r.w for r in vectors.filter(F.col("id") == q).collect()} if q < "q03" else None
+        if mine is not None:
+            scored = [(-round(sum(w * t.get(term, 0.0) for term, w in mine.items()), 9), i) for i, t in weights.items()]
+            want |= {(q, i, rank + 1, -s) for rank, (s, i) in enumerate(sorted(x for x in scored if x[0] < 0)[:4])}
+    got = {(r.query_id, r.item_id, r["rank"], r.score) for r in hits.filter("query_id < 'q03'").collect()}
+    assert {g[:3] for g in got} == {w[:3] for w in want} and len(got) == 12
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.01, 2.0])
+def test_shared_terms_of_every_frequency_add_up(monkeypatch, dense):
+    monkeypatch.setattr(R, "DENSE", dense)
+    rng = np.random.default_rng(3)
+
+    def side(n):
+        matrix = rng.random((n, 40)) * (rng.random((n, 40)) < np.linspace(0.01, 0.9, 40))
+        terms = np.flatnonzero(matrix.any(axis=0))
+        entries = [(t, i) for t in terms for i in np.flatnonzero(matrix[:, t])]
+        starts = np.searchsorted([t for t, _ in entries], np.append(terms, 99))
+        return matrix, (np.arange(n), terms * 7 - 5, starts, np.array([i for _, i in entries]), np.array([matrix[i, t] for t, i in entries]))
+
+    (a, q), (b, x) = side(70), side(90)
+    assert np.allclose(R._lexical(q, x), a @ b.T)
+
+
+def test_unit_weights_leave_the_index_without_a_shuffle(spark):
+    df, _, _, _ = corpus(spark, 40)
+    index = R.build_index(df, F.col("text"))
+    unit = R.tfidf(index)
+    assert "Exchange" not in unit._jdf.queryExecution().executedPlan().toString()
+    lengths = unit.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()
+    assert len(lengths) == 40 and all(r.n == pytest.approx(1.0) for r in lengths)
+
+
 def test_term_counts_equal_a_counter(spark):
     texts = {"a": "red fox red fox red", "b": "", "c": "solo", "d": None, "e": "x1 x1 x1"}
     df = spark.createDataFrame(list(texts.items()), "id string, text string")
