@@ -118,6 +118,25 @@ def test_shared_terms_of_every_frequency_add_up(monkeypatch, dense):
     assert np.allclose(R._lexical(q, x), a @ b.T)
 
 
+def test_terms_of_repeated_ids_count_once(spark):
+    """Terms of every frequency, so that each way of adding them up is taken."""
+    rng = np.random.default_rng(8)
+    texts = [(f"t{i:02d}", " ".join(f"w{j}" for j in range(30) if rng.random() < j / 30)) for i in range(60)]
+    df = spark.createDataFrame(texts * 2, "id string, text string")
+    index = R.build_index(df, F.col("text"))
+    asked = R.query_vectors(index, spark.createDataFrame([(f"q{i:02d}", t) for i, (_, t) in enumerate(texts)], "id string, question string"))
+    once = {}
+    for r in R.tfidf(index).collect():
+        once.setdefault(r.id, {})[r.term] = r.w
+    mine = {}
+    for r in asked.collect():
+        mine.setdefault(r.id, {})[r.term] = r.w
+    hits = R.topk(index, asked, 60).collect()
+    assert len(hits) > 3000
+    for r in hits:
+        assert r.score == pytest.approx(sum(w * once[r.item_id].get(t, 0.0) for t, w in mine[r.query_id].items()), abs=1e-8)
+
+
 def test_unit_weights_leave_the_index_without_a_shuffle(spark):
     df, _, _, _ = corpus(spark, 40)
     index = R.build_index(df, F.col("text"))
