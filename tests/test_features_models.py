@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from vigil import constants as K
@@ -113,6 +114,33 @@ def test_models_are_deterministic_and_open_set(spark):
     assert {r.predicted for r in C.open_set_predict(far, K.KNOWN, 0.0, 1.0).collect()} == {"unknown"}
 
 
+def test_large_forests_grow_in_groups_that_vote_together(spark, monkeypatch):
+    monkeypatch.setattr(C, "LARGE", 100)
+    monkeypatch.setattr(C, "GROUP", 4)
+    rng = np.random.default_rng(1)
+    rows = [(i, K.KNOWN[i % 4], [float(v) for v in rng.normal(i % 4 * 2, 2, 3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, label string, features array<double>")
+    model = C.fit_classifier(df, "random_forest", {"numTrees": 10, "maxDepth": 6}, K.KNOWN)
+    assert [m.getNumTrees for m in model.stages] == [4, 4, 2]
+    trees = [t for m in model.stages for t in m.trees]
+    votes = lambda x: np.mean([t.predictProbability(Vectors.dense(x)).toArray() for t in trees], axis=0)
+    got = {r.id: r.probability for r in C.score(model, df).collect()}
+    assert all(got[i] == pytest.approx(votes(x), abs=1e-9) for i, _, x in rows)
+    each = np.mean([t.featureImportances.toArray() for t in trees], axis=0)
+    assert [r.importance for r in C.impurity_importance(model, ["a", "b", "c"], spark).collect()] == pytest.approx(list(each), abs=1e-9)
+
+
+def test_scoring_of_shuffled_features_is_dealt_by_its_rows(spark, monkeypatch):
+    rows = [(k, K.KNOWN[k % 2], [float(k % 2), float((k * 13) % 17)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, label string, features array<double>")
+    model = C.fit_classifier(df, "random_forest", {"numTrees": 3, "maxDepth": 3}, K.KNOWN)
+    parts, plain = [], C.score
+    monkeypatch.setattr(C, "score", lambda m, frame: parts.append(frame.rdd.getNumPartitions()) or plain(m, frame))
+    monkeypatch.setattr(C, "SCORED", 40)
+    C.permutation_importance(model, df, K.KNOWN, 2, 3).collect()
+    assert parts[-1] == 60 * 3 * 2 // 40
+
+
 def test_isolation_forest_finds_the_outlier(spark):
     rng = np.random.default_rng(0)
     rows = [(T0 + timedelta(minutes=i), [float(v) for v in rng.normal(0, 1, 4)]) for i in range(400)] + [(T0 + timedelta(minutes=400), [9.0, 9.0, -9.0, 9.0])]
