@@ -115,3 +115,15 @@ def test_without_drift_nothing_is_fitted(spark, model):
         got = decision.first()
         assert {r.model for r in found.collect()} == {"production"} and got.candidate_macro_f1 is None
         assert not (got.drift_detected or got.retrained or got.better_macro_f1 or got.promoted)
+
+
+def test_a_forest_in_groups_is_saved_and_loaded(spark, monkeypatch):
+    monkeypatch.setattr(IM.C, "LARGE", 100)
+    monkeypatch.setattr(IM.C, "GROUP", 4)
+    given, _ = rows(spark, 3, 100)
+    path = scratch_path(spark, "test-groups")
+    IM.fit(given, path, NAMES, SMALL, 0.4)
+    assert [s.getNumTrees for s in IM.PipelineModel.load(f"{path}/pipeline").stages[2:]] == [4, 4, 4, 3]
+    got = IM.predict(given, path).collect()
+    assert len(got) == 100 and all(abs(sum(r.probability) - 1) < 1e-9 for r in got)
+    assert np.mean([r.top_label == r.label for r in got if r.label in CENTRES]) > 0.9

@@ -9,9 +9,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +59,11 @@ def fit(rows: DataFrame, path: str, names: list[str], params: dict, cutoff: floa
     n = train.count()
     if not n:
         raise ValueError("no rows of the known classes to fit")
-    forest = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", seed=seed, **params)
+    order = F.xxhash64(*names, "label"), F.col("probe_id")
+    prepared = Pipeline(stages=[_scaler(train, names), VectorAssembler(inputCols=names, outputCol="x")]).fit(train)
     # sampling inside the estimator follows row order, so the order is fixed by content
-    ordered = C._indexed(train, classes).repartitionByRange(-(-n // ROWS), F.xxhash64(*names, "label"), "probe_id").sortWithinPartitions(F.xxhash64(*names, "label"), "probe_id")
-    model = Pipeline(stages=[_scaler(train, names), VectorAssembler(inputCols=names, outputCol="x"), forest]).fit(cut(ordered, "ordered"))
+    ordered = cut(prepared.transform(C._indexed(train, classes)).repartitionByRange(-(-n // ROWS), *order).sortWithinPartitions(*order), "ordered")
+    model = PipelineModel([*prepared.stages, *C.grow(ordered, n, params, seed)])
     model.write().overwrite().save(f"{path}/pipeline")
     scaled = model.stages[0].transform(train).select(F.col("probe_id").alias("id"), F.col("scaled").alias("vec"))
     scaled.write.mode("overwrite").parquet(f"{path}/train")
@@ -87,8 +86,8 @@ def predict(rows: DataFrame, path: str, cutoff: float | None = None) -> DataFram
     """
     spark = rows.sparkSession
     held = settings(spark, path)
-    scored = PipelineModel.load(f"{path}/pipeline").transform(rows).withColumn("probability", vector_to_array("probability"))
-    scored = cut(scored.drop("x", "rawPrediction", "prediction"), "probabilities")
+    out = PipelineModel.load(f"{path}/pipeline").transform(rows)
+    scored = cut(out.select(*rows.columns, "scaled", C.voted(out).alias("probability")), "probabilities")
     near = C.novelty(scored.select(F.col("probe_id").alias("id"), F.col("scaled").alias("vec")), spark.read.parquet(f"{path}/train"), NEIGHBOURS)
     both = scored.drop("scaled").join(near.withColumnRenamed("id", "probe_id"), "probe_id")
     at = held.cutoff if cutoff is None else cutoff
