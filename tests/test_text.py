@@ -146,6 +146,37 @@ def test_unit_weights_leave_the_index_without_a_shuffle(spark):
     assert len(lengths) == 40 and all(r.n == pytest.approx(1.0) for r in lengths)
 
 
+def test_index_holds_the_terms_of_a_block_once_and_counts_texts_of_all_blocks(spark):
+    df, texts, _, _ = corpus(spark, 90)
+    rows = df.unionByName(spark.createDataFrame([("t000", "word1 word2"), (None, "word3"), (None, "word3 alone"), ("none", ""), ("null", None)], "id string, text string"))
+    index = R.build_index(rows.repartition(3), F.col("text"), postings=200)
+    held = index.blocks.select("terms").collect()
+    assert len(held) > 6 and all(len(set(r.terms)) == len(r.terms) for r in held)
+    given = [*texts, ("t000", "word1 word2"), (None, "word3"), (None, "word3 alone")]
+    grams = [(i, [*t.split(), *(" ".join(p) for p in zip(t.split(), t.split()[1:]))]) for i, t in given]
+    df_of = {}
+    for _, g in grams:
+        for term in set(g):
+            df_of[term] = df_of.get(term, 0) + 1
+    want, squares = [], {}
+    for i, g in grams:
+        for term in set(g):
+            w = (1 + np.log(g.count(term))) * (np.log((1 + 95) / (1 + df_of[term])) + 1)
+            squares[i] = squares.get(i, 0.0) + w * w
+            want.append((i, term, w))
+    got = sorted((str(r.id), r.term, round(r.w, 9)) for r in R.tfidf(index).collect())
+    assert got == sorted((str(i), term, round(w / np.sqrt(squares[i]), 9)) for i, term, w in want)
+    idf = {r.term: r.idf for r in index.idf.collect()}
+    assert idf.keys() == df_of.keys() and all(idf[t] == pytest.approx(np.log(96 / (1 + n)) + 1) for t, n in df_of.items())
+
+
+def test_only_found_texts_travel(spark):
+    chunks = spark.range(3000).selectExpr("concat('c', id) AS chunk_id", "concat('text ', id) AS text")
+    hits = spark.createDataFrame([("q1", "c7"), ("q2", "c7"), ("q2", "c2999"), ("q3", "gone")], "query_id string, item_id string")
+    got = {tuple(r) for r in R.found_texts(chunks, hits).collect()}
+    assert {("c7", "text 7"), ("c2999", "text 2999")} <= got and len(got) < 10
+
+
 def test_term_counts_equal_a_counter(spark):
     texts = {"a": "red fox red fox red", "b": "", "c": "solo", "d": None, "e": "x1 x1 x1"}
     df = spark.createDataFrame(list(texts.items()), "id string, text string")
