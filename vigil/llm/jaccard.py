@@ -41,6 +41,8 @@ _SIEVE = 1 << 23
 HOT = 20_000
 #: A document goes to so large a share of its shingles more than it must; each link then shows in as many more cells.
 SPARE = 0.1
+#: Low bits of a shingle's hash that its cell does without: cells that fall together cost comparisons, never links.
+DROPPED = 24
 #: Shingles in one block of a region.
 BLOCK = 1 << 18
 
@@ -125,8 +127,9 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, counts: np.ndarray, sha
                 first = len(s) - int(np.ceil(share * len(s) - 1e-9)) + 1 + int(SPARE * len(s))
                 pick = np.lexsort((s, often))[:first]
                 common = often[pick] > HOT
-                cold.append(s[pick[~common]].astype(np.int64))
-                hot.append(s[pick[common]].astype(np.int64))
+                cells = (s[pick] >> np.uint64(DROPPED)).astype(np.int64)
+                cold.append(np.sort(cells[~common]))
+                hot.append(np.sort(cells[common]))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), _lists(cold), _lists(hot)], ["doc_id", "n", "fp", "cold", "hot"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -274,8 +277,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     eps = 1 - percent / 100
     signed = cut(_signatures(docs, doc_id, text, shingle_counts(docs, text), percent / 100), "signed")
-    cold = _shared_cells(signed.select(F.explode("cold").alias("cell"), "fp"))
-    hot = _shared_hot_cells(signed.select(F.explode("hot").alias("cell"), "fp"))
+    cold = _shared_cells(signed.select("fp", F.explode("cold").alias("cell")))
+    hot = _shared_hot_cells(signed.select("fp", F.explode("hot").alias("cell")))
     cells = cut(cold.unionByName(hot), "cells")
     sizes = signed.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.max("n").alias("n"))
     cells = _with_enough(cells, sizes, percent)
