@@ -211,6 +211,54 @@ def test_latent_space_matches_a_dense_svd(spark):
     assert np.allclose(space.values, np.linalg.svd(dense)[1][:4], rtol=1e-3)
 
 
+def test_latent_space_of_an_index_shuffles_no_row_per_term(spark, monkeypatch):
+    df, _, _, _ = corpus(spark, 60)
+    df = df.unionByName(df.limit(1).withColumn("id", F.lit(None).cast("string")))
+    monkeypatch.setattr(L, "TERMS", 100)
+    index = R.build_index(df, F.col("text"), postings=150)
+    rows = [r for r in R.tfidf(index).collect() if r.id is not None]
+    terms = {t: i for i, t in enumerate(sorted({r.term for r in rows}))}
+    ids = {t: i for i, t in enumerate(sorted({r.id for r in rows}))}
+    dense = np.zeros((len(ids), len(terms)))
+    for r in rows:
+        dense[ids[r.id], terms[r.term]] = r.w
+    words = sorted(terms)[::7]
+    asked = spark.createDataFrame([(f"q{i % 3}", t, 1.0 + i) for i, t in enumerate(words)], "id string, term string, w double")
+    space = L.latent_space(index, dims=4, iterations=8, asked=asked)
+    assert space.postings.parts > 1 and space.postings.blocks > 1
+    assert np.allclose(space.values, np.linalg.svd(dense)[1][:4], rtol=1e-3)
+    texts = {r[0]: np.array(r[1:]) for r in space.texts.collect()}
+    assert set(texts) == set(ids)
+    u = np.stack([texts[i] for i in ids])
+    assert np.allclose(u.T @ u, np.eye(4))
+    got = {r.id: r.vec for r in L.question_vectors(space, asked).collect()}
+    for q in ("q0", "q1", "q2"):
+        want = sum((1.0 + i) * dense[:, terms[t]] @ u for i, t in enumerate(words) if f"q{i % 3}" == q) / space.values
+        assert np.allclose(got[q], want / np.linalg.norm(want))
+    product = L._multiply(space.postings, space.block, len(space.rotation))
+    assert "Exchange" not in product._jdf.queryExecution().toString()
+
+
+def test_products_wait_for_rows_that_come_early():
+    import pyarrow as pa
+
+    base = {"n": None, "xs": None, "alone": None, "starts": None, "tids": None, "at": None, "ws": None}
+    rows = [{**base, "turn": 0, "block": b, "n": 2, "xs": [1.0 + b, 2.0]} for b in (0, 1)]
+    held = {"alone": [0.5, 0.0], "starts": [0, 2, 3], "at": [0, 1, 1], "ws": [1.0, 2.0, 3.0]}
+    rows += [{**base, **held, "turn": t, "block": b, "tids": [7, 9 + b]} for t in (1, 2) for b in (0, 1)]
+    kinds = [("turn", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), *((c, pa.list_(pa.float64())) for c in ("xs", "alone", "ws"))]
+    schema = pa.schema([*kinds, ("starts", pa.list_(pa.int64())), ("tids", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+
+    def run(order):
+        out = list(L._sums(iter([pa.RecordBatch.from_pylist([rows[i]], schema) for i in order]), 2, 2))
+        return {o[0]: [x.tolist() for x in o[1:]] for o in out}
+
+    found = run(range(6))
+    assert found == run([5, 4, 3, 2, 1, 0])
+    assert found[None] == [[7, 9, 10], [[3.0], [8.0], [10.0]]]
+    assert found[0] == [[[3.0 + 16.0 + 0.5], [24.0]]]
+
+
 def test_halves_alternate(spark):
     df = spark.createDataFrame([(f"q{i:02d}",) for i in range(31)], "id string")
     got = {r.id: r.half for r in R.alternate_halves(df).collect()}
