@@ -322,3 +322,34 @@ def test_held_out_report_uses_the_chosen_thresholds(spark):
     assert (strict["all"].correct_refusal_rate, strict["all"].false_refusal_rate, strict["all"].answered) == (1.0, 0.5, 2)
     loose = report(0.0, 1, 0.0)
     assert (loose["test"].correct_refusal_rate, loose["test"].false_refusal_rate, loose["test"].answered, loose["test"].citation_accuracy, loose["test"].min_overlap) == (0.0, 0.0, 2, 0.5, 1)
+
+
+def test_index_sends_numbers_and_no_terms(spark):
+    """Terms are counted by hash: neither a term nor a block is shuffled, however many blocks hold it, and hashes agree with those of questions."""
+    df, texts, _, _ = corpus(spark, 80)
+    index = R.build_index(df.repartition(4), F.col("text"), postings=100, entries=50)
+    plan = index.stored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert not {"terms", "tids"} & set(index.stored.columns)
+    terms = {t for _, text in texts for w in [text.split()] for t in [*w, *(" ".join(p) for p in zip(w, w[1:]))]}
+    hashed = {r.term: r.h for r in index.idf.select("term", R.term_hash(F.col("term")).alias("h")).collect()}
+    assert set(hashed) == terms and index.idf.count() == len(terms)
+    held = {}
+    for r in R.weighted_blocks(index).select("tids", "dfs").collect():
+        held.update(zip(r.tids, r.dfs))
+    df_of = {t: sum(1 for _, text in texts if t in text.split() or f" {t} " in f" {text} ") for t in terms}
+    assert {t: held[h] for t, h in hashed.items()} == df_of
+    few = R.vocabulary(index, R.sieve(spark.createDataFrame([("word1",), ("word2 word3",)], "term string"), R.term_hash(F.col("term"))))
+    assert {r.term for r in few.collect()} >= {"word1"} and few.count() < 10
+
+
+def test_search_lists_pairs_in_lots(monkeypatch):
+    """Rare terms of a block of pairs may have any number of products; they are listed a lot at a time."""
+    rng = np.random.default_rng(5)
+    entries = [(np.arange(30), np.arange(300), np.arange(301) * 3, rng.random((300, 30)).argsort(axis=1)[:, :3].ravel(), rng.random(900)) for _ in range(2)]
+    whole = R._lexical(*entries)
+    sizes, real = [], R._ranges
+    monkeypatch.setattr(R, "PAIRS", 100)
+    monkeypatch.setattr(R, "DENSE", 2.0)
+    monkeypatch.setattr(R, "_ranges", lambda s: sizes.append(s.sum()) or real(s))
+    assert np.allclose(R._lexical(*entries), whole) and max(sizes) < 200
