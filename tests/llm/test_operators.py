@@ -117,6 +117,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(data.limit(0)).count() == 0
 
 
+def test_near_duplicates_copy_no_vector_and_broadcast_nothing(spark, monkeypatch):
+    """Blocks meet where they are read, whatever their number, and no side of a join is sent to all tasks."""
+    from vigil.llm import links, neardup
+
+    data = spark.createDataFrame(vectors(1), "vec_id long, embedding array<float>, label int, block string")
+    whole = {tuple(r) for r in near_duplicates(data).collect()}
+    for name, value in (("BLOCK", 7), ("PIECE", 3), ("ROWS", 40)):
+        monkeypatch.setattr(neardup, name, value)
+    plans, real = [], neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df, name="cut": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    out = near_duplicates(data)
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    assert {tuple(r) for r in out.collect()} == whole
+    found = dict(plans)["links"]
+    assert "CartesianProduct" in found and "Exchange" not in found and "Generate" not in found
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
+    plans.append(("star", links._towards_least(edges)._jdf.queryExecution().executedPlan().toString()))
+    assert not any("BroadcastExchange" in p for _, p in plans)
+
+
 def test_top_products_equal_brute_force(spark):
     rows = vectors(2)
     good = [(k, np.floor(256 * np.array(e, float)).astype(int)) for k, e, _, _ in rows if usable(e)]

@@ -9,9 +9,12 @@ from vigil.settings import cut
 
 
 def _towards_least(pairs: DataFrame) -> DataFrame:
-    """Each pair (u, v) becomes (v, m), m being the least of u and all that u is paired with."""
+    """Each pair (u, v) becomes (v, m), m being the least of u and all that u is paired with.
+
+    The join is never a broadcast: stored pairs are far larger in memory than on disk, by which Spark would choose it.
+    """
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(least.hint("merge"), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,14 +1,15 @@
-"""Near-duplicate vectors: an exact cosine join by the pigeonhole principle on subspaces.
+"""Near-duplicate vectors: an exact cosine join in blocks that are stored once.
 
-Unit vectors are turned by a fixed random rotation and split into blocks of a few dimensions. For two
-vectors with cosine >= c the squared distances of all blocks add up to 2 - 2c at most, so in one block at
-least they are within that block's share of the budget (proportional to its dimensions). Each block is
-range-joined on a grid over its first dimensions; whatever meets is verified exactly on the whole vectors,
-and a pair counts in the first block that finds it. Equal vectors are one vector with a count.
+Vectors are sorted by label and length and stored in blocks of fixed size, one row each. Two blocks whose labels
+overlap meet where they are read, in a task that multiplies them piece by piece, so no vector is copied for the blocks of
+the other side and the disk grows with the input. What is close in single precision is checked exactly on the vectors as
+given. Equal vectors are one vector with a count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,50 +18,29 @@ from pyspark.sql import functions as F
 from vigil.llm.links import components
 from vigil.settings import cut
 
-#: Dimensions of a block, and how many of them the grid uses.
-BLOCK_DIMS, GRID_DIMS = 8, 3
-#: Rows of one side that a task holds.
-CHUNK = 1024
-
-
-def rotation(dim: int) -> np.ndarray:
-    """A fixed orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
-
-
-def blocks_of(dim: int) -> list[slice]:
-    parts = np.array_split(np.arange(dim), max(1, dim // BLOCK_DIMS))
-    return [slice(p[0], p[-1] + 1) for p in parts]
+#: Vectors of a block, and vectors of its left side that are multiplied at once.
+BLOCK, PIECE = 2048, 512
+#: Parts of the blocks, of which each meets all others in tasks of its own; vectors in a sorted partition.
+PARTS, ROWS = 32, 16_384
 
 
-def _units(vectors: list) -> np.ndarray:
-    x = np.array([np.asarray(v, float) for v in vectors])
-    x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the squares
+def _units(vectors: np.ndarray) -> np.ndarray:
+    x = vectors / np.abs(vectors).max(1, keepdims=True)  # no overflow in the squares
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _radius(part: slice, dim: int, cosine: float) -> float:
-    return float(np.sqrt((2 - 2 * cosine) * (part.stop - part.start) / dim)) + 1e-6
-
-
-def _cells(frames, cosine: float):
-    """For each vector and block the cells that hold it or a point up to one radius above it in each grid dimension."""
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows (key, vec_id, embedding, copies) in blocks: first and last key, how many rows each key has, ids, copies and numbers."""
     for frame in frames:
-        out = []
-        for dim, group in frame.groupby(frame["embedding"].map(len)):
-            turned = _units(group["embedding"].to_list()) @ rotation(dim)
-            ids, labels = group["vec_id"].to_numpy(), group["label"].to_numpy()
-            for b, part in enumerate(blocks_of(dim)):
-                r = _radius(part, dim, cosine)
-                at = turned[:, part][:, :GRID_DIMS]
-                low, high = np.floor(at / (2 * r)).astype(int), np.floor((at + r) / (2 * r)).astype(int)
-                for step in np.ndindex(*[2] * at.shape[1]):
-                    here = np.flatnonzero((low + step <= high).all(1))
-                    cell = low[here] + step
-                    out.append(pd.DataFrame({"vec_id": ids[here], "label": labels[here], "dim": dim, "block": b, "cell": [",".join(map(str, c)) for c in cell.tolist()]}))
-        if out:
-            yield pd.concat(out)
+        for start in range(0, len(frame), BLOCK):
+            rows = frame.iloc[start : start + BLOCK]
+            keys = rows["key"].to_numpy()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            yield pd.DataFrame([{
+                "low": keys[0], "high": keys[-1], "keys": keys[first].tolist(), "sizes": np.diff(np.append(first, len(rows))).tolist(),
+                "ids": rows["vec_id"].to_numpy(np.int64).tobytes(), "copies": rows["copies"].to_numpy(np.int64).tobytes(),
+                "numbers": np.concatenate([np.asarray(v, float) for v in rows["embedding"]]).tobytes(),
+            }])
 
 
 def _find(parent: np.ndarray, k: int) -> int:
@@ -70,45 +50,49 @@ def _find(parent: np.ndarray, k: int) -> int:
     return k
 
 
-def _join_chunks(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links between two chunks of one cell (or within one): per vector the copies linked, and a spanning forest."""
-    out = pd.DataFrame({"vec_id": [], "links": [], "other": []}, dtype="int64")
-    own = group["i"].iloc[0] == group["j"].iloc[0]
-    left, right = (group, group) if own else (group[group["chunk"] == group["i"].iloc[0]], group[group["chunk"] == group["j"].iloc[0]])
-    if left.empty or right.empty:
-        return out
-    dim, block = int(group["dim"].iloc[0]), int(group["block"].iloc[0])
-    turn, parts = rotation(dim), blocks_of(dim)
-    a, b = _units(left["embedding"].to_list()), _units(right["embedding"].to_list())
-    close = a @ b.T >= cosine - 1e-9
-    if own:
-        close &= np.triu(np.ones(close.shape, bool), 1)
-    x, y = np.nonzero(close)
+def _sides(row, side: str) -> dict:
+    """For every key of a block: ids, copies and vectors."""
+    ids, copies = (np.frombuffer(getattr(row, f"{side}_{c}"), dtype=np.int64) for c in ("ids", "copies"))
+    numbers = np.frombuffer(getattr(row, f"{side}_numbers"), dtype=float)
+    out, at, seen = {}, 0, 0
+    for key, n in zip(getattr(row, f"{side}_keys"), getattr(row, f"{side}_sizes")):
+        wide = n * int(key.rsplit("\x01", 1)[1])
+        out[key] = ids[at : at + n], copies[at : at + n], numbers[seen : seen + wide].reshape(n, -1)
+        at, seen = at + n, seen + wide
+    return out
+
+
+def _close(a: np.ndarray, b: np.ndarray, cosine: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs with the cosine; within one block (`own`) each pair once."""
+    unit_a, unit_b = _units(a), _units(b)
+    norm_a, norm_b = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+    low, other = np.float32(cosine - 1e-6 - 2e-7 * a.shape[1]), unit_b.astype(np.float32).T  # below any error of single precision
+    found = []
+    for start in range(0, len(a), PIECE):
+        x, y = np.nonzero(unit_a[start : start + PIECE].astype(np.float32) @ other >= low)
+        x += start
+        if own:
+            x, y = x[x < y], y[x < y]
+        for s in range(0, len(x), 65536):
+            i, j = x[s : s + 65536], y[s : s + 65536]
+            with np.errstate(all="ignore"):
+                whole = (a[i] * b[j]).sum(1) / (norm_a[i] * norm_b[j])
+            good = np.where(np.isfinite(whole), whole >= cosine, (unit_a[i] * unit_b[j]).sum(1) >= cosine)
+            found.append((i[good], j[good]))
+    return tuple(np.concatenate(side) if found else np.empty(0, np.int64) for side in (zip(*found) if found else ((), ())))
+
+
+def _linked(left: tuple, right: tuple, cosine: float, own: bool) -> pd.DataFrame | None:
+    """Links between vectors of one key in two blocks (or within one): per vector the copies linked, and a spanning forest."""
+    (ids_a, copies_a, a), (ids_b, copies_b, b) = left, right
+    x, y = _close(a, b, cosine, own)
     if not len(x):
-        return out
-    raw_a, raw_b = (np.array([np.asarray(v, float) for v in side["embedding"]]) for side in (left, right))
-    norm_a, norm_b = np.sqrt((raw_a * raw_a).sum(1)), np.sqrt((raw_b * raw_b).sum(1))
-    ta, tb = a @ turn, b @ turn
-    keep = np.zeros(len(x), bool)
-    for s in range(0, len(x), 65536):
-        i, j = x[s : s + 65536], y[s : s + 65536]
-        whole = (raw_a[i] * raw_b[j]).sum(1) / (norm_a[i] * norm_b[j])
-        diff = ta[i] - tb[j]
-        good = np.where(np.isfinite(whole), whole >= cosine, (a[i] * b[j]).sum(1) >= cosine)
-        for k, part in enumerate(parts[: block + 1]):
-            within = (diff[:, part] ** 2).sum(1) <= _radius(part, dim, cosine) ** 2
-            good &= within if k == block else ~within
-        r = _radius(parts[block], dim, cosine)
-        top = np.floor(np.maximum(ta[i][:, parts[block]][:, :GRID_DIMS], tb[j][:, parts[block]][:, :GRID_DIMS]) / (2 * r)).astype(int)
-        cell = np.array([int(c) for c in group["cell"].iloc[0].split(",")])
-        keep[s : s + 65536] = good & (top == cell).all(1)
-    x, y = x[keep], y[keep]
-    ids = np.concatenate([left["vec_id"].to_numpy(), right["vec_id"].to_numpy()])
-    copies_a, copies_b = left["copies"].to_numpy(), right["copies"].to_numpy()
-    links = np.concatenate([np.bincount(x, copies_b[y], len(left)), np.bincount(y, copies_a[x], len(right))]).astype(int)
+        return None
+    ids = np.concatenate([ids_a, ids_b])
+    links = np.concatenate([np.bincount(x, copies_b[y], len(ids_a)), np.bincount(y, copies_a[x], len(ids_b))]).astype(int)
     names, at = np.unique(ids, return_inverse=True)
     parent, forest = np.arange(len(names)), []
-    for p, q in zip(at[x].tolist(), at[len(left) + y].tolist(), strict=True):
+    for p, q in zip(at[x].tolist(), at[len(ids_a) + y].tolist(), strict=True):
         p, q = _find(parent, p), _find(parent, q)
         if p != q:
             parent[p] = q
@@ -119,6 +103,16 @@ def _join_chunks(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return pd.concat([pd.DataFrame({"vec_id": ids[some], "links": links[some], "other": -1}), edges])[["vec_id", "links", "other"]]
 
 
+def _joined(frames: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            own, left, right = row.a_no == row.b_no, _sides(row, "a"), _sides(row, "b")
+            for key in left.keys() & right.keys():
+                found = _linked(left[key], right[key], cosine, own)
+                if found is not None:
+                    yield found
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (least vec_id reachable), kept (vec_id = component_id); one row per vector.
 
@@ -131,18 +125,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0.0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     whole = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "vectors")
-    placed = whole.select("vec_id", "label", "embedding").mapInPandas(lambda frames: _cells(frames, cosine), "vec_id long, label string, dim int, block int, cell string")
-    placed = cut(placed, "cells")
-    where = ["label", "dim", "block", "cell"]
-    sizes = placed.groupBy(*where).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k")).where("k > 0")
-    dealt = placed.join(sizes, where).withColumn("chunk", F.expr("cast(pmod(xxhash64(vec_id), k) as int)"))
-    paired = dealt.withColumn("with", F.explode(F.expr("sequence(0, k - 1)"))).withColumns({"i": F.least("chunk", "with"), "j": F.greatest("chunk", "with")})
-    full = paired.drop("k", "with").join(whole.select("vec_id", "embedding", "copies"), "vec_id")
-    found = cut(full.groupBy(*where, "i", "j").applyInPandas(lambda group: _join_chunks(group, cosine), "vec_id long, links long, other long"), "links")
+    key = F.concat("label", F.lit("\x01"), F.size("embedding").cast("string"))
+    keyed = whole.select(key.alias("key"), "vec_id", "embedding", "copies")
+    parts = max(1, -(-whole.count() // ROWS))  # read from the footers; a label of any size is spread over them
+    ordered = keyed.repartitionByRange(parts, "key", "vec_id").sortWithinPartitions("key", "vec_id")
+    schema = "low string, high string, keys array<string>, sizes array<long>, ids binary, copies binary, numbers binary"
+    stored = cut(ordered.mapInPandas(_blocks, schema).withColumn("no", F.monotonically_increasing_id()), "blocks")
+    a, b = (stored.select(*[F.col(c).alias(f"{side}_{c}") for c in stored.columns]) for side in "ab")
+    overlap = (F.col("a_no") <= F.col("b_no")) & (F.col("a_low") <= F.col("b_high")) & (F.col("b_low") <= F.col("a_high"))
+    pairs = a.coalesce(PARTS).join(b.hint("shuffle_replicate_nl"), overlap)
+    found = cut(pairs.mapInPandas(lambda frames: _joined(frames, cosine), "vec_id long, links long, other long"), "links")
     counts = found.where("other < 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
     roots = components(found.where("other >= 0").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    classes = whole.join(counts, "vec_id", "left").join(roots, F.col("vec_id") == F.col("node"), "left")
+    # stored tables are far larger in memory than on disk, by which Spark would pick those to broadcast
+    classes = whole.join(counts.hint("merge"), "vec_id", "left").join(roots.hint("merge"), F.col("vec_id") == F.col("node"), "left")
     classes = classes.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
-    out = good.join(classes, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    out = good.join(classes.hint("merge"), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(F.col("vec_id").isNull() | F.col("label").isNull() | ~F.coalesce(finite, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
